@@ -63,13 +63,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
-def lower_ascii_long(text: Column) -> Column:
-    """As lower_ascii, for long texts: 26 byte searches cost less than a map look-up for each character."""
-    for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ":
-        text = F.replace(text, F.lit(c), F.lit(c.lower()))
-    return text
-
-
 def _paired(a: Column, b: Column, shift: int) -> Column:
     """Hashes of a[i] and b[i + shift], as many as there are such pairs."""
     n = F.greatest(F.lit(0), F.size(b) - shift)
