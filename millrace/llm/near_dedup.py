@@ -22,7 +22,7 @@ from .common import maybe_broadcast, written
 TREES, DEPTH, WIDTH = 36, 3, 5
 COORDS = TREES * DEPTH
 #: Nodes of more members branch; so do their children, LEVELS times at most.
-LEAF, LEVELS, BRANCHES = 200, 2, 2
+LEAF, LEVELS, BRANCHES = 512, 1, 2
 #: Members that one task compares with each other; larger groups are dealt to pairs of blocks.
 BLOCK = 256
 
@@ -202,14 +202,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         if level:
             members = members.mapInArrow(_branched, "node long, rep long")
         members = members if not level else written(members)
-        nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("center")).where("n > 1")
-        last = level == LEVELS
+        nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("center"), F.max("rep").alias("rep")).where("n > 1")
         nodes = written(nodes)
-        done = nodes if last else nodes.where(F.col("n") <= LEAF)
-        stars.append(members.join(done, "node").select("center", "rep").distinct())
-        if last or not nodes.where(F.col("n") > LEAF).limit(1).count():
+        done = F.lit(True) if level == LEVELS else F.col("n") <= LEAF
+        # nodes of two are pairs already; only larger ones need their members
+        stars.append(nodes.where("n = 2").select("center", F.explode(F.array("center", "rep")).alias("rep")))
+        larger = written(nodes.where("n > 2").drop("rep"))
+        stars.append(members.join(maybe_broadcast(larger.where(done)), "node").select("center", "rep"))
+        large = larger.where(~done)
+        if level == LEVELS or not large.limit(1).count():
             break
-        members = members.join(nodes.where(F.col("n") > LEAF).select("node"), "node").join(reps, "rep").select("node", "rep", "sig")
+        members = members.join(maybe_broadcast(large.select("node")), "node").join(reps, "rep").select("node", "rep", "sig")
     star = stars[0]
     for more in stars[1:]:
         star = star.unionByName(more)
@@ -219,7 +222,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         docs.select("doc_id", "text")
         .join(maybe_broadcast(wanted), "doc_id", "left_semi")
         .mapInArrow(_sets, "rep long, shingles binary")
-        .dropDuplicates(["rep"])
     )
     blocks = star.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
     # a group of n blocks is compared block with block; the group's members go to the n pairs that hold their own
@@ -227,6 +229,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     dealt = star.join(blocks, "center").select("center", "rep", own.alias("own"), other.alias("other"))
     dealt = dealt.select("center", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
+    dealt = maybe_broadcast(written(dealt))
     links = written(
         dealt.join(sets, "rep").groupBy("center", "i", "j").applyInPandas(_compare(percent), "a long, b long").distinct()
     )
