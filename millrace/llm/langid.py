@@ -21,8 +21,9 @@ TRAIN_PER_LANGUAGE = 1500
 #: Languages: declared by at least this share of documents, and this many at most.
 MIN_SHARE, MAX_LANGUAGES = 0.002, 64
 BUCKETS = 1 << 16
-#: Trigrams that one text counts as at most: neighbours are not independent, so long texts would drown the rest.
-EVIDENCE = 60.0
+#: Trigrams that one text counts as: one in OVERLAP, as each letter is in three of them, and EVIDENCE at most, as words
+#: repeat and long texts would drown the rest.
+OVERLAP, EVIDENCE = 3.0, 60.0
 HOST_WEIGHT, SUFFIX_WEIGHT = 20.0, 50.0
 MIN_POSTERIOR = 0.5
 
@@ -156,7 +157,7 @@ def identify_languages(docs: DataFrame, text: str = "text", declared: str = "lan
     chance = {x: [float(np.log((seen.get((x, k), 0) + 1) / (rowsum[k] + len(names)))) for k in range(n)] for x in names}
     evidence = F.create_map(*[y for x in names for y in (F.lit(x), F.array(*map(F.lit, chance[x])))])[said]
 
-    count = F.least(F.col("letters").cast("double"), F.lit(EVIDENCE))
+    count = F.least(F.col("letters") / OVERLAP, F.lit(EVIDENCE))
     terms = [count * F.col("likelihoods")[k] + F.log(F.col("prior")[k]) + F.coalesce(F.col("_said")[k], F.lit(0.0)) for k in range(n)]
     fused = scored.join(priors, "host").withColumn("_said", evidence).withColumn("_logs", F.array(*terms))
     top = F.array_max("_logs")
