@@ -4,7 +4,7 @@ import tempfile
 import pytest
 from pyspark.sql import SparkSession
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("MILLRACE_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
