@@ -102,7 +102,7 @@ def k_means(points: DataFrame, columns: list[str], k: int, rounds: int = 20, tol
 
         n, s, _, cost = _summed(points, columns, k, nearest)
         centres = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], centres)
-        history.append(cost)
+        history.append(float(cost))
         if len(history) > 1 and history[-2] - cost <= tolerance * max(1.0, cost):
             break
     return centres, history
@@ -129,7 +129,7 @@ def fit_mixture(points: DataFrame, columns: list[str], k: int, kind: str = "full
         weights, means = r / r.sum(), s / r[:, None]
         covs = ss / r[:, None, None] - np.einsum("ki,kj->kij", means, means)
         covs = covs + ridge * np.eye(d) if kind == "full" else np.array([np.diag(np.maximum(np.diag(c), 0)) + ridge * np.eye(d) for c in covs])
-        history.append(ll / n[0])
+        history.append(float(ll / n[0]))
         if len(history) > 1 and abs(history[-1] - history[-2]) < tolerance:
             break
     order = np.lexsort(means.T[::-1])
