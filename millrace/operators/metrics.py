@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,14 +74,26 @@ def clustering(df: DataFrame, label: str, cluster: str) -> DataFrame:
 
 
 def cluster_accuracy(df: DataFrame, label: str, cluster: str) -> float:
-    """Share of rows in agreement under the best one-to-one matching; for up to eight clusters, whose counts are few."""
-    cells = {(r.a, r.b): r.n for r in df.groupBy(F.col(label).alias("a"), F.col(cluster).alias("b")).agg(F.count("*").alias("n")).collect()}
+    """Share of rows in agreement under the best one-to-one matching; the fewer of labels and clusters are 16 at most.
+
+    Spark counts the cells. They are matched one value of the larger side after the other, with the best sum kept
+    for each set of values used on the smaller side.
+    """
+    cells = {(r.a, r.b): r.n for r in df.where(F.col(label).isNotNull() & F.col(cluster).isNotNull()).groupBy(F.col(label).alias("a"), F.col(cluster).alias("b")).agg(F.count("*").alias("n")).collect()}
     a, b = sorted({k[0] for k in cells}), sorted({k[1] for k in cells})
-    if not cells or max(len(a), len(b)) > 8:
-        raise ValueError("one to eight labels and clusters")
-    few, many = (a, b) if len(a) <= len(b) else (b, a)
-    get = (lambda x, y: cells.get((x, y), 0)) if few is a else (lambda x, y: cells.get((y, x), 0))
-    return max(sum(get(x, y) for x, y in zip(few, order, strict=True)) for order in permutations(many, len(few))) / sum(cells.values())
+    if not cells or min(len(a), len(b)) > 16:
+        raise ValueError("one to 16 labels or clusters")
+    if len(a) > len(b):
+        a, b, cells = b, a, {(y, x): n for (x, y), n in cells.items()}
+    best = {0: 0}
+    for y in b:
+        after = dict(best)
+        for used, total in best.items():
+            for k, x in enumerate(a):
+                if not used >> k & 1:
+                    after[used | 1 << k] = max(after.get(used | 1 << k, 0), total + cells.get((x, y), 0))
+        best = after
+    return max(best.values()) / sum(cells.values())
 
 
 def top_k(scores: DataFrame, user: str, item: str, score: str, k: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.functions.expressions import hash_bucket, sigmoid
+from millrace.functions.expressions import hash_bucket, sigmoid, softmax
 from millrace.sources.storage import written
 
 from .prepare import bootstrap
@@ -332,6 +332,53 @@ def boost(df: DataFrame, label: str, numeric: list[str], categorical: list[str]
     return model
 
 
+@dataclass
+class BoostedClasses:
+    classes: list
+    start: list[float]
+    rate: float
+    rounds: list[list[Tree]]
+    history: list[float]
+
+    def shares(self) -> Column:
+        """Each class's probability, in the order of classes."""
+        return softmax(F.array(*[sum((self.rate * r[k].value() for r in self.rounds), F.lit(x)) for k, x in enumerate(self.start)]))
+
+    def predict(self) -> Column:
+        s = self.shares()
+        return F.get(F.array(*map(F.lit, self.classes)), F.array_position(s, F.array_max(s)).cast("int") - 1)
+
+
+def boost_classes(df: DataFrame, label: str, numeric: list[str], categorical: list[str] = (), rounds: int = 5, rate: float = 0.3, depth: int = 2) -> BoostedClasses:
+    """Softmax boosting: each round grows one regression tree a class on its indicator less its probability.
+
+    Scores start at the logarithms of the classes' shares and are written each round. history holds the mean log-loss.
+    Rows without a label are left out; an empty table has no classes and is an error.
+    """
+    df = df.where(F.col(label).isNotNull())
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    if not counts:
+        raise ValueError("no labelled rows")
+    classes, total = sorted(counts), sum(counts.values())
+    model = BoostedClasses(classes, [math.log(counts[c] / total) for c in classes], rate, [], [])
+    now = df.withColumn("_scores", F.array(*map(F.lit, model.start)))
+    for _ in range(rounds):
+        p = softmax(F.col("_scores"))
+        rows = written(now.withColumns({f"_r{k}": (F.col(label) == c).cast("double") - p[k] for k, c in enumerate(classes)}))
+        grown = [grow(rows, f"_r{k}", numeric, categorical, depth=depth, criterion="sse") for k in range(len(classes))]
+        model.rounds.append(grown)
+        now = written(rows.withColumn("_scores", F.array(*[F.col("_scores")[k] + rate * t.value() for k, t in enumerate(grown)])).select(*df.columns, "_scores"))
+        own = F.get(softmax(F.col("_scores")), F.array_position(F.array(*map(F.lit, classes)), F.col(label)).cast("int") - 1)
+        model.history.append(now.agg(F.avg(-F.log(own + 1e-15))).head()[0])
+    return model
+
+
+def search_forest(df: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str], classes: list, grid: list[dict], seed: int = 0) -> tuple[dict, list[tuple[dict, float]]]:
+    """The grid's entry (options of grow_forest) of the best out-of-bag accuracy, the first of equal ones, and all scores."""
+    scores = [(options, grow_forest(df, key, label, numeric, categorical, classes, seed=seed, **options).oob(df, key, label) or 0.0) for options in grid]
+    return max(scores, key=lambda s: s[1])[0], scores
+
+
 def grow_like(tree: Tree, df: DataFrame, value: str) -> dict[int, float]:
     """Mean of value in each leaf of a tree."""
     rows = df.withColumns({"node": F.lit(1), "w": F.lit(1.0), "c0": F.col(value)})
