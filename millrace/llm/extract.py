@@ -1,13 +1,17 @@
 """Main text of web pages by composite text density.
 
 Of every DOM node: density = characters per tag, corrected for links. The subtree whose children's densities have the
-largest sum is the content; the smallest density on the path from it to body is the threshold that its parts must
-reach. Elements that by name, role or class are never main text are cut before.
+largest sum is the core of the content; the smallest density on the path from it to body is the threshold. Every other
+part of the page that reaches it is content too, and so is what lies between, down from their common ancestor.
+Elements that are never shown as text are cut before; those that by name, role or class are seldom main text are cut
+as long as they hold no more than half of the page's text outside links.
 """
 
 from __future__ import annotations
 
+import heapq
 import html as entities
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -23,33 +27,46 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: A start tag closes an open element of these, up to the nearest one of the second set.
 _CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
-#: Never main text.
-_CUT = frozenset("nav header footer aside form script style noscript iframe template svg button select textarea input label menu dialog title head object embed canvas audio video map".split())
+#: Never text of the page.
+_NO_TEXT = frozenset("script style noscript iframe template svg select textarea input title head object embed canvas audio video map".split())
+#: Seldom main text.
+_CUT = frozenset("nav header footer aside form button label menu dialog".split())
+#: What a nav or menu has only if it is wrapped around something else.
+_PROSE = _BLOCK - frozenset("ul ol li menu nav dl dt dd header hgroup".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CUT_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _CUT_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side-bar|aside|widget|related|recommend\w*|share|sharing|social|comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notice|newsletter|subscribe|signup|login|popup|modal|overlay|toolbar|pagination|pager|copyright|legal|disclaimer|skip|hidden)(?:$|[\s_-]|\d)", re.I
 )
+#: A layout with or without such a part, not the part.
+_MODIFIER = re.compile(r"(?:^|[_-])(?:with|without|no|has)[_-]", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v   -     　\x1c-\x1f\x85]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "cut", "prose", "own", "longest", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: "Node | None", cut: bool) -> None:
         self.tag, self.parent, self.cut = tag, parent, cut
         self.children: list[Node | str] = []  # text is a str
+        self.prose = False
+        self.own = self.longest = 0  # characters of its own texts, in sum and of the longest
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
+def _named(value: str) -> bool:
+    return bool(_CUT_NAME.search(value)) and any(_CUT_NAME.search(v) and not _MODIFIER.search(v) for v in value.split())
+
+
 def _is_cut(tag: str, attributes: str) -> bool:
-    if tag in _CUT:
+    if tag in _CUT or tag in _NO_TEXT:
         return True
     if not attributes.strip() or tag in ("html", "body"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "role" and value.lower() in _CUT_ROLE or name in ("class", "id") and tag not in ("article", "main") and _CUT_NAME.search(value):
+        if name == "role" and value.lower() in _CUT_ROLE or name in ("class", "id") and tag not in ("article", "main") and _named(value):
             return True
         if name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -100,7 +117,7 @@ def parse(html: str) -> Node:
             close(("p",), ("table", "td", "th", "li", "article", "section", "div", "body"))
         if tag in _CLOSES:
             close(*_CLOSES[tag])
-        new = Node(tag, node, node.cut or _is_cut(tag, m[3]))
+        new = Node(tag, node, _is_cut(tag, m[3]))
         node.children.append(new)
         if tag in _RAW:
             stop = _RAW[tag].search(html, at)
@@ -110,8 +127,64 @@ def parse(html: str) -> Node:
     return root
 
 
+def _keep_most(root: Node) -> None:
+    """Takes back cuts, the largest first, until those left hold no more than half of the page's text outside links."""
+    order, stack, cuts, tie = [], [root], [], itertools.count()
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        cuts.append(n.cut)
+        stack += [c for c in n.children if not isinstance(c, str) and c.tag not in _NO_TEXT]
+    # cut elements that are not in an article or main, if the page shows one
+    beside, shown, stack = set(), False, [(root, False, False)]
+    while stack:
+        n, hidden, marked = stack.pop()
+        hidden, marked = hidden or n.cut, marked or n.tag in ("article", "main")
+        shown = shown or marked and not hidden
+        if n.cut and not marked:
+            beside.add(id(n))
+        stack += [(c, hidden, marked) for c in n.children if not isinstance(c, str) and c.tag not in _NO_TEXT]
+    if not shown:
+        beside.clear()
+    plain: dict[int, int] = {}
+    for n in reversed(order):
+        for c in n.children:
+            if isinstance(c, str):
+                size = len(entities.unescape(c).strip())
+                n.own, n.longest = n.own + size, max(n.longest, size)
+        inner = [c for c in n.children if not isinstance(c, str) and c.tag not in _NO_TEXT]
+        n.prose = any(c.prose or c.tag in _PROSE for c in inner)
+        # a list of names without links is no wrapper, and a line or two are none beside an article
+        listed = not n.prose and (n.tag in ("nav", "menu") or n.cut and id(n) in beside)
+        plain[id(n)] = 0 if n.tag == "a" or listed else n.own + sum(plain[id(c)] for c in inner)
+    if not any(cuts):
+        return
+
+    def outermost(top: Node) -> list[tuple[int, int, Node]]:
+        found, stack = [], [c for c in top.children if not isinstance(c, str)]
+        while stack:
+            n = stack.pop()
+            if n.cut and plain.get(id(n), 0):
+                found.append((-plain[id(n)], next(tie), n))
+            elif not n.cut:
+                stack += [c for c in n.children if not isinstance(c, str)]
+        return found
+
+    heap = outermost(root)
+    heapq.heapify(heap)
+    gone = -sum(x[0] for x in heap)
+    while 2 * gone > plain[id(root)]:
+        size, _, n = heapq.heappop(heap)
+        n.cut = False
+        inner = outermost(n)
+        gone += size - sum(x[0] for x in inner)
+        for x in inner:
+            heapq.heappush(heap, x)
+
+
 def _measure(root: Node) -> tuple[Node, list[Node]]:
     """Fills counts and densities, bottom up; returns body and all nodes in page order."""
+    _keep_most(root)
     order, stack, body = [], [root], root
     while stack:
         n = stack.pop()
@@ -120,10 +193,9 @@ def _measure(root: Node) -> tuple[Node, list[Node]]:
             body = n
         stack += [c for c in reversed(n.children) if not isinstance(c, str) and not c.cut]
     for n in reversed(order):
+        n.chars = n.own
         for c in n.children:
-            if isinstance(c, str):
-                n.chars += len(entities.unescape(c).strip())
-            elif not c.cut:
+            if not isinstance(c, str) and not c.cut:
                 n.chars, n.tags = n.chars + c.chars, n.tags + c.tags + 1
                 n.link_chars, n.link_tags = n.link_chars + c.link_chars, n.link_tags + c.link_tags + (c.tag == "a")
         if n.tag == "a":
@@ -142,6 +214,32 @@ def _measure(root: Node) -> tuple[Node, list[Node]]:
     return body, order
 
 
+def _content(best: Node, body: Node) -> tuple[Node, float, set[int], bool]:
+    """The lowest node with all content, the threshold, ids of the parts that reach it, and whether page parts lie around."""
+    path, n = [best], best
+    while n is not body and n.parent is not None:
+        n = n.parent
+        path.append(n)
+    threshold = min(n.density for n in path)
+    place = {id(n): k for k, n in enumerate(path)}
+    sure, top = {id(best)}, 0
+    stack = [(path[-1], len(path) - 1)]
+    while stack:
+        n, k = stack.pop()
+        if n is best or not n.chars:
+            continue
+        on_path = id(n) in place
+        k = place.get(id(n), k)
+        if not on_path and n.density >= threshold and n.link_chars <= 0.5 * n.chars:
+            sure.add(id(n))
+            top = max(top, k)
+            continue
+        if n.longest >= threshold and n.tag != "a":
+            top = max(top, k)
+        stack += [(c, k) for c in n.children if not isinstance(c, str) and not c.cut]
+    return path[top], threshold, sure, top > 0 and path[top].tag in ("body", "html")
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: blocks in page order, two line feeds between."""
     if not html:
@@ -159,31 +257,40 @@ def main_text(html: str | None) -> str:
     if top.tag not in ("article", "main"):
         named = [n for n in order if n.tag in ("article", "main") and n.chars >= 0.5 * body.chars]
         top = named[0] if named else top
-    threshold, n = math.inf, top
-    while n is not None:
-        threshold = min(threshold, n.density)
-        n = n if n is body else n.parent
-        if n is body:
-            threshold = min(threshold, body.density)
-            break
+    if top.tag in ("article", "main"):
+        threshold, n = top.density, top
+        while n is not body and n.parent is not None:
+            n = n.parent
+            threshold = min(threshold, n.density)
+        sure, around = {id(top)}, False
+    else:
+        top, threshold, sure, around = _content(best, body)
     blocks: list[str] = []
+    kinds: list[str] = []
     parts: list[str] = []
+    inside, seen = 0, False
 
-    def flush() -> None:
+    def flush(tag: str = "") -> None:
+        nonlocal seen
         if parts:
             block = _SPACE.sub(" ", entities.unescape("".join(parts))).strip(" ")
             if block:
                 blocks.append(block)
+                kinds.append("sure" if seen or len(block) >= threshold else "heading" if tag in _HEADING else "")
             parts.clear()
+        seen = False
 
-    # iterative walk; a mark ends a block element
-    stack: list[Node | str | None] = [top]
+    # iterative walk; a mark ends an element
+    stack: list[Node | str | tuple[Node]] = [top]
     while stack:
         x = stack.pop()
-        if x is None:
-            flush()
+        if isinstance(x, tuple):
+            if x[0].tag in _BLOCK:
+                flush(x[0].tag)
+            inside -= id(x[0]) in sure
         elif isinstance(x, str):
             parts.append(x)
+            seen = seen or inside > 0
         elif x.cut:
             parts.append(" " if x.tag not in _BLOCK else "")
         elif x.tag == "br":
@@ -194,9 +301,20 @@ def main_text(html: str | None) -> str:
                 continue
             if x.tag in _BLOCK:
                 flush()
-                stack.append(None)
+            if x.tag in _BLOCK or id(x) in sure:
+                stack.append((x,))
+                inside += id(x) in sure
             stack += reversed(x.children)
     flush()
+    if around and "sure" in kinds:
+        # short lines at either end of body are the site's; a heading and what follows it are the content's
+        first, last = kinds.index("sure"), len(kinds) - kinds[::-1].index("sure")
+        at = first - 1
+        while at >= 0 and kinds[at] != "heading":
+            at -= 1
+        while at > 0 and kinds[at - 1] == "heading":
+            at -= 1
+        blocks = blocks[at if at >= 0 else first : last]
     return "\n\n".join(blocks)
 
 

@@ -135,6 +135,24 @@ def test_extract_text():
     assert extract.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_extract_text_keeps_all_of_the_content():
+    def para(k, size=300):
+        return f"para {k} " + "x" * (size - 7)
+
+    def page(body):
+        return extract.main_text(f"<html><body><nav><a href=/>home</a></nav>{body}<div class=footer>some site</div></body></html>")
+
+    p = [para(k) for k in range(5)]
+    sections = "<div class=content><section>" + "".join(f"<p>{x}</p>" for x in p[:3]) + "</section><section>" + "".join(f"<p>{x}</p>" for x in p[3:]) + "</section></div>"
+    assert page(sections).split("\n\n") == p
+    items = [para(k, 100) for k in range(20)]
+    assert page(f"<p>{para(9, 500)}</p><ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul><div>short line</div>").split("\n\n") == [para(9, 500), *items]
+    for wrapper in ("<form action=/>{}</form>", "<div class='layout with-sidebar'>{}</div>", "<div id=page-header>{}</div>", "<div class=no-footer>{}</div>", "<aside><dialog>{}</dialog></aside>", "<nav>{}</nav>"):
+        assert page(wrapper.format(sections)).split("\n\n") == p, wrapper
+    assert page("<form><div class=widget>" + sections + "<div class=comments><p>Nice post!</p></div><input value=x></div></form>").split("\n\n") == p
+    assert page("<div class=widget>" + p[0] + "</div><form>" + p[1] + "</form>").split("\n\n") == p[:2]
+
+
 def test_extract_small_pages(spark, sf):
     """The pages' articles end the way the markup says."""
     import html
