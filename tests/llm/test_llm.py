@@ -322,6 +322,32 @@ def test_leaks(docs, spark, sf):
     assert all(r.kept for r in decontaminate.judge(df, spark.createDataFrame([(1, None)], "item_id long, text string")).collect())
 
 
+def test_leaks_of_texts_shorter_than_the_item(spark):
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(size))) for k, size in enumerate((5, 8, 9, 10, 11, 12, 24, 36, 36, 60, 110, 250))]
+    texts = []
+    for k, item in items:
+        w = item.split()
+        for cut in sorted({0, 1, 2, len(w) // 9, len(w) // 6, len(w) // 5, len(w) // 4, len(w) // 3}):
+            texts += [" ".join(x) for x in (w[cut:], w[: len(w) - cut], w[cut // 2 : len(w) - (cut + 1) // 2], w[: len(w) // 2] + w[len(w) // 2 + cut :], w[: len(w) // 2] + ["new"] + w[len(w) // 2 + 2 :])]
+    texts = list(enumerate(dict.fromkeys(texts)))
+    want, short = set(), 0
+    for d, text in texts:
+        for i, item in items:
+            a, b = (Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4)) for x in (item.split(), text.split()))
+            both = sum((a & b).values())
+            if sum(b.values()) < sum(a.values()) and both and both >= 0.75 * (sum(a.values()) + sum(b.values()) - both):
+                want.add((d, i))
+                short += 1
+    want |= plain_leaks(texts, items)
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = decontaminate.judge(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert short > 60 and {(r.doc_id, i) for r in got for i in r.item_ids} == want
+    item = items[7][1].split()
+    cases = [(1, " ".join(item[:-1])), (2, " ".join(item[:32])), (3, " ".join(item[:18] + item[19:])), (4, " ".join(item[:27]))]
+    got = decontaminate.judge(spark.createDataFrame(cases, "doc_id long, text string"), spark.createDataFrame(items[7:8], "item_id long, text string")).collect()
+    assert {r.doc_id: r.similarity and round(r.similarity, 4) for r in got} == {1: 0.9688, 2: 0.875, 3: 0.75, 4: None}
+
+
 def plain_url(url):
     if not url or "://" not in url:
         return "", ""
