@@ -400,6 +400,32 @@ def test_language_id_hosts_decide_short_texts(spark, small):
     assert got[70_000] == "de" and got[70_001] == "fr"
 
 
+def test_language_id_models_every_language(spark):
+    """Rare languages and any number of them; what has too little text for a model stays what it declares."""
+    import random
+
+    draw = random.Random(5)
+
+    def text(k, chars):
+        own = random.Random(k)
+        names = ["".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(own.randint(2, 7))) for _ in range(60)]
+        out = ""
+        while len(out) < chars:
+            out += draw.choice(names) + " "
+        return out
+
+    rows = [(100 * k + i, text(k, 2500), f"l{k:02}", None) for k in range(70) for i in range(6)]
+    rows += [(20_000 + i, text(0, 60), "l00", "hot") for i in range(3000)]
+    rows += [(90_000 + i, text(500, 200), "few", "hot") for i in range(3)] + [(90_100, "  ", "few", "hot")]
+    frame = spark.createDataFrame([(d, t, x, h) for d, t, x, h in rows], "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r.doc_id: r for r in langid.identify_languages(frame).collect()}
+    assert len(got) == len(rows)
+    assert all(got[d].language == x and got[d].kept for d, t, x, _ in rows if t.strip())
+    assert all(got[90_000 + i].posterior is None for i in range(3)) and not got[90_100].kept and got[90_100].language is None
+    few = {r.doc_id: r for r in langid.identify_languages(frame.where("doc_id >= 90000").unionByName(spark.createDataFrame([(1, "some text", None, "hot")], frame.schema))).collect()}
+    assert [few[d].kept for d in (90_000, 90_001, 90_002, 90_100, 1)] == [True, True, True, False, False]
+
+
 def test_empty_tables(spark, sf):
     empty = spark.createDataFrame([], SCHEMA)
     pages = spark.createDataFrame([], "page_id long, url string, html string, text string")
