@@ -8,6 +8,8 @@ A reader of one document needs the index, the dictionary and the document's own
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import os
 import re
 import struct
@@ -26,26 +28,42 @@ from .frames import DICTIONARY, INDEX, SEPARATOR, skippable, trained, write_fram
 
 #: Documents of one file, about; there are as many files as shuffle partitions at least.
 FILE_DOCS = 20_000
+#: Characters of one file, about, so that a file's content fits in a task.
+FILE_CHARS = 100_000_000
 #: Documents from which the dictionary is trained, of at most so many characters each, and its size in bytes.
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4000, 65536
-_CACHE_CHUNKS = 400_000
-#: What stands for a null doc_id in an index.
-NO_ID = -(2**63)
-_ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u4")])
-
-#: A text is cut before a space between two visible ASCII or Latin letters, where byte-level BPE always starts a new piece.
-_ODD = re.compile(r"[^!-~¡-ɏ] | [^!-~¡-ɏ]|^ | $")
+#: Pieces that an encoder keeps.
+_CACHE_PIECES = 600_000
+#: An entry of the index; known is 0 for a null doc_id.
+_ENTRY = np.dtype([("doc_id", "<i8"), ("known", "<u4"), ("length", "<u4"), ("offset", "<u8"), ("n_tokens", "<u8")])
+
+#: Letters in whose runs byte-level BPE never starts a new piece: Latin and Cyrillic ones. Fixed values of its splitting rule: a
+#: run of letters, with one space before, is a piece; an apostrophe and the letters after it may be one too.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ʯЀ-ҁҊ-ӿ"
+_WORD = rf"(?: |(?<![^\x00-&(-@\[-`{{-\x7f])(?<!\s\s))[{_LETTER}]++(?=[\x00-@\[-`{{-\x7f]|\Z)"
+#: Words, and what lies between them. A text's pieces can be encoded one by one: the rule cuts at both ends of a word.
+_PIECE = re.compile(rf"{_WORD}|(?:(?!{_WORD})(?: ?[{_LETTER}]++| ?[^ {_LETTER}]++| ))+")
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Texts to ids, little-endian unsigned 32-bit. Pieces between cuts are encoded once and kept."""
+    """Texts to ids, little-endian unsigned 32-bit.
+
+    With byte-level BPE a text is cut into pieces; a new piece is encoded once, many in one call, and kept. Texts with
+    a special token, and all texts of other tokenizers, are encoded whole.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.kept: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        how = json.loads(self.tokenizer.to_str())
+        split = how["pre_tokenizer"] or {}
+        self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not how["normalizer"] and not how["model"].get("dropout")
+        self.between = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -55,28 +73,41 @@ class Encoder:
 
     def _run(self, texts: list[str]) -> list[bytes]:
         out = []
-        for i in range(0, len(texts), 2000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False)]
+        for i in range(0, len(texts), 500):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 500], add_special_tokens=False)]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces, new = [], set()
-        for text in texts:
-            if _ODD.search(text) or "<|" in text:
-                parts = [text]
-            else:
-                first, *rest = text.split(" ")
-                parts = [first, *[" " + p for p in rest]]
-            pieces.append(parts)
-            new.update(parts)
-        if len(self.kept) > _CACHE_CHUNKS:
-            self.kept.clear()
-        new = [p for p in new if p not in self.kept]
-        fresh = dict(zip(new, self._run(new), strict=True))
+    def _run_joined(self, pieces: list[str]) -> list[bytes]:
+        """Pieces of one line each, encoded as lines of one text; its line feeds are a token of their own."""
         out = []
-        for parts in pieces:
-            out.append(b"".join([self.kept.get(p) or fresh.get(p, b"") for p in parts]))
-        self.kept.update((p, ids) for p, ids in fresh.items() if len(p) <= 40)
+        for i in range(0, len(pieces), 5000):
+            some = pieces[i : i + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.between[0]), len(ids)).tolist()
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer doesn't keep line feeds apart")
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends[:-1]]], ends, strict=True)]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts or len(self.between) != 1:
+            return self._run(texts)
+        pieces = [[t] if any(x in t for x in self.special) else _PIECE.findall(t) for t in texts]
+        new = [p for p in set(itertools.chain.from_iterable(pieces)) if p not in self.kept]
+        lines, others = [], []
+        for p in new:
+            plain = "\n" not in p and not p[-1].isspace() and not p[:2].isspace() and (p[0] == " " or not p[0].isspace()) and not any(x in p for x in self.special)
+            (lines if plain else others).append(p)
+        fresh = dict(zip(lines, self._run_joined(lines), strict=True)) | dict(zip(others, self._run(others), strict=True))
+        known = self.kept
+        known.update(fresh)
+        out = [b"".join(map(known.__getitem__, parts)) for parts in pieces]
+        for p in others:
+            if len(p) > 40:
+                del known[p]
+        if len(known) > _CACHE_PIECES:  # the older ones go
+            self.kept = fresh
         return out
 
 
@@ -94,7 +125,7 @@ def _filed(path: str, end_id: int, dictionary: bytes):
                 frames = [] if entries else [head]
                 for i, raw in zip(ids, encoder.encode([t or "" for t in texts]), strict=True):
                     frame = packer.compress(raw + end)
-                    entries.append((NO_ID if i is None else i, at, len(frame), len(raw) // 4 + 1))
+                    entries.append((i or 0, i is not None, len(frame), at, len(raw) // 4 + 1))
                     at += len(frame) + len(SEPARATOR)
                     frames.append(frame)
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
@@ -132,13 +163,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             f, start = TokenFile(content), 0
             for at in range(0, len(f.index), 1024):
-                ids = f.index["doc_id"][at : at + 1024]
+                ids, known = f.index["doc_id"][at : at + 1024], f.index["known"][at : at + 1024]
                 raw = [f.ids(k) for k in range(at, at + len(ids))]
                 sizes = np.array([len(x) // 4 for x in raw], np.int64)
                 ends = start + np.cumsum(sizes)
                 start = int(ends[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([path.as_py()] * len(ids)), pa.array(ids, mask=ids == NO_ID), pa.array(ends - sizes), pa.array(sizes), pa.array([zlib.crc32(x) for x in raw], pa.int64())],
+                    [pa.array([path.as_py()] * len(ids)), pa.array(ids, mask=known == 0), pa.array(ends - sizes), pa.array(sizes), pa.array([zlib.crc32(x) for x in raw], pa.int64())],
                     names=["file", "doc_id", "before", "n_tokens", "ids_crc32"],
                 )
 
@@ -150,12 +181,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0) -> str:
     (they come first), are documents of their own. tokenizer is a file of the tokenizers library that each executor
     reads at this path.
     """
-    n = docs.count()
+    n, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).head()
     share = max(1, int(2_000_000 * SAMPLE / max(n, 1)))
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).where(F.length("text").between(1, SAMPLE_CHARS))
     sample = [r.text for r in chosen.select("text").limit(SAMPLE).collect()]
     dictionary = trained(Encoder.of(tokenizer).encode(sample), DICTIONARY_BYTES) if sample else b""
-    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // FILE_DOCS))
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // FILE_DOCS), -(-chars // FILE_CHARS))
     dealt = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
     return write_frames(dealt.mapInArrow(_filed(tokenizer, end_id, dictionary), "frame binary"))
 
@@ -164,8 +195,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the files; start: ids of all documents before it."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     found = written(files.mapInArrow(_read, "file string, doc_id long, before long, n_tokens long, ids_crc32 long"))
-    totals = found.groupBy("file").agg(F.sum("n_tokens").alias("_n"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("_first"))
+    totals = found.groupBy("file").agg(F.sum("n_tokens").alias("_n"), F.min("doc_id").alias("_first"), F.count("doc_id").alias("_known"))
     # one row a file: ranges don't overlap, so files are in order by their first id
-    earlier = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    # those with null ids only lead, and one that also has others begins with them
+    earlier = Window.orderBy(F.col("_known") > 0, "_first", "file").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     return found.join(starts, "file").select("doc_id", (F.col("_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

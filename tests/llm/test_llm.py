@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -193,13 +194,23 @@ def test_token_files(docs, monkeypatch, sample):
     assert f.ids(0)[-4:] == bytes(4) and zstandard.get_frame_parameters(content[int(f.index["offset"][0]) :]).dict_id >= 0
 
 
-def test_token_pieces():
+def test_token_pieces(monkeypatch):
     from tokenizers import Tokenizer
 
     whole, own = Tokenizer.from_file(queries.tokenizer_path()), token_files.Encoder(queries.tokenizer_path())
     texts = [t or "" for t in TEXTS] + ["a b", " a", "a ", "a  b", "don't  can't we'll", "é è\u00a0 x", "x\t y", "1 2 33 4.5 %% %", "中文 字 a", "a\nb \nc\n d", "<|endoftext|> x <|endoftext|>"]
+    draw = random.Random(3)
+    signs = ["a", "b", "word", "Zoë", " ", " ", "  ", "\n", "\n\n", "\t", "\r", "'", "'s", "'ll", "t", "1", "42", "²", "½", ".", ",", "-", "é", "ß", "×", "ª", "µ", "\u0301", "\u00a0", "\u2028", "\u3000", "\x1c", "\x85", "\x00", "я", "Ж", "҈", "中", "😀", "ʰ", "İ", "ſ", "<|", "<|endoftext|>"]
+    texts += ["".join(draw.choice(signs) for _ in range(draw.randint(1, 14))) for _ in range(6000)]
     for _ in range(2):
-        assert own.encode(texts) == [b"".join(i.to_bytes(4, "little") for i in whole.encode(t, add_special_tokens=False).ids) for t in texts]
+        got = own.encode(texts)
+        for t, x in zip(texts, got, strict=True):
+            assert x == b"".join(i.to_bytes(4, "little") for i in whole.encode(t, add_special_tokens=False).ids), t
+    own.encode(["other words"])
+    monkeypatch.setattr(token_files, "_CACHE_PIECES", 3)
+    assert own.encode(["a few more other words here"]) == own.encode(["a few more other words here"]) and len(own.kept) < 20
+    spaced = token_files.Encoder(queries.tokenizer_path().replace("byte_bpe_50k", "word_bpe_49k"))
+    assert not spaced.cuts and spaced.encode(["Some text"]) == [b"".join(i.to_bytes(4, "little") for i in spaced.tokenizer.encode("Some text", add_special_tokens=False).ids)]
 
 
 def test_warc(spark, sf):
