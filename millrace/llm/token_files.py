@@ -63,7 +63,10 @@ class Encoder:
         how = json.loads(self.tokenizer.to_str())
         split = how["pre_tokenizer"] or {}
         self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not how["normalizer"] and not how["model"].get("dropout")
-        self.between = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        vocab = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.spaced[[k for token, k in vocab.items() if token.startswith("Ġ")]] = True  # how byte-level BPE writes a space
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -77,30 +80,38 @@ class Encoder:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 500], add_special_tokens=False)]
         return out
 
-    def _run_joined(self, pieces: list[str]) -> list[bytes]:
-        """Pieces of one line each, encoded as lines of one text; its line feeds are a token of their own."""
+    def _run_joined(self, pieces: list[str], between: str) -> list[bytes]:
+        """Pieces joined to one text and encoded in one call: lines of it, or words that each begin with their own space."""
         out = []
-        for i in range(0, len(pieces), 5000):
-            some = pieces[i : i + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.between[0]), len(ids)).tolist()
+        for i in range(0, len(pieces), 10_000):
+            some = pieces[i : i + 10_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            if between:
+                ends = np.append(np.flatnonzero(ids == self.line_feed[0]), len(ids))
+                starts = np.append(0, ends[:-1] + 1)
+            else:
+                starts = np.flatnonzero(self.spaced[ids])
+                ends = np.append(starts[1:], len(ids))
             if len(ends) != len(some):
-                raise ValueError("the tokenizer doesn't keep line feeds apart")
+                raise ValueError("the tokenizer doesn't keep pieces apart")
             raw = ids.tobytes()
-            out += [raw[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends[:-1]]], ends, strict=True)]
+            out += [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.cuts or len(self.between) != 1:
+        if not self.cuts or len(self.line_feed) != 1:
             return self._run(texts)
         pieces = [[t] if any(x in t for x in self.special) else _PIECE.findall(t) for t in texts]
-        new = [p for p in set(itertools.chain.from_iterable(pieces)) if p not in self.kept]
-        lines, others = [], []
-        for p in new:
-            plain = "\n" not in p and not p[-1].isspace() and not p[:2].isspace() and (p[0] == " " or not p[0].isspace()) and not any(x in p for x in self.special)
-            (lines if plain else others).append(p)
-        fresh = dict(zip(lines, self._run_joined(lines), strict=True)) | dict(zip(others, self._run(others), strict=True))
         known = self.kept
+        words, lines, others = [], [], []
+        for p in set(itertools.chain.from_iterable(pieces)).difference(known):
+            if p[0] == " " and p[1:].isalpha():
+                words.append(p)
+            elif "\n" in p or p[-1].isspace() or p[:2].isspace() or (p[0] != " " and p[0].isspace()) or any(x in p for x in self.special):
+                others.append(p)
+            else:
+                lines.append(p)
+        fresh = dict(zip(words, self._run_joined(words, ""), strict=True)) | dict(zip(lines, self._run_joined(lines, "\n"), strict=True)) | dict(zip(others, self._run(others), strict=True))
         known.update(fresh)
         out = [b"".join(map(known.__getitem__, parts)) for parts in pieces]
         for p in others:
