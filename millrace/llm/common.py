@@ -20,8 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder's path in the folder that driver and executors share (spark.checkpoint.dir)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file:///tmp/checkpoints/millrace"
-        spark.sparkContext.setCheckpointDir(root)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
@@ -39,11 +38,11 @@ def maybe_broadcast(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def row_key(*columns: str) -> Column:
-    """A 64-bit key of a row's content. Equal rows have equal keys and so equal results."""
+    """A 128-bit key of a row's content, as text. Equal rows have equal keys and so equal results."""
     parts: list[Column] = []
     for c in columns:
         parts += [F.col(c).isNull(), F.col(c)]
-    return F.xxhash64(*parts)
+    return F.concat_ws("-", F.hex(F.xxhash64(*parts)), F.hex(F.xxhash64(F.lit(1), *parts)))
 
 
 def let(value: Column, body) -> Column:

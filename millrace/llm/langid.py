@@ -129,7 +129,7 @@ def identify_languages(docs: DataFrame, text: str = "text", declared: str = "lan
         table = np.log(table / table.sum(axis=0, dtype=np.float64)).astype(np.float32)
 
     rows = docs.select("doc_id", row_key("doc_id", text).alias("key"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(declared).alias("declared"), text)
-    scored = rows.mapInArrow(_scored(table), "doc_id long, key long, host string, declared string, letters long, likelihoods array<double>")
+    scored = rows.mapInArrow(_scored(table), "doc_id long, key string, host string, declared string, letters long, likelihoods array<double>")
     best = F.when((F.col("letters") > 0) & (F.size("likelihoods") > 0), F.array_position("likelihoods", F.array_max("likelihoods")).cast("int") - 1)
     suffix = F.substring_index("host", ".", -1)
     scored = written(scored.withColumn("best", best).withColumn("suffix", suffix))

@@ -1,9 +1,11 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
-Every tree sends a document down a path of selected MinHash tokens. Documents that share a path are a node; large
-nodes branch by further tokens, small ones and those that branching can't thin are compared exhaustively on full
-shingle sets, in blocks. Independent trees repeat the walk: a pair at the threshold shares a node of one tree with
-probability 0.75**3 = 0.42, so 36 trees miss it with 3e-9.
+Every tree starts with all documents in one node. A node branches by MinHash tokens: its members go to the children of
+the tokens that the node selects. Small nodes are compared exhaustively on full shingle sets, larger ones branch again,
+LEVELS times at most; what branching can't thin is compared with its center first, and only members that are not linked
+with it go on to a comparison with all, in blocks. Independent trees repeat the walk. A pair at the threshold shares a
+child with probability 0.75, one of two children with 0.94: so after three levels 16 trees miss it with 4e-8, and with
+2e-10 where the first nodes are small.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, written
+from .common import maybe_broadcast, row_key, written
 
-TREES, DEPTH, WIDTH = 36, 3, 5
-COORDS = TREES * DEPTH
-#: Nodes of more members branch; so do their children, LEVELS times at most.
-LEAF, LEVELS, BRANCHES = 512, 1, 2
-#: Members that one task compares with each other; larger groups are dealt to pairs of blocks.
-BLOCK = 256
+#: Trees; the tokens of a signature (the first TREES of them for the roots); levels of branching; children below the first level.
+TREES, COORDS, WIDTH, LEVELS, BRANCHES = 16, 48, 5, 3, 2
+#: A node of more members or more shingles branches.
+LEAF, LEAF_SHINGLES = 256, 2_000_000
+#: What one task compares with each other; larger groups are dealt to tasks of about that much.
+BLOCK, BLOCK_SHINGLES = 256, 2_000_000
+#: Rows of one class from which its label is broadcast, so that no task gets all of them.
+HOT = 10_000
 
 _MULTIPLIERS = np.random.default_rng(20_240_607).integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -59,70 +63,76 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
         for at in range(0, batch.num_rows, 1024):
-            sizes, hashes, keys = [], [], []
-            for text in texts.slice(at, 1024):
+            sizes, classes, keys = [], [], []
+            for text in batch.column(2).slice(at, 1024):
                 s = shingle_set(text.as_py())
                 sizes.append(len(s))
-                hashes.append(xxhash.xxh64_intdigest(s.tobytes()) >> 1)
+                classes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(at, 1024), pa.array(sizes, pa.int64()), pa.array(hashes, pa.int64()), pa.array(keys, pa.binary())],
-                names=["doc_id", "n_shingles", "set_hash", "sig"],
+                [batch.column(0).slice(at, 1024), batch.column(1).slice(at, 1024), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.binary())],
+                names=["doc_id", "_key", "n_shingles", "class", "sig"],
             )
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each representative the first node in every tree."""
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, COORDS)
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each class (rep, size, sig) its child of every tree's root."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, TREES, DEPTH)
-        key = _mixed(sig[:, :, 0] + np.arange(TREES, dtype=np.uint64))
-        for j in range(1, DEPTH):
-            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, j])
-        ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), TREES)
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], names=["node", "rep"])
+        node = _mixed(_signatures(batch.column(2))[:, :TREES] + np.arange(TREES, dtype=np.uint64))
+        of = pa.array(np.repeat(np.arange(batch.num_rows), TREES))
+        yield pa.RecordBatch.from_arrays([pa.array(node.reshape(-1).view(np.int64)), batch.column(0).take(of), batch.column(1).take(of)], names=["node", "rep", "size"])
 
 
 def _branched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Children of (node, rep, sig): by tokens that the node's key selects."""
+    """Children of (node, rep, size, sig): by tokens that the node selects."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        node = batch.column(0).to_numpy().view(np.uint64)
-        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, COORDS)
-        keys = []
+        node, sig, keys = batch.column(0).to_numpy().view(np.uint64), _signatures(batch.column(3)), []
         for b in range(BRANCHES):
             chosen = _mixed(node + np.uint64(b + 1))
             token = sig[np.arange(len(node)), (chosen % np.uint64(COORDS)).astype(np.int64)]
             keys.append(_mixed(chosen * np.uint64(0x9E3779B97F4A7C15) + token))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(keys).view(np.int64)), pa.concat_arrays([batch.column(1)] * BRANCHES)], names=["node", "rep"]
+            [pa.array(np.concatenate(keys).view(np.int64)), *[pa.concat_arrays([c] * BRANCHES) for c in batch.columns[1:3]]], names=["node", "rep", "size"]
         )
 
 
-def _links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Pairs that join what is linked among these sets; each set is compared with each other one, exactly."""
-    sizes = np.array([len(s) for s in sets], np.int64)
+def _common(sets: list[np.ndarray], first: int | None = None) -> np.ndarray:
+    """Intersection sizes of all pairs of sets, or of the first sets with all."""
     _, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     shared = counts > 1  # a shingle of one member adds to no intersection
     column = np.cumsum(shared) - 1
     keep = shared[where]
     owner, where = owner[keep], column[where[keep]]
-    common = np.zeros((len(sets), len(sets)), np.float32)
     by_column = np.argsort(where, kind="stable")
     owner, where = owner[by_column], where[by_column]
+    common = np.zeros((len(sets) if first is None else first, len(sets)), np.float64)
     for low in range(0, int(shared.sum()), 4096):
         a, b = np.searchsorted(where, [low, low + 4096])
         part = np.zeros((len(sets), 4096), np.float32)
         part[owner[a:b], where[a:b] - low] = 1
-        common += part @ part.T
-    inter = common.astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - inter
-    left, right = np.nonzero(np.triu(100 * inter >= percent * union, 1))
+        common += part[:first] @ part.T
+    return common.astype(np.int64)
+
+
+def _linked(sets: list[np.ndarray], percent: int, first: int | None = None) -> np.ndarray:
+    """Whether 100 * intersection >= percent * union, of the pairs of _common."""
+    sizes, inter = np.array([len(s) for s in sets], np.int64), _common(sets, first)
+    return 100 * inter >= percent * (sizes[:first, None] + sizes[None, :] - inter)
+
+
+def _links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple]:
+    """Pairs that join what is linked among these sets; each set is compared with each other one, exactly."""
+    left, right = np.nonzero(np.triu(_linked(sets, percent), 1))
     root = list(range(len(sets)))
 
     def top(x: int) -> int:
@@ -135,16 +145,48 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
         x, y = top(x), top(y)
         if x != y:
             root[max(x, y)] = min(x, y)
-    return [(int(ids[top(x)]), int(ids[x])) for x in range(len(sets)) if top(x) != x]
+    return [(ids[top(x)], ids[x]) for x in range(len(sets)) if top(x) != x]
+
+
+def _frame(rows: list[tuple], *names: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=list(names), dtype="Int64")
+
+
+def _members(pdf: pd.DataFrame) -> tuple[list[int], list[np.ndarray]]:
+    pdf = pdf.drop_duplicates("rep").sort_values("rep")
+    return pdf["rep"].tolist(), [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
 
 
 def _compare(percent: int):
+    """A group's share: the whole of a small group is compared with each other, of a dealt one each member with the center.
+
+    Links are (a, b); a member that is not linked with the center of a dealt group gives (center, null, member).
+    """
+
     def compared(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("rep").sort_values("rep")
-        if len(pdf) < 2:
-            return pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64)})
-        found = _links(pdf["rep"].to_numpy(), [np.frombuffer(s, np.uint64) for s in pdf["shingles"]], percent)
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        names, center = ("a", "b", "other"), int(key[0])
+        ids, sets = _members(pdf)
+        if len(ids) < 2:
+            return _frame([], *names)
+        if pdf["tasks"].iloc[0] == 1:
+            return _frame([(a, b, None) for a, b in _links(ids, sets, percent)], *names)
+        at = ids.index(center)
+        ids, sets = [center, *ids[:at], *ids[at + 1 :]], [sets[at], *sets[:at], *sets[at + 1 :]]
+        linked = _linked(sets, percent, 1)[0]
+        return _frame([(center, x, None) if y else (center, None, x) for x, y in zip(ids[1:], linked[1:], strict=True)], *names)
+
+    return compared
+
+
+def _compare_rest(percent: int):
+    """Members that are not linked with the center (side 0) with a share of all members (side 1)."""
+
+    def compared(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        (ids, sets), (others, theirs) = _members(pdf[pdf["side"] == 0]), _members(pdf[pdf["side"] == 1])
+        if not ids or not others:
+            return _frame([], "a", "b")
+        x, y = np.nonzero(_linked(sets + theirs, percent, len(ids))[:, len(ids) :])
+        return _frame([(ids[i], others[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True) if ids[i] != others[j]], "a", "b")
 
     return compared
 
@@ -152,10 +194,8 @@ def _compare(percent: int):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], names=["rep", "shingles"]
-            )
+            sets = [shingle_set(t.as_py()).tobytes() for t in batch.column(0).slice(at, 256)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["class", "shingles"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -166,11 +206,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        star = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        star = both.join(maybe_broadcast(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         star = written(star)
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
-        small = star.join(low, "u")
+        low = written(star.groupBy("u").agg(F.min("v").alias("m")))
+        small = star.join(maybe_broadcast(low), "u")
         after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         after = written(after.where("u <> v").distinct())
         # done when each node has one edge and no node that is pointed at points on
@@ -180,68 +220,91 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text; other columns are ignored).
+def _groups(reps: DataFrame) -> DataFrame:
+    """(center, rep, size): classes that share a small or last node with center, its smallest member; center included.
 
-    Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of distinct 5-word shingles.
-    Null, empty and blank texts have an empty set and are linked with nothing: component_id is doc_id. Equal sets are
-    one class before any comparison, so copies cost no pairs. A null doc_id stays null and is never kept apart: its
-    component_id is null and kept is true. Rows that repeat a doc_id get the same component_id for equal texts.
+    reps has rep (a class), size (its shingles) and sig.
     """
-    signed = written(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, n_shingles long, set_hash long, sig binary"))
-    some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    # one signature a class: that of its smallest id
-    reps = written(
-        some.join(classes.withColumnRenamed("rep", "doc_id"), ["set_hash", "n_shingles", "doc_id"], "left_semi")
-        .groupBy(F.col("doc_id").alias("rep"))
-        .agg(F.first("sig").alias("sig"))
-    )
-    stars, members = [], reps.select("rep", "sig").mapInArrow(_paths, "node long, rep long")
-    for level in range(LEVELS + 1):
-        if level:
-            members = members.mapInArrow(_branched, "node long, rep long")
-        members = members if not level else written(members)
-        nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("center"), F.max("rep").alias("rep")).where("n > 1")
-        nodes = written(nodes)
-        done = F.lit(True) if level == LEVELS else F.col("n") <= LEAF
+    stars, members = [], written(reps.select("rep", "size", "sig").mapInArrow(_roots, "node long, rep long, size long"))
+    for level in range(1, LEVELS + 1):
+        nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("rep").alias("center"), F.max("rep").alias("last"), F.min_by("size", "rep").alias("first_size"), F.max_by("size", "rep").alias("last_size"))
+        nodes = written(nodes.where("n > 1"))
         # nodes of two are pairs already; only larger ones need their members
-        stars.append(nodes.where("n = 2").select("center", F.explode(F.array("center", "rep")).alias("rep")))
-        larger = written(nodes.where("n > 2").drop("rep"))
-        stars.append(members.join(maybe_broadcast(larger.where(done)), "node").select("center", "rep"))
-        large = larger.where(~done)
+        pair = F.explode(F.array(F.struct(F.col("center").alias("rep"), F.col("first_size").alias("size")), F.struct(F.col("last").alias("rep"), F.col("last_size").alias("size"))))
+        stars.append(nodes.where("n = 2").select("center", pair.alias("m")).select("center", "m.rep", "m.size"))
+        larger = nodes.where("n > 2").select("node", "n", "total", "center")
+        small = F.lit(True) if level == LEVELS else (F.col("n") <= LEAF) & (F.col("total") <= LEAF_SHINGLES)
+        stars.append(members.join(maybe_broadcast(larger.where(small).select("node", "center")), "node").select("center", "rep", "size"))
+        large = larger.where(~small).select("node")
         if level == LEVELS or not large.limit(1).count():
             break
-        members = members.join(maybe_broadcast(large.select("node")), "node").join(reps, "rep").select("node", "rep", "sig")
+        inner = members.join(maybe_broadcast(large), "node").join(reps.select("rep", "sig"), "rep").select("node", "rep", "size", "sig")
+        members = written(inner.mapInArrow(_branched, "node long, rep long, size long"))
     star = stars[0]
     for more in stars[1:]:
         star = star.unionByName(more)
-    star = written(star.distinct())  # (center, rep): all that share a node with center as its smallest member
-    wanted = written(star.select(F.col("rep").alias("doc_id")).distinct())
-    sets = written(
-        docs.select("doc_id", "text")
-        .join(maybe_broadcast(wanted), "doc_id", "left_semi")
-        .mapInArrow(_sets, "rep long, shingles binary")
-    )
-    blocks = star.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    # a group of n blocks is compared block with block; the group's members go to the n pairs that hold their own
-    own = F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    dealt = star.join(blocks, "center").select("center", "rep", own.alias("own"), other.alias("other"))
-    dealt = dealt.select("center", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
-    dealt = maybe_broadcast(written(dealt))
-    links = written(
-        dealt.join(sets, "rep").groupBy("center", "i", "j").applyInPandas(_compare(percent), "a long, b long").distinct()
-    )
-    found = components(links)
-    label = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_hash", "n_shingles", F.coalesce("component", "rep").alias("component_id")
-    )
-    slim = signed.drop("sig")
-    linked = slim.where("n_shingles > 0 and doc_id is not null").join(label, ["set_hash", "n_shingles"])
-    alone = slim.where("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
-    return (
-        linked.select("doc_id", "n_shingles", "component_id")
-        .unionByName(alone.select("doc_id", "n_shingles", "component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    return written(star.distinct())
+
+
+def _found_links(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is linked within the groups."""
+    groups = star.groupBy("center").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    tasks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    groups = written(groups.select("center", tasks.alias("tasks")))
+    shares = F.when(F.col("rep") == F.col("center"), F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("tasks")).cast("int")))
+    dealt = star.join(maybe_broadcast(groups), "center").select("center", "rep", "tasks", F.explode(shares).alias("share"))
+    compared = written(dealt.join(sets, "rep").groupBy("center", "share").applyInPandas(_compare(percent), "a long, b long, other long"))
+    links = compared.where("b is not null").select("a", "b").distinct()
+    rest = written(compared.where("other is not null").select(F.col("a").alias("center"), F.col("other").alias("rep")).distinct())
+    if not rest.limit(1).count():
+        return written(links)
+    counted = written(rest.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).join(groups, "center"))
+    counted = maybe_broadcast(counted)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    # at least as many parts as tasks would bound the shingles of a part too
+    part = F.pmod(F.xxhash64("rep"), F.greatest("parts", F.lit(1))).cast("int")
+    mine = rest.join(counted, "center").select("center", "rep", part.alias("i"), every(F.col("tasks")).alias("j"), F.lit(0).alias("side"))
+    share = F.pmod(F.xxhash64("rep"), F.col("tasks")).cast("int")
+    all_of = star.join(counted, "center").select("center", "rep", share.alias("j"), every(F.col("parts")).alias("i"), F.lit(1).alias("side"))
+    pairs = written(mine.select("center", "i", "j", "rep", "side").unionByName(all_of.select("center", "i", "j", "rep", "side")))
+    more = pairs.join(sets, "rep").groupBy("center", "i", "j").applyInPandas(_compare_rest(percent), "a long, b long")
+    return written(links.unionByName(more.distinct()))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, _key and _group of every row of docs (doc_id, text; other columns are ignored).
+
+    Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of distinct 5-word shingles.
+    Null, empty and blank texts have an empty set and are linked with nothing: component_id is doc_id, _group null.
+    Equal sets (128-bit hashes) are one class before any comparison, so copies cost no pairs; classes, not ids, are
+    compared, so rows of one doc_id with different texts are documents of their own and may be in different groups.
+    A null doc_id stays null and is never kept apart: its component_id is null and kept is true. _group names the
+    component also where ids repeat; _key is row_key(doc_id, text).
+    """
+    signed = docs.select("doc_id", row_key("doc_id", "text").alias("_key"), "text").mapInArrow(_signed, "doc_id long, _key string, n_shingles long, class binary, sig binary")
+    signed = written(signed)
+    some = signed.where("class is not null and doc_id is not null")
+    reps = some.groupBy("class").agg(F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.min("doc_id").alias("low"), F.count("*").alias("rows"))
+    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()))  # written once, so a class keeps its number
+    slim, star = reps.select("class", "rep", "low", "rows"), _groups(reps)
+    wanted = written(slim.join(maybe_broadcast(written(star.select("rep").distinct())), "rep", "left_semi"))
+    texts = docs.join(maybe_broadcast(wanted.select(F.col("low").alias("doc_id")).distinct()), "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(_sets, "class binary, shingles binary").join(maybe_broadcast(wanted.select("class", "rep")), "class")
+    sets = written(sets.groupBy("rep").agg(F.first("shingles").alias("shingles")))
+    found = components(_found_links(star, sets, percent))
+    # the smallest doc_id of each component of several classes
+    several = found.select(F.col("node").alias("rep"), "component").unionByName(found.select(F.col("component").alias("rep"), "component").distinct())
+    several = written(slim.select("rep", "low").join(maybe_broadcast(written(several)), "rep"))
+    lowest = maybe_broadcast(written(several.groupBy("component").agg(F.min("low").alias("component_id"))))
+    named = written(several.drop("low").join(lowest, "component"))
+    label = slim.join(maybe_broadcast(named), "rep", "left")
+    label = written(label.select("class", "rows", F.coalesce("component", "rep").alias("_group"), F.coalesce("component_id", "low").alias("component_id")))
+    rows = signed.select("doc_id", "_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
+    # classes of many rows are few and broadcast, the others shuffled
+    hot = label.where(F.col("rows") > HOT).select("class", F.col("_group").alias("_g"), F.col("component_id").alias("_c"))
+    marked = rows.join(maybe_broadcast(hot), "class", "left")
+    done = marked.where("_g is not null").select("doc_id", "_key", "n_shingles", F.col("_c").alias("component_id"), F.col("_g").alias("_group"))
+    other = marked.where("_g is null and class is not null").select("doc_id", "_key", "n_shingles", "class").join(label.where(F.col("rows") <= HOT).select("class", "component_id", "_group"), "class")
+    alone = rows.where("class is null").withColumns({"component_id": F.col("doc_id"), "_group": F.lit(None).cast("long")})
+    out = done.unionByName(other.drop("class")).unionByName(alone.drop("class"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "_key", "_group")

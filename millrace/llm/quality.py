@@ -82,7 +82,7 @@ def judge(docs: DataFrame, most: int = MAX_DOCUMENTS, least: float = MIN_LEFT) -
     hinted = maybe_broadcast(bad)
     if hinted is bad:  # too many to broadcast: a frequent line's rows go to SALTS tasks
         bad = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        removed = lines.withColumn("_salt", F.pmod("_key", F.lit(SALTS)).cast("int")).join(bad, ["_host", "line", "_salt"], "left")
+        removed = lines.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")).join(bad, ["_host", "line", "_salt"], "left")
     else:
         removed = lines.join(hinted, ["_host", "line"], "left")
     shares = removed.groupBy("_key").agg((1 - F.sum(F.when(F.col("n_docs").isNotNull(), F.col("chars")).otherwise(0)) / F.sum("chars")).alias("left"))

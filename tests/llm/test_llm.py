@@ -78,24 +78,43 @@ def test_near_duplicates(docs, spark):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
-def test_large_nodes_branch_and_are_dealt_to_blocks(spark, monkeypatch):
-    base = [f"t{i}" for i in range(60)]
-    rows = [(i, " ".join(base[: 20 + i % 40] + [f"u{i}_{j}" for j in range(i % 7)])) for i in range(120)]
-    for name, value in (("LEAF", 6), ("BLOCK", 8)):
-        monkeypatch.setattr(near_dedup, name, value)
-    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sets, root = [shingles(t) for _, t in rows], list(range(120))
+def linked_components(texts):
+    """doc_id of the smallest member reachable, by place."""
+    sets, root = [shingles(t) for _, t in texts], list(range(len(texts)))
 
     def top(k):
         while root[k] != k:
             k = root[k]
         return k
 
-    for a in range(120):
+    for a in range(len(texts)):
         for b in range(a):
-            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                root[max(top(a), top(b))] = min(top(a), top(b))
-    assert got == {i: top(i) for i in range(120)}
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                root[top(a)] = top(b)
+    return [min(texts[k][0] for k in range(len(texts)) if top(k) == top(i)) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize(("leaf", "block"), [(6, 8), (6, 1000), (1000, 8), (2, 3)])
+def test_large_nodes_branch_and_are_dealt(spark, monkeypatch, leaf, block):
+    base = [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join(base[: 20 + i % 40] + [f"u{i}_{j}" for j in range(i % 7)])) for i in range(120)]
+    for name, value in (("LEAF", leaf), ("BLOCK", block)):
+        monkeypatch.setattr(near_dedup, name, value)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(linked_components(rows)))
+
+
+def test_near_duplicates_where_ids_clash(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT", 5)
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, a), (1, a), (None, a), (9, "other text of its own with enough words"), *[(20 + i, b) for i in range(7)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = near_dedup.near_duplicates(df).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(1, 1)] * 3 + [(2, 1), (3, 1), (4, 1), (None, None), (9, 9)] + [(20 + i, 1) for i in range(7)])
+    assert len({r["_group"] for r in got if r.doc_id is not None}) == 3
+    import corpus_pipeline as p
+
+    assert Counter(map(tuple, p.near_duplicates(spark, df, "").collect())) == Counter([(1, a), (1, b), (None, a), rows[7]])
 
 
 def test_components(spark):
