@@ -26,15 +26,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that with the smallest doc_id; of rows that repeat its doc_id, one."""
-    judged = written(near_dedup.near_duplicates(docs).select("doc_id", "kept"))
-    gone = written(judged.where("not kept").select("doc_id").distinct())
-    kept = docs.join(maybe_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
-    again = written(judged.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """One document of each group, that with the smallest doc_id; of rows that repeat it, one.
+
+    Rows of one doc_id with different texts are different documents. Null ids and texts without words are in no group
+    and stay.
+    """
+    judged = written(near_dedup.near_duplicates(docs).select("doc_id", "_key", "_group"))
+    firsts = judged.where("_group is not null").groupBy("_group").agg(F.min(F.struct("doc_id", "_key")).alias("first"), F.count("*").alias("n"))
+    firsts = written(firsts.where("n > 1").select("_group", "first._key"))
+    gone = judged.join(maybe_broadcast(firsts.select("_group", F.col("_key").alias("_first"))), "_group").where("_key <> _first")
+    kept = _without(docs, gone)
+    again = written(judged.where("_group is not null").join(maybe_broadcast(firsts.select("_key")), "_key", "left_semi").groupBy("_key").count().where("count > 1").select("_key"))
     if not again.limit(1).count():
         return kept
-    once = kept.join(maybe_broadcast(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(maybe_broadcast(again), "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    keyed = kept.withColumn("_key", row_key("doc_id", "text"))
+    once = keyed.join(maybe_broadcast(again), "_key", "left_semi").dropDuplicates(["_key"])
+    return keyed.join(maybe_broadcast(again), "_key", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +50,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows that repeat share the copies of the first."""
-    copies = mixing.mix(docs).where("copies <> 1").groupBy("_key").agg(F.min("copies").cast("int").alias("_copies"))
-    counted = docs.withColumn("_key", row_key("doc_id", "text")).join(maybe_broadcast(written(copies)), "_key", "left")
+    """Each document as often as the mix takes it. Equal rows are emitted as often as all of them together."""
+    drawn = mixing.mix(docs).groupBy("_key").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows"))
+    drawn = written(drawn.where("_copies <> 1 or _rows <> 1"))
+    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
+    again = written(drawn.where("_rows > 1").select("_key"))
+    if again.limit(1).count():
+        once = keyed.join(maybe_broadcast(again), "_key", "left_semi").dropDuplicates(["_key"])
+        keyed = keyed.join(maybe_broadcast(again), "_key", "left_anti").unionByName(once)
+    counted = keyed.join(maybe_broadcast(drawn.select("_key", "_copies")), "_key", "left")
     counted = counted.withColumn("_copies", F.coalesce("_copies", F.lit(1))).where("_copies > 0")
     return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
