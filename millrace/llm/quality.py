@@ -56,15 +56,27 @@ def _lines(docs: DataFrame, text: Column) -> DataFrame:
     """_key, _host, line (hash of the lower-cased, trimmed line) and chars of each line that is not blank."""
     each = docs.select(row_key("doc_id", "source", "text").alias("_key"), F.coalesce("source", F.lit("")).alias("_host"), F.explode(F.split(text, "\n")).alias("l"))
     each = each.withColumn("l", F.btrim("l", F.lit(SPACE_CHARS))).where("l <> ''")
-    return each.select("_key", "_host", F.xxhash64(F.lower("l")).alias("line"), F.octet_length("l").alias("chars"))
+    return each.select("_key", "_host", F.xxhash64(F.lower("l")).alias("line"), F.length("l").alias("chars"))
 
 
 def frequent_lines(docs: DataFrame, most: int = MAX_DOCUMENTS) -> DataFrame:
-    """(_host, line, n_docs): lines in more than most documents of a host. Counts are added up before the shuffle."""
+    """(_host, line, n_docs): lines in more than most distinct documents of a host.
+
+    Rows that repeat a document (doc_id, source and text) count once: each counts its share. Counts are added up before
+    the shuffle.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     hashes = F.array_distinct(F.transform(F.split(F.lower(text), "\n"), lambda x: F.when(F.btrim(x, F.lit(SPACE_CHARS)) != "", F.xxhash64(F.btrim(x, F.lit(SPACE_CHARS))))))
-    each = docs.select(F.coalesce("source", F.lit("")).alias("_host"), F.explode(hashes).alias("line")).where("line is not null")
-    return written(each.groupBy("_host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > most))
+    keyed = docs.select(row_key("doc_id", "source", "text").alias("_key"), F.coalesce("source", F.lit("")).alias("_host"), hashes.alias("lines"))
+    again = written(docs.groupBy(row_key("doc_id", "source", "text").alias("_key")).agg(F.count("*").alias("_rows")).where("_rows > 1"))
+    if again.limit(1).count():
+        keyed = keyed.join(maybe_broadcast(again), "_key", "left")
+    else:
+        keyed = keyed.withColumn("_rows", F.lit(None).cast("long"))
+    each = keyed.select("_host", "_rows", F.explode("lines").alias("line")).where("line is not null")
+    single, shared = F.count(F.when(F.col("_rows").isNull(), 1)), F.sum(F.when(F.col("_rows").isNotNull(), 1 / F.col("_rows")))
+    n_docs = (single + F.coalesce(F.round(shared), F.lit(0.0))).cast("long")
+    return written(each.groupBy("_host", "line").agg(n_docs.alias("n_docs")).where(F.col("n_docs") > most))
 
 
 def judge(docs: DataFrame, most: int = MAX_DOCUMENTS, least: float = MIN_LEFT) -> DataFrame:

@@ -280,6 +280,25 @@ def test_quality_frequent_lines(spark, most, monkeypatch):
     assert "Cookie" not in quality.without_frequent_lines(df.where("doc_id = 0").unionByName(df.where("doc_id <> 0")), most).where("doc_id = 0").head().text
 
 
+def test_quality_counts_distinct_documents(spark):
+    """Against a plain count: repeated rows are one document; left is a share of characters."""
+    text = "\n".join(f"own line {k} with a few more words ü{k}" for k in range(20))
+    rows = [(1, text, "a")] * 11 + [(2, text, "a"), (3, text.upper(), "a"), (3, text, "b")] + [(10 + i, "shared line of some words é\n" + text.replace("own", f"own{i}"), "c") for i in range(11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    docs_of = defaultdict(set)
+    for doc in set(rows):
+        for line in doc[1].lower().split("\n"):
+            docs_of[doc[2], line].add(doc)
+    for most in (1, 2, 3, 10):
+        got = Counter((r.doc_id, round(r.left, 9)) for r in quality.judge(df, most).collect() if r.doc_id != 3)
+        want = Counter()
+        for d, t, s in rows:
+            if d != 3:
+                lines = t.split("\n")
+                want[d, round(1 - sum(len(x) for x in lines if len(docs_of[s, x.lower()]) > most) / sum(map(len, lines)), 9)] += 1
+        assert got == want, most
+
+
 def plain_targets(sizes, weights=(1, 2, 3), most=3):
     order = sorted(sizes, key=lambda s: (s is None, s))
     weight, total, capped = {s: weights[k % 3] for k, s in enumerate(order)}, sum(sizes.values()), {}
@@ -378,6 +397,30 @@ def test_leaks_of_texts_shorter_than_the_item(spark):
     assert {r.doc_id: r.similarity and round(r.similarity, 4) for r in got} == {1: 0.9688, 2: 0.875, 3: 0.75, 4: None}
 
 
+def test_fingerprints_choose_the_candidates(spark, monkeypatch):
+    """At the similarity asked for nearly all windows are found; with no radius, changed windows are not."""
+    draw = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    items = [(k, " ".join(draw.choice(vocabulary) for _ in range(draw.randint(30, 60)))) for k in range(60)]
+    texts, want = [], {}
+    for d in range(1500):
+        i, item = items[d % 60]
+        w = item.split()
+        for _ in range(d % 4):
+            w[draw.randrange(len(w))] = "changed"
+        texts.append((d, " ".join([draw.choice(vocabulary) for _ in range(d % 7)] + w + ["end"] * (d % 3))))
+        a, b = (Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4)) for x in (item.split(), w))
+        both = sum((a & b).values())
+        want[d] = both / (sum(a.values()) + sum(b.values()) - both)
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id for r in decontaminate.judge(docs, bench).collect() if not r.kept}
+    near = {d for d, x in want.items() if x >= 0.75}
+    edge = {d for d in near if want[d] < 0.8}
+    assert got >= {d for d in near if want[d] >= 0.8} and len(got & near) >= 0.999 * len(near) and len(edge) > 100
+    same = {r._key for r in decontaminate.find_leaks(docs, bench, radius=0).collect()}
+    assert len(same) < 0.6 * len(near)
+
+
 def plain_url(url):
     if not url or "://" not in url:
         return "", ""
