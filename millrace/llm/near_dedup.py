@@ -24,9 +24,9 @@ from .common import maybe_broadcast, row_key, written
 #: Trees; the tokens of a signature (the first TREES of them for the roots); levels of branching; children below the first level.
 TREES, COORDS, WIDTH, LEVELS, BRANCHES = 16, 48, 5, 3, 2
 #: A node of more members or more shingles branches.
-LEAF, LEAF_SHINGLES = 256, 2_000_000
+LEAF, LEAF_SHINGLES = 256, 500_000
 #: What one task compares with each other; larger groups are dealt to tasks of about that much.
-BLOCK, BLOCK_SHINGLES = 256, 2_000_000
+BLOCK, BLOCK_SHINGLES = 256, 500_000
 #: Rows of one class from which its label is broadcast, so that no task gets all of them.
 HOT = 10_000
 
@@ -227,13 +227,13 @@ def _groups(reps: DataFrame) -> DataFrame:
     """
     stars, members = [], written(reps.select("rep", "size", "sig").mapInArrow(_roots, "node long, rep long, size long"))
     for level in range(1, LEVELS + 1):
-        nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("rep").alias("center"), F.max("rep").alias("last"), F.min_by("size", "rep").alias("first_size"), F.max_by("size", "rep").alias("last_size"))
+        nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("rep").alias("center"), F.max("rep").alias("last"))
         nodes = written(nodes.where("n > 1"))
         # nodes of two are pairs already; only larger ones need their members
-        pair = F.explode(F.array(F.struct(F.col("center").alias("rep"), F.col("first_size").alias("size")), F.struct(F.col("last").alias("rep"), F.col("last_size").alias("size"))))
-        stars.append(nodes.where("n = 2").select("center", pair.alias("m")).select("center", "m.rep", "m.size"))
+        stars.append(nodes.where("n = 2").select("center", F.explode(F.array("center", "last")).alias("rep"), F.ceil(F.col("total") / 2).alias("size")))
         larger = nodes.where("n > 2").select("node", "n", "total", "center")
         small = F.lit(True) if level == LEVELS else (F.col("n") <= LEAF) & (F.col("total") <= LEAF_SHINGLES)
+        # a size is what a member adds to its group, for the dealing only
         stars.append(members.join(maybe_broadcast(larger.where(small).select("node", "center")), "node").select("center", "rep", "size"))
         large = larger.where(~small).select("node")
         if level == LEVELS or not large.limit(1).count():
@@ -243,7 +243,7 @@ def _groups(reps: DataFrame) -> DataFrame:
     star = stars[0]
     for more in stars[1:]:
         star = star.unionByName(more)
-    return written(star.distinct())
+    return written(star.groupBy("center", "rep").agg(F.max("size").alias("size")))
 
 
 def _found_links(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -253,6 +253,7 @@ def _found_links(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     groups = written(groups.select("center", tasks.alias("tasks")))
     shares = F.when(F.col("rep") == F.col("center"), F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("tasks")).cast("int")))
     dealt = star.join(maybe_broadcast(groups), "center").select("center", "rep", "tasks", F.explode(shares).alias("share"))
+    dealt = maybe_broadcast(written(dealt))
     compared = written(dealt.join(sets, "rep").groupBy("center", "share").applyInPandas(_compare(percent), "a long, b long, other long"))
     links = compared.where("b is not null").select("a", "b").distinct()
     rest = written(compared.where("other is not null").select(F.col("a").alias("center"), F.col("other").alias("rep")).distinct())
@@ -289,8 +290,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     slim, star = reps.select("class", "rep", "low", "rows"), _groups(reps)
     wanted = written(slim.join(maybe_broadcast(written(star.select("rep").distinct())), "rep", "left_semi"))
     texts = docs.join(maybe_broadcast(wanted.select(F.col("low").alias("doc_id")).distinct()), "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "class binary, shingles binary").join(maybe_broadcast(wanted.select("class", "rep")), "class")
-    sets = written(sets.groupBy("rep").agg(F.first("shingles").alias("shingles")))
+    sets = texts.mapInArrow(_sets, "class binary, shingles binary").join(maybe_broadcast(wanted.select("class", "rep")), "class").select("rep", "shingles")
+    if signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        sets = sets.groupBy("rep").agg(F.first("shingles").alias("shingles"))  # ids repeat, so a class may come more than once
+    sets = written(sets)
     found = components(_found_links(star, sets, percent))
     # the smallest doc_id of each component of several classes
     several = found.select(F.col("node").alias("rep"), "component").unionByName(found.select(F.col("component").alias("rep"), "component").distinct())

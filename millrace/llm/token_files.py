@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,9 @@ FILE_CHARS = 100_000_000
 #: Documents from which the dictionary is trained, of at most so many characters each, and its size in bytes.
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4000, 65536
 #: Pieces that an encoder keeps.
-_CACHE_PIECES = 600_000
+_CACHE_PIECES = 250_000
+#: Text that is cut into pieces at a time.
+RUN_BYTES = 1_000_000
 #: An entry of the index; known is 0 for a null doc_id.
 _ENTRY = np.dtype([("doc_id", "<i8"), ("known", "<u4"), ("length", "<u4"), ("offset", "<u8"), ("n_tokens", "<u8")])
 
@@ -122,6 +125,18 @@ class Encoder:
         return out
 
 
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows (place, number) of at most about RUN_BYTES of text; a longer text is a run of its own."""
+    at = held = 0
+    for k, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if k > at and held + size > RUN_BYTES:
+            yield at, k - at
+            at, held = k, 0
+        held += size
+    if len(texts) > at:
+        yield at, len(texts) - at
+
+
 def _filed(path: str, end_id: int, dictionary: bytes):
     """A partition's sorted rows (doc_id, text) to the frames of one file: dictionary, documents, index."""
 
@@ -131,8 +146,8 @@ def _filed(path: str, end_id: int, dictionary: bytes):
         head = skippable(DICTIONARY, dictionary)
         at, entries = len(head) + len(SEPARATOR), []
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                ids, texts = batch.column(0).slice(k, 256).to_pylist(), batch.column(1).slice(k, 256).to_pylist()
+            for k, n in _runs(batch.column(1)):
+                ids, texts = batch.column(0).slice(k, n).to_pylist(), batch.column(1).slice(k, n).to_pylist()
                 frames = [] if entries else [head]
                 for i, raw in zip(ids, encoder.encode([t or "" for t in texts]), strict=True):
                     frame = packer.compress(raw + end)
