@@ -19,8 +19,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_QUOTED = re.compile(r"\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)")
 #: Elements whose content is text without markup; they end at their end tag only.
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,26 +71,33 @@ def _is_cut(tag: str, attributes: str) -> bool:
             return True
         if name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:$|[\s=])", attributes))
+    return bool(re.search(r"(?:^|\s)hidden(?:$|[\s=])", _QUOTED.sub("''", attributes)))
 
 
 def parse(html: str) -> Node:
     """The DOM of a page that need not be well formed, without recursion."""
     root = node = Node("html", None, False)
     at, end = 0, len(html)
+    opened: dict[str, int] = {}  # elements that are open, by tag
 
     def text(a: int, b: int) -> None:
         if b > a:
             node.children.append(html[a:b])
 
-    def close(names: tuple[str, ...], stops: tuple[str, ...]) -> None:
+    def leave(n: Node) -> None:
         nonlocal node
-        n = node
-        while n is not root and n.tag not in stops:
-            if n.tag in names:
-                node = n.parent
-                return close(names, stops) if len(names) > 1 else None
-            n = n.parent
+        while node is not n.parent:
+            opened[node.tag] -= 1
+            node = node.parent
+
+    def close(names: tuple[str, ...], stops: tuple[str, ...]) -> None:
+        while any(opened.get(x) for x in names):
+            n = node
+            while n is not root and n.tag not in stops and n.tag not in names:
+                n = n.parent
+            if n.tag not in names:
+                return
+            leave(n)
 
     while at < end:
         m = _TOKEN.search(html, at)
@@ -102,28 +110,31 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            n = node
-            while n is not root and n.tag != tag:
-                n = n.parent
-            if n is not root:
-                node = n.parent
+            if opened.get(tag):
+                n = node
+                while n.tag != tag:
+                    n = n.parent
+                leave(n)
             continue
         if tag in ("html", "body"):
             if tag == "body" and not any(isinstance(c, Node) and c.tag == "body" for c in root.children):
                 node = Node("body", root, False)
                 root.children.append(node)
+                opened["body"] = 1
             continue
         if tag in _BLOCK:
             close(("p",), ("table", "td", "th", "li", "article", "section", "div", "body"))
         if tag in _CLOSES:
             close(*_CLOSES[tag])
-        new = Node(tag, node, _is_cut(tag, m[3]))
+        # the header of an article is part of it
+        new = Node(tag, node, _is_cut(tag, m[3]) and not (tag == "header" and (opened.get("article") or opened.get("main"))))
         node.children.append(new)
         if tag in _RAW:
             stop = _RAW[tag].search(html, at)
             at = stop.end() if stop else end
         elif tag not in _VOID and not m[3].rstrip().endswith("/"):
             node = new
+            opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
@@ -210,7 +221,7 @@ def _measure(root: Node) -> tuple[Node, list[Node]]:
             weight = math.log(max(math.e, n.chars / max(1, n.link_chars) * tags / links), max(base, 1.0001)) if n.link_chars else 1.0
             n.density = n.chars / tags * weight
     for n in order:
-        n.total = sum(c.density for c in n.children if not isinstance(c, str) and not c.cut)
+        n.total = sum(c.density for c in n.children if not isinstance(c, str) and not c.cut and c.tag in _BLOCK)  # inline elements are part of their block
     return body, order
 
 
@@ -248,23 +259,7 @@ def main_text(html: str | None) -> str:
     best = max(order, key=lambda n: n.total)
     if not best.total:
         best = body
-    # the content's container: article or main around the best subtree, if the page says so
-    top, n = best, best
-    while n is not None:
-        if n.tag in ("article", "main"):
-            top = n
-        n = n.parent
-    if top.tag not in ("article", "main"):
-        named = [n for n in order if n.tag in ("article", "main") and n.chars >= 0.5 * body.chars]
-        top = named[0] if named else top
-    if top.tag in ("article", "main"):
-        threshold, n = top.density, top
-        while n is not body and n.parent is not None:
-            n = n.parent
-            threshold = min(threshold, n.density)
-        sure, around = {id(top)}, False
-    else:
-        top, threshold, sure, around = _content(best, body)
+    top, threshold, sure, around = _content(best, body)
     blocks: list[str] = []
     kinds: list[str] = []
     parts: list[str] = []

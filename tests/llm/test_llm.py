@@ -187,6 +187,45 @@ def test_extract_small_pages(spark, sf):
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
+def test_extract_text_is_chosen_by_density(sf, monkeypatch):
+    """Without telling tags and classes the articles are found; with noise for densities they aren't."""
+    pages = [r[0] for r in duckdb.sql(f"select html from '{sf}/pages.parquet'").fetchall()]
+    want = [extract.main_text(h).split("\n\n") for h in pages]
+    neutral = [re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|\S+?(?=[\s>]))", "", re.sub(r"<(/?)(article|main|nav|header|footer|aside|section)\b", r"<\1div", h)) for h in pages]
+    got = [extract.main_text(h).split("\n\n") for h in neutral]
+    found, all_of = sum(x in g for w, g in zip(want, got, strict=True) for x in w), sum(map(len, want))
+    assert found >= 0.99 * all_of and found >= 0.95 * sum(map(len, got))
+    exact = sum(w == g for w, g in zip(want, got, strict=True))
+    measure, draw = extract._measure, random.Random(4)
+
+    def noise(root):
+        body, order = measure(root)
+        for n in order:
+            n.density, n.total = draw.random() * 100, draw.random() * 100
+        return body, order
+
+    monkeypatch.setattr(extract, "_measure", noise)
+    assert sum(extract.main_text(h).split("\n\n") == w for h, w in zip(neutral, want, strict=True)) < 0.5 * exact
+
+
+def test_extract_odd_markup(spark):
+    para = "a sentence of the article that is long enough to count " * 4
+    p = " ".join(para.split())
+    for page in (
+        f"<div class='layout has-sidebar'><article><p>{para}</p><p>{para}</p></article></div>", f"<p title='the hidden truth'>{para}</p><p>{para}</p>",
+        f"<!--><article><p>{para}</p><p>{para}</p></article>", f"<article><p>{para}</p></article><article><p>{para}</p></article>", f"<form><p>{para}</p><p>{para}</p></form>",
+    ):
+        assert extract.main_text(page) == f"{p}\n\n{p}", page
+    assert extract.main_text(f"<article><header><h1>Title</h1></header><p>{para}</p><p>{para}</p></article>") == f"Title\n\n{p}\n\n{p}"
+    assert extract.main_text("<b>" * 20_000 + "</p>" * 20_000 + "deep") == "deep"
+    huge = f"<article>{f'<p>{para}</p>' * 20_000}</article>"
+    rows = [(None, None, None), (1, "u", huge), (1, "u", huge), (2, None, ""), (None, "v", f"<p>{para}</p>")]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, text string, n_chars string")
+    got = Counter(map(tuple, extract.extract_text(df).collect()))
+    whole = "\n\n".join([p] * 20_000)
+    assert got == Counter([(None, None, "", 0), (1, "u", whole, len(whole)), (1, "u", whole, len(whole)), (2, None, "", 0), (None, "v", p, len(p))])
+
+
 @pytest.mark.parametrize("sample", [3, 1000])
 def test_token_files(docs, monkeypatch, sample):
     from tokenizers import Tokenizer
