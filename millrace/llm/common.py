@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,6 +34,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns a Python worker's free memory to the machine; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def maybe_broadcast(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A written table, with a broadcast hint if its counted rows are few enough; else Spark shuffles both sides."""
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, row_key, written
+from .common import give_back, maybe_broadcast, row_key, written
 
 #: Trees; the tokens of a signature (the first TREES of them for the roots); levels of branching; children below the first level.
 TREES, COORDS, WIDTH, LEVELS, BRANCHES = 16, 48, 5, 3, 2
@@ -74,6 +74,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column(0).slice(at, 1024), batch.column(1).slice(at, 1024), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.binary())],
                 names=["doc_id", "_key", "n_shingles", "class", "sig"],
             )
+    give_back()
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -196,6 +197,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 256):
             sets = [shingle_set(t.as_py()).tobytes() for t in batch.column(0).slice(at, 256)]
             yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["class", "shingles"])
+    give_back()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import json
 import os
 import re
 import struct
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import give_back, written
 from .frames import DICTIONARY, INDEX, SEPARATOR, skippable, trained, write_frames
 
 #: Documents of one file, about; there are as many files as shuffle partitions at least.
@@ -34,7 +33,7 @@ FILE_CHARS = 100_000_000
 #: Documents from which the dictionary is trained, of at most so many characters each, and its size in bytes.
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4000, 65536
 #: Pieces that an encoder keeps.
-_CACHE_PIECES = 250_000
+_CACHE_PIECES = 60_000
 #: Text that is cut into pieces at a time.
 RUN_BYTES = 1_000_000
 #: An entry of the index; known is 0 for a null doc_id.
@@ -57,19 +56,18 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        how = json.loads(self.tokenizer.to_str())
-        split = how["pre_tokenizer"] or {}
-        self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not how["normalizer"] and not how["model"].get("dropout")
+        split, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        bytewise = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space
+        self.cuts = bytewise and not self.tokenizer.normalizer and isinstance(model, models.BPE) and not model.dropout
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        vocab = self.tokenizer.get_vocab()
-        self.spaced = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        self.spaced[[k for token, k in vocab.items() if token.startswith("Ġ")]] = True  # how byte-level BPE writes a space
+        tokens = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.spaced = np.array([bool(t) and t.startswith("Ġ") for t in tokens], bool)  # how byte-level BPE writes a space
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -141,6 +139,7 @@ def _filed(path: str, end_id: int, dictionary: bytes):
     """A partition's sorted rows (doc_id, text) to the frames of one file: dictionary, documents, index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encoder, end = Encoder.of(path), struct.pack("<I", end_id)
         packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         head = skippable(DICTIONARY, dictionary)
@@ -158,6 +157,8 @@ def _filed(path: str, end_id: int, dictionary: bytes):
         if entries:
             index = hashlib.sha256(dictionary).digest() + np.array(entries, _ENTRY).tobytes() + struct.pack("<Q", at)
             yield pa.RecordBatch.from_arrays([pa.array([skippable(INDEX, index)], pa.binary())], names=["frame"])
+        encoder.kept.clear()
+        give_back()
 
     return run
 
