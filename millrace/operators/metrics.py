@@ -11,8 +11,8 @@ def confusion(df: DataFrame, y: str, yhat: str) -> DataFrame:
     return df.groupBy(F.col(y).alias("actual"), F.col(yhat).alias("predicted")).agg(F.count("*").alias("n"))
 
 
-def classification(df: DataFrame, y: str, yhat: str) -> DataFrame:
-    """One row: accuracy and macro precision, recall, f1. An undefined ratio counts as 0."""
+def _by_class(df: DataFrame, y: str, yhat: str) -> DataFrame:
+    """hits, n_real, p, r and f of each class. An undefined ratio counts as 0."""
     cells = confusion(df, y, yhat)
     hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
     real = cells.groupBy(F.col("actual").alias("c")).agg(F.sum("n").alias("n_real"), F.sum(hit).alias("hits"))
@@ -20,10 +20,48 @@ def classification(df: DataFrame, y: str, yhat: str) -> DataFrame:
     each = real.join(said, "c", "full_outer").na.fill(0, ["n_real", "hits", "n_said"])
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     p, r = safe(F.col("hits"), F.col("n_said")), safe(F.col("hits"), F.col("n_real"))
-    each = each.select("hits", "n_real", p.alias("p"), r.alias("r")).withColumn("f", safe(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")))
+    return each.select("hits", "n_real", p.alias("p"), r.alias("r")).withColumn("f", safe(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")))
+
+
+def classification(df: DataFrame, y: str, yhat: str) -> DataFrame:
+    """One row: accuracy and macro precision, recall, f1. An undefined ratio counts as 0."""
+    each = _by_class(df, y, yhat)
     return each.agg((F.sum("hits") / F.sum("n_real")).alias("accuracy"), F.avg("p").alias("precision"), F.avg("r").alias("recall"), F.avg("f").alias("f1"))
 
 
+def classification_weighted(df: DataFrame, y: str, yhat: str) -> DataFrame:
+    """One row: precision, recall and f1 weighted by the classes' rows, and balanced accuracy (mean recall of real classes)."""
+    mean = lambda c: F.sum(F.col(c) * F.col("n_real")) / F.sum("n_real")
+    balanced = F.avg(F.when(F.col("n_real") > 0, F.col("r")))
+    return _by_class(df, y, yhat).agg(mean("p").alias("precision"), mean("r").alias("recall"), mean("f").alias("f1"), balanced.alias("balanced_accuracy"))
+
+
+def best_f1(df: DataFrame, y: str, score: str) -> DataFrame:
+    """threshold and f1 of the score from which positives are predicted best; of equal ones the highest threshold."""
+    curve = roc(df, y, score)
+    positives = df.agg(F.sum(y)).head()[0] or 0
+    return curve.select(F.col("score").alias("threshold"), (2 * F.col("tp") / (F.col("tp") + F.col("fp") + positives)).alias("f1")).orderBy(F.desc("f1"), F.desc("threshold")).limit(1)
+
+
+def hard_vote(votes: list[Column]) -> Column:
+    """The most frequent of a row's votes; of equal ones the smallest. Nulls don't vote."""
+    given = F.array_compact(F.array(*votes))
+    counted = F.transform(F.array_distinct(given), lambda v: F.struct((-F.size(F.filter(given, lambda x: x == v))).alias("n"), v.alias("v")))
+    return F.array_min(counted)["v"]
+
+
+def over_folds(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """mean and deviation (n - 1) of a value over the folds."""
+    return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"))
+
+
+def outer_rmse(ranked: DataFrame, held: DataFrame, user: str, item: str, score: str, rating: str, default: float = 0.0) -> DataFrame:
+    """rmse over all pairs that are ranked or held out; what one side lacks counts as default."""
+    both = ranked.select(user, item, F.col(score).alias("_s")).join(held.select(user, item, F.col(rating).alias("_r")), [user, item], "full_outer")
+    off = F.coalesce("_s", F.lit(default)) - F.coalesce("_r", F.lit(default))
+    return both.agg(F.sqrt(F.avg(off * off)).alias("rmse"))
+
+
 def roc(df: DataFrame, y: str, score: str) -> DataFrame:
     """(score, tp, fp): counts at or above each score. Equal scores are one point."""
     points = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(y)).alias("p"), F.sum(1 - F.col(y)).alias("n"))

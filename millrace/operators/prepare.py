@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.ranks import numbered
 from millrace.functions.expressions import hash_bucket
 
 
@@ -161,3 +164,55 @@ def tfidf(docs: DataFrame, doc: str, text: str, min_df: int = 1, shortest: int =
     n = docs.select(F.countDistinct(doc)).head()[0]
     raw = tf.join(df, "term").select("doc", "term", (F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("x"))
     return raw.select("doc", "term", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc")))).alias("weight"))
+
+
+def split_three_ways(df: DataFrame, label: str, key: str, train: float = 0.6, validation: float = 0.2, seed: int = 0) -> DataFrame:
+    """split: train, validation or test by hash order within each label; what rounding leaves over is test."""
+    group = Window.partitionBy(label)
+    n, place = F.count("*").over(group), F.row_number().over(group.orderBy(hash_bucket(F.col(key), seed, 1 << 31), key))
+    first, second = F.floor(n * train), F.floor(n * train) + F.floor(n * validation)
+    return df.withColumn("split", F.when(place <= first, "train").when(place <= second, "validation").otherwise("test"))
+
+
+def with_least(df: DataFrame, columns: list[str], least: int) -> DataFrame:
+    """Rows whose value of every column has least rows, counted in the table as it came."""
+    out = df
+    for c in columns:
+        out = out.join(df.groupBy(c).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(c), c, "left_semi")
+    return out
+
+
+def unit_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns divided by their Euclidean norms; a column of zeros stays."""
+    norms = df.agg(*[F.sqrt(F.sum(F.col(c) * F.col(c))).alias(c) for c in columns]).head()
+    return df.withColumns({c: F.col(c) / F.lit(norms[c] or 1.0) for c in columns})
+
+
+def codes_by_appearance(df: DataFrame, column: str, order: str, out: str = "code") -> DataFrame:
+    """(column, out): 0, 1, ... by a value's first appearance in that order; nulls have no code."""
+    first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_first"))
+    return numbered(first, [F.col("_first"), F.col(column)], out).drop("_first")
+
+
+def first_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row by order of each distinct combination of keys."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_p", place).where("_p = 1").drop("_p")
+
+
+def beside(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column]) -> DataFrame:
+    """Rows of two tables side by side by their places; the longer one's last rows have nulls. Columns must differ."""
+    return numbered(left, left_order, "_at").join(numbered(right, right_order, "_at"), "_at", "full_outer").drop("_at")
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """Column names trimmed, in lower case, with _ for runs of other signs than letters and digits."""
+    return df.toDF(*[re.sub(r"[^0-9a-z]+", "_", c.strip().lower()).strip("_") for c in df.columns])
+
+
+def checked_labels(df: DataFrame, label: str, allowed: list) -> DataFrame:
+    """df as it is; an error if a label is null or not allowed."""
+    wrong = df.where(F.col(label).isNull() | ~F.col(label).isin(allowed)).select(label).limit(1).collect()
+    if wrong:
+        raise ValueError(f"label {wrong[0][0]!r} is not one of {allowed}")
+    return df

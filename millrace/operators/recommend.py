@@ -30,14 +30,94 @@ def gram(ratings: DataFrame) -> DataFrame:
     return left.join(right, "user").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
 
 
+def _block_top(k: int):
+    """The k best partners, within a pair of item blocks, of each item of either block."""
+
+    def found(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        same = key[0] == key[1]
+        sides = [pdf[pdf["block"] == b].sort_values("item") for b in ((key[0],) if same else key)]
+        empty = pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64), "similarity": np.array([], np.float64)})
+        if any(s.empty for s in sides):
+            return empty
+        users = np.unique(np.concatenate([np.concatenate(list(s["users"])) for s in sides]))
+        flat = []
+        for s in sides:
+            owner = np.repeat(np.arange(len(s)), s["users"].map(len))
+            where = np.searchsorted(users, np.concatenate(list(s["users"])))
+            order = np.argsort(where, kind="stable")
+            flat.append((owner[order], where[order], np.concatenate(list(s["ratings"]))[order], s["item"].to_numpy()))
+        product = np.zeros((len(sides[0]), len(sides[-1])))
+        for low in range(0, len(users), 1024):  # a stretch of users at a time
+            parts = []
+            for owner, where, rating, items in flat:
+                x, y = np.searchsorted(where, [low, low + 1024])
+                part = np.zeros((len(items), 1024))
+                part[owner[x:y], where[x:y] - low] = rating[x:y]
+                parts.append(part)
+            product += parts[0] @ parts[-1].T
+        out = []
+        for table, mine, theirs in ((product, flat[0][3], flat[-1][3]), (product.T, flat[-1][3], flat[0][3]))[: 1 if same else 2]:
+            s = np.round(table, 9)
+            if same:
+                np.fill_diagonal(s, 0)
+            # the k-th largest of a row and all that equal it; items come in order, so ties are cut by item later
+            n = min(k, s.shape[1])
+            least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+            x, y = np.nonzero((s >= least[:, None]) & (s != 0))
+            order = np.lexsort((theirs[y], -s[x, y], x))
+            x, y = x[order], y[order]
+            first = np.searchsorted(x, np.arange(len(mine)))
+            keep = np.arange(len(x)) - first[x] < k
+            out.append(pd.DataFrame({"a": mine[x[keep]], "b": theirs[y[keep]], "similarity": s[x[keep], y[keep]]}))
+        return pd.concat(out)
+
+    return found
+
+
+#: Items of a block, about; a task holds the products of two blocks.
+ITEM_BLOCK = 2048
+
+
 def neighbours(ratings: DataFrame, k: int) -> DataFrame:
-    """(a, b, similarity, rank): the k items of the largest cosine for each item; equal ones by item."""
-    g = gram(ratings)
-    norms = ratings.groupBy("item").agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("norm"))
-    pairs = g.where("a <> b").join(norms.withColumnsRenamed({"item": "a", "norm": "na"}), "a").join(norms.withColumnsRenamed({"item": "b", "norm": "nb"}), "b")
-    cosine = pairs.select("a", "b", F.round(F.col("g") / (F.col("na") * F.col("nb")), 9).alias("similarity"))
+    """(a, b, similarity, rank): the k items of the largest cosine for each item; equal ones by item.
+
+    Items (long ids; ratings positive) are dealt to blocks, and each pair of blocks is one product of two sparse
+    matrices, of which only the best k of a row leave the task: no pair of items is shuffled. An item's ratings are one
+    row, so an item that nearly all users rate must fit in a task. Items without a common user are no neighbours.
+    """
+    norm = F.sqrt(F.sum(F.col("rating") * F.col("rating")))
+    rows = ratings.groupBy(F.col("item").cast("long").alias("item")).agg(F.collect_list(F.struct(F.col("user").cast("long").alias("u"), F.col("rating").cast("double").alias("r"))).alias("l"), norm.alias("norm"))
+    rows = written(rows.where("norm > 0").select("item", F.col("l.u").alias("users"), F.transform("l.r", lambda x: x / F.col("norm")).alias("ratings")))
+    blocks = max(1, -(-rows.count() // ITEM_BLOCK))
+    own, other = F.pmod(F.xxhash64("item"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    dealt = rows.withColumn("block", own.cast("long")).withColumn("_other", other)
+    dealt = dealt.select(F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "item", "users", "ratings")
+    best = dealt.groupBy("i", "j").applyInPandas(_block_top(k), "a long, b long, similarity double")
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
-    return cosine.withColumn("rank", place).where(F.col("rank") <= k)
+    return best.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def keep_largest(weights: DataFrame, k: int) -> DataFrame:
+    """weights (src, dst, weight) with only the k largest positive ones of each dst; equal ones by src."""
+    place = F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("weight"), "src"))
+    return weights.where("weight > 0").withColumn("_r", place).where(F.col("_r") <= k).drop("_r")
+
+
+def weighted_average(pairs: DataFrame, ratings: DataFrame, weights: DataFrame, default: float, low: float, high: float) -> DataFrame:
+    """pairs (user, item) with score: the mean of the user's ratings by weight(src, dst = item), within low and high.
+
+    default where the user has rated nothing with a weight.
+    """
+    known = pairs.select("user", "item").distinct().join(weights.withColumnRenamed("dst", "item"), "item").join(ratings.select("user", F.col("item").alias("src"), "rating"), ["user", "src"])
+    total = F.sum(F.abs("weight"))
+    means = known.groupBy("user", "item").agg((F.sum(F.col("rating") * F.col("weight")) / F.when(total > 0, total)).alias("score"))
+    return pairs.join(means, ["user", "item"], "left").withColumn("score", F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce("score", F.lit(default)))))
+
+
+def popular(ratings: DataFrame, k: int) -> DataFrame:
+    """(item, n, mean, rank): the k items of most ratings; equal ones by mean, then by item."""
+    best = ratings.groupBy("item").agg(F.count("*").alias("n"), F.avg("rating").alias("mean")).orderBy(F.desc("n"), F.desc("mean"), "item").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("mean"), "item")))  # k rows
 
 
 def linear_scores(ratings: DataFrame, weights: DataFrame) -> DataFrame:

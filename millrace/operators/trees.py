@@ -86,6 +86,10 @@ def _impurity(stats: list[Column], weight: Column, criterion: str) -> Column:
     """Weight times impurity, but for what is the same before and after a split. Smaller is purer."""
     if criterion == "entropy":
         return sum((F.when(s > 0, -s * F.log2(s / weight)).otherwise(0.0) for s in stats), F.lit(0.0))
+    if criterion == "misclassification":
+        return weight - (F.greatest(*stats) if len(stats) > 1 else stats[0])
+    if criterion == "quarter":  # 4 p (1 - p), of two classes
+        return 4 * stats[-1] * (weight - stats[-1]) / weight
     return -sum((s * s for s in stats), F.lit(0.0)) / weight
 
 

@@ -1,0 +1,3 @@
+"""The registered queries: catalog has them all, more adds to it."""
+
+from . import catalog, more  # noqa: F401

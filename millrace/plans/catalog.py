@@ -237,9 +237,9 @@ def interactions_dedup_mean(df):
     return ratings(df).withColumn("rating", F.round("rating", 6))
 
 
-@query("events", "SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY 1")
+@query("events", "SELECT user_id, count(*) FILTER (event_type = 'click') AS \"click\", count(*) FILTER (event_type = 'error') AS \"error\", count(*) FILTER (event_type = 'purchase') AS \"purchase\", count(*) FILTER (event_type = 'signup') AS \"signup\", count(*) FILTER (event_type = 'view') AS \"view\" FROM events GROUP BY 1")
 def pivot_user_item(df):
-    return df.groupBy("user_id").pivot("event_type", ["click", "view"]).count().na.fill(0)
+    return df.groupBy("user_id").pivot("event_type", ["click", "error", "purchase", "signup", "view"]).count().na.fill(0)
 
 
 @query("lineitem", f"WITH r AS ({_RATINGS}) SELECT round(count(*) / (count(DISTINCT \"user\") * count(DISTINCT item)), 9) AS density FROM r")
@@ -633,6 +633,6 @@ def cluster_accuracy(df):
     return _frame(df, [(metrics.cluster_accuracy(marked, "label", "c"),)], "accuracy double")
 
 
-@query("orders")
+@query("orders", f"SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {bucket(0, 'o_orderkey', 1 << 31)}, o_orderkey) AS p FROM orders) WHERE p <= (SELECT min(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus))")
 def undersample(df):
     return prepare.undersample(df, "o_orderstatus", "o_orderkey").select("o_orderkey", "o_orderstatus")
