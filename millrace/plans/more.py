@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from millrace.operators import metrics, prepare, recommend
 from millrace.sources.sinks import write_csv, write_json
+from millrace.sources.storage import shared_dir
 
 from .catalog import _JUDGED, _LABEL, _RATINGS, _TOP, _held, _HELD, _split, _top, bucket, judged, lines, query, r6, ratings
 
@@ -153,7 +152,7 @@ def predict_weighted_average(df):
 
 
 def _stored(df, write, read):
-    path = f"{df.sparkSession.conf.get('spark.checkpoint.dir')}/{uuid.uuid4().hex}"
+    path = shared_dir(df.sparkSession)
     write(df, path)
     return read(df.sparkSession.read.schema(df.schema), path)
 
