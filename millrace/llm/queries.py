@@ -48,7 +48,7 @@ def op5_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.filter("spans", lambda s: s.kind.isin(*kinds))
 
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *counts, F.sha2(joined(of(*base)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(of(*base)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.array_max("spans.score").alias("top_score"))
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -144,6 +145,14 @@ def test_pii(docs):
     assert pii.redact("x a@b.cc y") == "x <email> y"
 
 
+def test_context_decides_what_is_no_base_span():
+    key, iban = "k3y9f8e7d6c5b4a3z2", "DE89370400440532013000"
+    kinds = lambda text: [s[1] for s in pii.find(text)]
+    assert kinds(f"the password is {key} now") == ["secret"] and kinds(f"the answer is {key} now") == []
+    assert kinds(f"the token's sha256 is {key} now") == [] and kinds(f"token={key}") == ["secret"]
+    assert kinds(f"pay to {iban}") == ["iban"] and kinds(f"tracking {iban}") == [] and kinds(f"tracking, bank {iban}") == ["iban"]
+
+
 def test_extract_text():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
     <div class="cookie-notice">We use cookies</div><nav><ul><li><a href=/x>menu</a></ul></nav><div id=content><h1>Ti &amp; tle</h1>
@@ -483,6 +492,36 @@ def test_urls(spark, sf):
     assert [(r.verdict, r.rule) for r in alone] == [("allow", None)]
 
 
+def test_url_scores(spark):
+    """Witten-Bell models of both classes in plain Python."""
+    training = [("http://aab.com/x1", True), ("http://aab.com/x\u00e9", True), ("", True), ("http://bba.com/y2", False), ("http://bba.com/y2", False), ("ftp://q", False)]
+    counts = [{}, {}]
+    for url, accepted in training:
+        whole = urls._START + url + "\x03"
+        for i in range(urls.ORDER, len(whole)):
+            for k in range(urls.ORDER + 1):
+                after = counts[accepted].setdefault(whole[i - k : i], Counter())
+                after[whole[i]] += 1
+
+    def p(c, context, char):
+        below = p(c, context[1:], char) if context else 1 / 256
+        after = counts[c].get(context)
+        return below if after is None else (after[char] + len(after) * below) / (sum(after.values()) + len(after))
+
+    def score(url):
+        whole = urls._START + url + "\x03"
+        at = range(urls.ORDER, len(whole))
+        return sum(math.log(p(1, whole[i - urls.ORDER : i], whole[i]) / p(0, whole[i - urls.ORDER : i], whole[i])) for i in at) / len(at)
+
+    model = urls._models(spark.createDataFrame(training, "url string, accepted boolean"))
+    texts = ["", "http://aab.com/y9", "\u4e2d\u6587 \U0001f600", "ftp://x", "http://bba.com/x1", *(["http://zz"] * 3)]
+    rows = spark.createDataFrame([(u, len(u) + 1) for u in texts], "url string, _len int")
+    got = {r.url: r for r in urls._scores(rows, ["url"], model).collect()}
+    assert len(got) == 6 and got["http://zz"].copies == 3
+    for u in texts:
+        assert got[u].score == pytest.approx(score(u), abs=1e-9)
+
+
 def test_url_models_tell_held_out_urls_apart(spark):
     rows = [(i, f"http://news{i % 7}.example.org/fr/story-{i}-garden") for i in range(300)] + [(1000 + i, f"http://x{i % 7}.example.com/de/casino-pills-{i}") for i in range(300)]
     open_rows = [(5000 + i, f"http://y{i}.net/fr/story-{i}-garden") for i in range(20)] + [(6000 + i, f"http://y{i}.net/de/casino-pills-{i}") for i in range(20)]
