@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions.ranks import running_sums
+
 
 def confusion(df: DataFrame, y: str, yhat: str) -> DataFrame:
     return df.groupBy(F.col(y).alias("actual"), F.col(yhat).alias("predicted")).agg(F.count("*").alias("n"))
@@ -62,25 +64,25 @@ def outer_rmse(ranked: DataFrame, held: DataFrame, user: str, item: str, score:
     return both.agg(F.sqrt(F.avg(off * off)).alias("rmse"))
 
 
+def _curve(df: DataFrame, y: str, score: str) -> DataFrame:
+    """(score, p, n, tp, fp): positives and negatives at each score, and at or above it."""
+    points = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(y)).alias("p"), F.sum(1 - F.col(y)).alias("n"))
+    return running_sums(points, [F.desc("score")], {"tp": "p", "fp": "n"})
+
+
 def roc(df: DataFrame, y: str, score: str) -> DataFrame:
     """(score, tp, fp): counts at or above each score. Equal scores are one point."""
-    points = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(y)).alias("p"), F.sum(1 - F.col(y)).alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return points.select("score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"))
+    return _curve(df, y, score).select("score", "tp", "fp")
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """(auc): trapezes under the curve; null if one class is missing."""
-    points = roc(df, y, score)
-    before = Window.orderBy(F.desc("score"))
-    step = points.select((F.col("fp") - F.lag("fp", 1, 0).over(before)).alias("dx"), (F.col("tp") + F.lag("tp", 1, 0).over(before)).alias("y2"), "tp", "fp")
-    return step.agg((F.sum(F.col("dx") * F.col("y2")) / F.nullif(2 * F.max("tp") * F.max("fp"), F.lit(0))).alias("auc"))
+    step = _curve(df, y, score).select((F.col("n") * (2 * F.col("tp") - F.col("p"))).alias("area"), "tp", "fp")
+    return step.agg((F.sum("area") / F.nullif(2 * F.max("tp") * F.max("fp"), F.lit(0))).alias("auc"))
 
 
 def average_precision(df: DataFrame, y: str, score: str) -> DataFrame:
-    points = roc(df, y, score)
-    gained = F.col("tp") - F.lag("tp", 1, 0).over(Window.orderBy(F.desc("score")))
-    step = points.select((gained * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("x"), "tp")
+    step = _curve(df, y, score).select((F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("x"), "tp")
     return step.agg((F.sum("x") / F.nullif(F.max("tp"), F.lit(0))).alias("average_precision"))
 
 

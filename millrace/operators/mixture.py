@@ -45,8 +45,11 @@ def log_densities(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covs: n
     return out
 
 
-def _moments(columns: list[str], weigh) -> object:
-    """A partition's sums for each component: of weight, weight * x, weight * x * x', and the log-likelihood (k = -1)."""
+def _moments(columns: list[str], weigh, squares: str) -> object:
+    """A partition's sums for each component: of weight, weight * x, and the log-likelihood (k = -1).
+
+    squares adds those of weight * x * x' (full) or of its diagonal (diag).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         d, total, ll = len(columns), None, 0.0
@@ -56,7 +59,12 @@ def _moments(columns: list[str], weigh) -> object:
                 continue
             r, likelihood = weigh(x)
             ll += likelihood
-            part = np.concatenate([r.sum(axis=0)[:, None], r.T @ x, np.einsum("nk,ni,nj->kij", r, x, x).reshape(r.shape[1], d * d)], axis=1)
+            parts = [r.sum(axis=0)[:, None], r.T @ x]
+            if squares == "diag":
+                parts.append(r.T @ (x * x))
+            elif squares == "full":
+                parts.append(np.stack([(x * r[:, [k]]).T @ x for k in range(r.shape[1])]).reshape(r.shape[1], d * d))
+            part = np.concatenate(parts, axis=1)
             total = part if total is None else total + part
         if total is not None:
             k, i = np.indices(total.shape)
@@ -65,16 +73,18 @@ def _moments(columns: list[str], weigh) -> object:
     return run
 
 
-def _summed(points: DataFrame, columns: list[str], k: int, weigh) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def _summed(points: DataFrame, columns: list[str], k: int, weigh, squares: str = "none") -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Sums over all points of weight, weight * x, weight * x * x' as matrices, and the log-likelihood."""
     d = len(columns)
-    sums = points.select(*columns).mapInPandas(_moments(columns, weigh), "k int, i int, s double").groupBy("k", "i").agg(F.sum("s").alias("s"))
-    table, ll = np.zeros((k, 1 + d + d * d)), 0.0
-    for r in sums.collect():  # k * (1 + d + d * d) + 1 rows
+    sums = points.select(*columns).mapInPandas(_moments(columns, weigh, squares), "k int, i int, s double").groupBy("k", "i").agg(F.sum("s").alias("s"))
+    table, ll = np.zeros((k, 1 + d + {"none": 0, "diag": d, "full": d * d}[squares])), 0.0
+    for r in sums.collect():  # a row a cell of the table, and one more
         if r.k < 0:
             ll = r.s
         else:
             table[r.k, r.i] = r.s
-    return table[:, 0], table[:, 1 : 1 + d], table[:, 1 + d :].reshape(k, d, d), ll
+    n, s, rest = table[:, 0], table[:, 1 : 1 + d], table[:, 1 + d :]
+    return n, s, rest.reshape(k, d, d) if squares == "full" else np.array([np.diag(v) for v in rest]) if squares == "diag" else rest, ll
 
 
 def _starts(points: DataFrame, columns: list[str], k: int) -> np.ndarray:
@@ -90,9 +100,9 @@ def _starts(points: DataFrame, columns: list[str], k: int) -> np.ndarray:
     return np.array(chosen)
 
 
-def k_means(points: DataFrame, columns: list[str], k: int, rounds: int = 20, tolerance: float = 1e-9) -> tuple[np.ndarray, list[float]]:
-    """Centres and the history of the sum of squared distances. Points have no nulls."""
-    centres, history = _starts(points, columns, k), []
+def k_means(points: DataFrame, columns: list[str], k: int, rounds: int = 20, tolerance: float = 1e-9, starts: np.ndarray | None = None) -> tuple[np.ndarray, list[float]]:
+    """Centres and the history of the sum of squared distances. Points have no nulls. starts: k centres to begin with."""
+    centres, history = _starts(points, columns, k) if starts is None else starts, []
     for _ in range(rounds):
         now = centres
 
@@ -108,32 +118,38 @@ def k_means(points: DataFrame, columns: list[str], k: int, rounds: int = 20, tol
     return centres, history
 
 
+def em_round(points: DataFrame, columns: list[str], model: Mixture, kind: str = "full", ridge: float = 1e-6) -> Mixture:
+    """One expectation and one maximisation; history gets the mean log-likelihood of the model that came in."""
+    d, now = len(columns), (model.weights, model.means, model.covs)
+
+    def shares(x: np.ndarray) -> tuple[np.ndarray, float]:
+        logs = log_densities(x, *now)
+        top = logs.max(axis=1, keepdims=True)
+        whole = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
+        return np.exp(logs - whole[:, None]), whole.sum()
+
+    r, s, ss, ll = _summed(points, columns, len(model.weights), shares, "full" if kind == "full" else "diag")
+    n, r = r.sum(), np.maximum(r, 1e-12)
+    means = s / r[:, None]
+    covs = ss / r[:, None, None] - np.einsum("ki,kj->kij", means, means)
+    covs = covs if kind == "full" else np.array([np.diag(np.maximum(np.diag(c), 0)) for c in covs])
+    return Mixture(r / r.sum(), means, covs + ridge * np.eye(d), [*model.history, float(ll / n)], round(n))
+
+
 def fit_mixture(points: DataFrame, columns: list[str], k: int, kind: str = "full", rounds: int = 50, tolerance: float = 1e-5, ridge: float = 1e-6) -> Mixture:
     """EM from k-means centres. history: mean log-likelihood of each round. Components are ordered by their means."""
     means, _ = k_means(points, columns, k)
     d = len(columns)
-    n, s, ss, _ = _summed(points, columns, 1, lambda x: (np.ones((len(x), 1)), 0.0))
-    spread = ss[0] / n[0] - np.outer(s[0], s[0]) / n[0] ** 2
-    covs, weights, history = np.array([np.diag(np.diag(spread)) + ridge * np.eye(d)] * k), np.full(k, 1 / k), []
+    n, s, ss, _ = _summed(points, columns, 1, lambda x: (np.ones((len(x), 1)), 0.0), "diag")
+    spread = np.diag(ss[0]) / n[0] - (s[0] / n[0]) ** 2
+    model = Mixture(np.full(k, 1 / k), means, np.array([np.diag(spread) + ridge * np.eye(d)] * k), [], int(n[0]))
     for _ in range(rounds):
-        now = (weights, means, covs)
-
-        def shares(x: np.ndarray, now=now) -> tuple[np.ndarray, float]:
-            logs = log_densities(x, *now)
-            top = logs.max(axis=1, keepdims=True)
-            whole = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
-            return np.exp(logs - whole[:, None]), whole.sum()
-
-        r, s, ss, ll = _summed(points, columns, k, shares)
-        r = np.maximum(r, 1e-12)
-        weights, means = r / r.sum(), s / r[:, None]
-        covs = ss / r[:, None, None] - np.einsum("ki,kj->kij", means, means)
-        covs = covs + ridge * np.eye(d) if kind == "full" else np.array([np.diag(np.maximum(np.diag(c), 0)) + ridge * np.eye(d) for c in covs])
-        history.append(float(ll / n[0]))
-        if len(history) > 1 and abs(history[-1] - history[-2]) < tolerance:
+        model = em_round(points, columns, model, kind, ridge)
+        if len(model.history) > 1 and abs(model.history[-1] - model.history[-2]) < tolerance:
             break
+    weights, means, covs, history = model.weights, model.means, model.covs, model.history
     order = np.lexsort(means.T[::-1])
-    return Mixture(weights[order], means[order], covs[order], history, int(n[0]))
+    return Mixture(weights[order], means[order], covs[order], history, model.n)
 
 
 def select_mixture(points: DataFrame, columns: list[str], ks: list[int], kind: str = "full") -> Mixture:
@@ -141,6 +157,18 @@ def select_mixture(points: DataFrame, columns: list[str], ks: list[int], kind: s
     return min((fit_mixture(points, columns, k, kind) for k in ks), key=lambda m: m.bic(kind))
 
 
+def component_logs(points: DataFrame, columns: list[str], model: Mixture, keep: list[str]) -> DataFrame:
+    """keep and logs: log(weight * density) of each component."""
+    types = dict(points.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b[keep].assign(logs=list(log_densities(b[columns].to_numpy(float), model.weights, model.means, model.covs)))
+
+    return points.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in keep) + ", logs array<double>")
+
+
 def assign(points: DataFrame, columns: list[str], model: Mixture, keep: list[str]) -> DataFrame:
     """keep and component: the likeliest one."""
     types = dict(points.dtypes)

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.functions.ranks import numbered
 from millrace.functions.expressions import hash_bucket
+from millrace.functions.ranks import numbered, placed, quantiles, running_sums
 
 
 def missing_summary(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -34,29 +34,31 @@ def impute(df: DataFrame, columns: list[str], how: str, fitted_on: DataFrame | N
     base = df if fitted_on is None else fitted_on
     if how == "mode":
         fill = {c: r["value"] for c in columns if (r := mode_of(base, c).head()) is not None}
+    elif how == "median":
+        fill = {c: v for c in columns if (v := quantiles(base, c, [0.5])[0]) is not None}
     else:
-        what = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5))}[how]
-        fill = {c: v for c, v in base.agg(*[what(c).alias(c) for c in columns]).head().asDict().items() if v is not None}
+        fill = {c: v for c, v in base.agg(*[{"mean": F.avg}[how](c).alias(c) for c in columns]).head().asDict().items() if v is not None}
     return df.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in fill.items()})
 
 
 def impute_by_draw(df: DataFrame, column: str, key: str, seed: int = 0) -> DataFrame:
     """Nulls by a draw from the column's own distribution: the value whose cumulated share holds the key's hash."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    up = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("_n").over(Window.partitionBy())
-    shares = counts.select("_v", (F.sum("_n").over(up) - F.col("_n")).alias("_low"), F.sum("_n").over(up).alias("_high"), total.alias("_all"))
-    draw = hash_bucket(F.col(key), seed, 1_000_000)
-    gaps = df.where(F.col(column).isNull()).withColumn("_d", draw)
-    filled = gaps.join(F.broadcast(shares), (F.col("_d") * F.col("_all") >= F.col("_low") * 1_000_000) & (F.col("_d") * F.col("_all") < F.col("_high") * 1_000_000))
-    filled = filled.withColumn(column, F.col("_v")).select(*df.columns)
+    up = running_sums(counts, [F.col("_v")], {"_high": "_n"})
+    total = up.agg(F.max("_high")).head()[0] or 0
+    first = lambda c: F.floor((c * 1_000_000 + (total - 1)) / F.lit(max(total, 1))).cast("long")
+    # the draws, of a million, that each value has: a table of a million rows at any size
+    ends = up.select("_v", first(F.col("_high") - F.col("_n")).alias("_from"), (first(F.col("_high")) - 1).alias("_to")).where("_from <= _to")
+    draws = ends.select("_v", F.explode(F.sequence("_from", "_to")).alias("_d"))
+    gaps = df.where(F.col(column).isNull()).withColumn("_d", hash_bucket(F.col(key), seed, 1_000_000))
+    filled = gaps.join(draws, "_d").withColumn(column, F.col("_v")).select(*df.columns)
     return df.where(F.col(column).isNotNull()).unionByName(filled)
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): places from 0 in sorted order."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    return values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
+    return numbered(values, [F.col("value")], "code").withColumn("code", F.col("code").cast("int"))
 
 
 def encode(df: DataFrame, column: str, codes: DataFrame, out: str, unknown: int | None = None) -> DataFrame:
@@ -76,8 +78,10 @@ def scale(df: DataFrame, columns: list[str], how: str) -> DataFrame:
     stats = {
         "standard": lambda c: (F.avg(c), F.stddev_pop(c)),
         "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)),
-        "robust": lambda c: (F.percentile(c, F.lit(0.5)), F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))),
-    }[how]
+    }.get(how)
+    if how == "robust":
+        quartiles = {c: quantiles(df, c, [0.25, 0.5, 0.75]) for c in columns}
+        return df.withColumns({c: (F.col(c) - mid) / ((high - low) or 1.0) for c, (low, mid, high) in quartiles.items() if mid is not None})
     fitted = df.agg(*[x.alias(f"{c}_{k}") for c in columns for k, x in enumerate(stats(c))]).head()
     return df.withColumns({c: (F.col(c) - fitted[f"{c}_0"]) / (fitted[f"{c}_1"] or 1.0) for c in columns if fitted[f"{c}_0"] is not None})
 
@@ -85,7 +89,7 @@ def scale(df: DataFrame, columns: list[str], how: str) -> DataFrame:
 def within_iqr(df: DataFrame, columns: list[str], width: float = 1.5) -> DataFrame:
     """Rows within width quartile ranges of the quartiles; each column's are taken from what the ones before left."""
     for c in columns:
-        low, high = df.agg(F.percentile(c, F.lit(0.25)), F.percentile(c, F.lit(0.75))).head()
+        low, high = quantiles(df, c, [0.25, 0.75])
         if low is not None:
             df = df.where(F.col(c).between(low - width * (high - low), high + width * (high - low)))
     return df
@@ -96,8 +100,16 @@ def split_by_hash(df: DataFrame, key: str, percent: int, seed: int = 0) -> DataF
     return df.withColumn("split", F.when(hash_bucket(F.col(key), seed, 100) < percent, "train").otherwise("test"))
 
 
-def split_within(df: DataFrame, by: list[str], key: str, share: float, seed: int = 0, rounds: str = "floor", keep: int = 0) -> DataFrame:
-    """split within each group: test for the first share of rows in hash order; at least keep rows stay in train."""
+def split_within(df: DataFrame, by: list[str], key: str, share: float, seed: int = 0, rounds: str = "floor", keep: int = 0, few_groups: bool = False) -> DataFrame:
+    """split within each group: test for the first share of rows in hash order; at least keep rows stay in train.
+
+    A group of one column's value is numbered in hash ranges if few_groups says that there are few, large ones.
+    """
+    if few_groups:
+        n, place = F.col("_size"), F.col("_place")
+        df = placed(df, by[0], hash_bucket(F.col(key), seed, 1 << 31), key)
+        held = F.floor(n * share) if rounds == "floor" else F.greatest(F.lit(1), F.floor(n * share))
+        return df.withColumn("split", F.when(place <= F.least(held, n - keep), "test").otherwise("train")).drop("_size", "_place")
     n = F.count("*").over(Window.partitionBy(*by))
     place = F.row_number().over(Window.partitionBy(*by).orderBy(hash_bucket(F.col(key), seed, 1 << 31), key))
     held = F.floor(n * share) if rounds == "floor" else F.greatest(F.lit(1), F.floor(n * share))
@@ -106,8 +118,8 @@ def split_within(df: DataFrame, by: list[str], key: str, share: float, seed: int
 
 def folds(df: DataFrame, label: str, key: str, k: int, seed: int = 0) -> DataFrame:
     """fold 0 to k - 1, dealt in turn within each label."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(hash_bucket(F.col(key), seed, 1 << 31), key))
-    return df.withColumn("fold", ((place - 1) % k).cast("int"))
+    dealt = placed(df, label, hash_bucket(F.col(key), seed, 1 << 31), key)
+    return dealt.withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_place", "_size")
 
 
 def split_by_time(df: DataFrame, time: str, key: str, share: float) -> DataFrame:
@@ -136,8 +148,7 @@ def core(df: DataFrame, user: str, item: str, least: int, passes: int = 3) -> Da
 def undersample(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
     """As many rows of each label as the rarest one has, by hash order."""
     rarest = df.groupBy(label).count().agg(F.min("count")).head()[0] or 0
-    place = F.row_number().over(Window.partitionBy(label).orderBy(hash_bucket(F.col(key), seed, 1 << 31), key))
-    return df.withColumn("_p", place).where(F.col("_p") <= rarest).drop("_p")
+    return placed(df, label, hash_bucket(F.col(key), seed, 1 << 31), key).where(F.col("_place") <= rarest).drop("_place", "_size")
 
 
 def bootstrap(df: DataFrame, key: str, trees: int, seed: int = 0) -> DataFrame:
@@ -168,10 +179,10 @@ def tfidf(docs: DataFrame, doc: str, text: str, min_df: int = 1, shortest: int =
 
 def split_three_ways(df: DataFrame, label: str, key: str, train: float = 0.6, validation: float = 0.2, seed: int = 0) -> DataFrame:
     """split: train, validation or test by hash order within each label; what rounding leaves over is test."""
-    group = Window.partitionBy(label)
-    n, place = F.count("*").over(group), F.row_number().over(group.orderBy(hash_bucket(F.col(key), seed, 1 << 31), key))
+    n, place = F.col("_size"), F.col("_place")
+    dealt = placed(df, label, hash_bucket(F.col(key), seed, 1 << 31), key)
     first, second = F.floor(n * train), F.floor(n * train) + F.floor(n * validation)
-    return df.withColumn("split", F.when(place <= first, "train").when(place <= second, "validation").otherwise("test"))
+    return dealt.withColumn("split", F.when(place <= first, "train").when(place <= second, "validation").otherwise("test")).drop("_size", "_place")
 
 
 def with_least(df: DataFrame, columns: list[str], least: int) -> DataFrame:

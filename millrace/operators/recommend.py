@@ -195,13 +195,13 @@ def slim(ratings: DataFrame, l1: float = 1.0, l2: float = 10.0, rounds: int = 30
     return spark.range(len(items)).withColumnRenamed("id", "j").repartition(min(n, 64)).mapInPandas(run, f"src {kind}, dst {kind}, weight double")
 
 
-def _start_factors(ids: DataFrame, key: str, rank: int, seed: int) -> DataFrame:
+def start_factors(ids: DataFrame, key: str, rank: int, seed: int) -> DataFrame:
     """(id, f): small numbers by hash."""
     xs = [(hash_bucket(F.concat_ws(":", F.col(key).cast("string"), F.lit(k)), seed, 20_001) / 20_000 - 0.5) * 0.2 for k in range(rank)]
     return ids.select(F.col(key).alias("id"), F.array(*xs).alias("f"))
 
 
-def _solved(ratings: DataFrame, mine: str, other: str, factors: DataFrame, rank: int, ridge: float) -> DataFrame:
+def solved(ratings: DataFrame, mine: str, other: str, factors: DataFrame, rank: int, ridge: float) -> DataFrame:
     """Least squares of each mine-id against the other side's factors: moments are summed by Spark before one solve an id."""
     joined = ratings.join(factors, ratings[other] == factors.id)
     upper = [(i, j) for i in range(rank) for j in range(i, rank)]
@@ -226,11 +226,11 @@ def _solved(ratings: DataFrame, mine: str, other: str, factors: DataFrame, rank:
 def als(ratings: DataFrame, rank: int = 8, rounds: int = 8, ridge: float = 0.05, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(users, items), each (id, f): alternating least squares on the observed ratings; ridge is scaled by their number."""
     ratings = written(ratings)
-    items = written(_start_factors(ratings.select("item").distinct(), "item", rank, seed))
+    items = written(start_factors(ratings.select("item").distinct(), "item", rank, seed))
     users = items
     for _ in range(rounds):
-        users = written(_solved(ratings, "user", "item", items, rank, ridge))
-        items = written(_solved(ratings, "item", "user", users, rank, ridge))
+        users = written(solved(ratings, "user", "item", items, rank, ridge))
+        items = written(solved(ratings, "item", "user", users, rank, ridge))
     return users, items
 
 
@@ -241,7 +241,7 @@ def latent_factors(ratings: DataFrame, rank: int = 8, rounds: int = 15, rate: fl
     """
     ratings = written(ratings)
     mean = ratings.agg(F.avg("rating")).head()[0] or 0.0
-    sides = {s: written(_start_factors(ratings.select(s).distinct(), s, rank, seed + k).withColumn("bias", F.lit(0.0))) for k, s in enumerate(("user", "item"))}
+    sides = {s: written(start_factors(ratings.select(s).distinct(), s, rank, seed + k).withColumn("bias", F.lit(0.0))) for k, s in enumerate(("user", "item"))}
     for _ in range(rounds):
         u, i = sides["user"].withColumnsRenamed({"id": "user", "f": "p", "bias": "bu"}), sides["item"].withColumnsRenamed({"id": "item", "f": "q", "bias": "bi"})
         e = ratings.join(u, "user").join(i, "item").withColumn("e", F.col("rating") - mean - F.col("bu") - F.col("bi") - dot(F.col("p"), F.col("q")))
@@ -270,7 +270,7 @@ def latent_semantic(ratings: DataFrame, rank: int) -> DataFrame:
 def non_negative(ratings: DataFrame, rank: int = 8, rounds: int = 20, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(users, items), each (id, f) with f >= 0: multiplicative updates on the observed ratings."""
     ratings = written(ratings.where("rating >= 0"))
-    sides = {s: written(_start_factors(ratings.select(s).distinct(), s, rank, seed + k).withColumn("f", F.transform("f", lambda x: x + 0.3))) for k, s in enumerate(("user", "item"))}
+    sides = {s: written(start_factors(ratings.select(s).distinct(), s, rank, seed + k).withColumn("f", F.transform("f", lambda x: x + 0.3))) for k, s in enumerate(("user", "item"))}
     for _ in range(rounds):
         for mine, other in (("user", "item"), ("item", "user")):
             own, theirs = sides[mine].withColumnsRenamed({"id": mine, "f": "p"}), sides[other].withColumnsRenamed({"id": other, "f": "q"})

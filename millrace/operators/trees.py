@@ -50,8 +50,8 @@ class Tree:
         if self.leaf(k):
             return F.lit(float(n.values()[which]))
         left, right = self.value(which, 2 * k), self.value(which, 2 * k + 1)
-        goes = goes_left(n)
-        return F.when(F.col(n.feature).isNull(), n.p_left * left + (1 - n.p_left) * right).when(goes, left).otherwise(right)
+        share = F.when(F.col(n.feature).isNull(), n.p_left).when(goes_left(n), 1.0).otherwise(0.0)
+        return share * left + (1 - share) * right  # each child once, so a tree's expression grows with its nodes
 
     def prune(self, k: int) -> None:
         """Node k becomes a leaf."""

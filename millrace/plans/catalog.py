@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.expressions import clip, hash_bucket, mapped, ratio, sigmoid
+from millrace.functions.ranks import quantiles
 from millrace.operators import metrics, mixture, prepare, recommend, trees
 from millrace.sources.readers import load_table
 
+from . import tree_sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -187,7 +191,7 @@ def split_hash(df):
 
 @query("orders", f"SELECT o_orderkey, CASE WHEN row_number() OVER (PARTITION BY o_orderstatus ORDER BY {bucket(0, 'o_orderkey', 1 << 31)}, o_orderkey) <= floor(count(*) OVER (PARTITION BY o_orderstatus) * 0.25) THEN 'test' ELSE 'train' END AS split FROM orders")
 def split_stratified(df):
-    return prepare.split_within(df, ["o_orderstatus"], "o_orderkey", 0.25).select("o_orderkey", "split")
+    return prepare.split_within(df, ["o_orderstatus"], "o_orderkey", 0.25, few_groups=True).select("o_orderkey", "split")
 
 
 @query("events", f"SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY {bucket(0, 'event_id', 1 << 31)}, event_id) <= least(greatest(1, floor(count(*) OVER (PARTITION BY user_id) * 0.2)), count(*) OVER (PARTITION BY user_id) - 1) THEN 'test' ELSE 'train' END AS split FROM events")
@@ -309,8 +313,7 @@ def sse_split(df):
 
 @query("lineitem", "SELECT round(unnest(quantile_cont(l_extendedprice, [0.1, 0.25, 0.5, 0.75, 0.9])), 4) AS threshold FROM lineitem")
 def quantile_thresholds(df):
-    shares = F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))
-    return df.agg(F.percentile("l_extendedprice", shares).alias("q")).select(F.explode("q").alias("threshold")).select(F.round("threshold", 4).alias("threshold"))
+    return _frame(df, [(q,) for q in quantiles(df, "l_extendedprice", [0.1, 0.25, 0.5, 0.75, 0.9])], "threshold double").select(F.round("threshold", 4).alias("threshold"))
 
 
 def _fixed_tree() -> trees.Tree:
@@ -331,12 +334,23 @@ def _grown(df, **more):
     return trees.grow(lines(df), "y", ["l_quantity", "l_discount", "l_extendedprice"], ["l_linestatus"], [0, 1], **{"depth": 3} | more)
 
 
-@query("lineitem")
+_TREE_NUM, _TREE_CAT = ["l_quantity", "l_discount", "l_extendedprice"], ["l_linestatus"]
+_TREE_ROWS = f"SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_extendedprice, l_linestatus, {_LABEL} AS y, 1 AS w FROM lineitem"
+
+
+def _tree_sql(depth: int) -> str:
+    return "WITH " + ", ".join(tree_sql.grown("", _TREE_ROWS, _TREE_NUM, _TREE_CAT, depth, tree_sql.gini))
+
+
+_NODES = tree_sql.nodes("", 3, _TREE_NUM + _TREE_CAT)
+
+
+@query("lineitem", f"{_tree_sql(3)} SELECT node::int AS node, feature, threshold, category, weight::double AS weight FROM ({_NODES})")
 def tree_nodes(df):
     return _frame(df, [(k, n.feature, n.threshold, n.category, n.weight) for k, n in sorted(_grown(df).nodes.items())], "node int, feature string, threshold double, category string, weight double")
 
 
-@query("lineitem")
+@query("lineitem", f"{_tree_sql(2)} SELECT l_orderkey, l_linenumber, round(avg(y) OVER (PARTITION BY node), 6) AS share FROM ({tree_sql.leaves('', 2)})")
 def tree_depth2(df):
     tree = _grown(df, depth=2)
     return lines(df).select("l_orderkey", "l_linenumber", r6(tree.value(1), "share"))
@@ -353,9 +367,9 @@ def prune_ccp_path(df):
     return _frame(df, trees.cost_complexity_path(_grown(df)) or [(0.0, 1)], "alpha double, leaves int")
 
 
-@query("lineitem")
+@query("lineitem", f"{_tree_sql(3)}, g AS (SELECT feature, sum(gain * weight) AS g FROM ({_NODES}) WHERE feature IS NOT NULL GROUP BY 1) SELECT feature, round(g / sum(g) OVER (), 6) AS importance FROM g")
 def tree_importance(df):
-    return _frame(df, list(_grown(df).importance().items()) or [("", 0.0)], "feature string, importance double")
+    return _frame(df, list(_grown(df).importance().items()), "feature string, importance double").withColumn("importance", F.round("importance", 6))
 
 
 _POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
@@ -381,22 +395,40 @@ def forest_oob(df):
     return _frame(df, [("all", forest.oob(rows, "o_orderkey", "y")), *importance.items()], "feature string, value double")
 
 
-@query("orders")
+def _forest_sql(trees_: int, depth: int, per_node: int) -> str:
+    """Each row's leaf share in every tree; a tree's bag and a node's features are drawn by the same hashes."""
+    parts = []
+    for t in range(trees_):
+        u = bucket(0, f"'{t}:' || o_orderkey", 1_000_000) + " / 1000000.0"
+        times = "CASE " + " ".join(f"WHEN {u} < {p} THEN {k}" for k, p in enumerate(_POISSON)) + " ELSE 7 END"
+        rows = f"SELECT o_orderkey, o_totalprice, o_custkey, o_orderpriority, (o_orderstatus = 'F')::int AS y, {times} AS w FROM orders"
+        drawn = f"SELECT node, f FROM (SELECT node, f, row_number() OVER (PARTITION BY node ORDER BY {bucket(t, "node || ':' || f", 1 << 30)}, f) AS place FROM (SELECT DISTINCT node FROM {{rows}}), (SELECT unnest(range({len(_NUM + _CAT)})) AS f)) WHERE place <= {per_node}"
+        parts += tree_sql.grown(f"f{t}", rows, _NUM, _CAT, depth, tree_sql.gini, drawn)
+        parts.append(f"f{t}v AS (SELECT o_orderkey, sum(w * y) OVER n / sum(w) OVER n AS v FROM ({tree_sql.leaves(f'f{t}', depth)}) WINDOW n AS (PARTITION BY node))")
+    votes = " UNION ALL ".join(f"SELECT * FROM f{t}v" for t in range(trees_))
+    return f"WITH {', '.join(parts)}, votes AS (SELECT o_orderkey, avg(v) AS share FROM ({votes}) GROUP BY 1) SELECT o_orderkey, (share > 0.5)::int AS predicted, round(share, 6) AS share FROM votes"
+
+
+@query("orders", _forest_sql(4, 3, 2))
 def forest_predict(df):
     rows, forest = _forest(df)
     return rows.select("o_orderkey", forest.predict().alias("predicted"), r6(forest.shares()[1], "share"))
 
 
-@query("lineitem")
+_PRICED = "SELECT l_extendedprice AS target, l_quantity, l_discount FROM lineitem"
+_FLAGGED = f"SELECT {_LABEL} AS target, l_quantity, l_discount, l_linestatus FROM lineitem"
+
+
+@query("lineitem", "WITH " + ", ".join(tree_sql.boosted("SELECT avg(l_extendedprice) FROM lineitem", _PRICED, ["l_quantity", "l_discount"], [], 5, 0.5, False)) + " " + " UNION ALL ".join(f"SELECT {k}::int AS round, round(avg((target - score) ** 2), 2) AS mse FROM b{k + 1}" for k in range(5)))
 def boost_squared(df):
     model = trees.boost(lines(df), "l_extendedprice", ["l_quantity", "l_discount"], rounds=5, rate=0.5)
-    return _frame(df, list(enumerate(map(float, model.history))), "round int, mse double")
+    return _frame(df, list(enumerate(map(float, model.history))), "round int, mse double").withColumn("mse", F.round("mse", 2))
 
 
-@query("lineitem")
+@query("lineitem", "WITH " + ", ".join(tree_sql.boosted(f"SELECT ln(avg({_LABEL}) / (1 - avg({_LABEL}))) FROM lineitem", _FLAGGED, ["l_quantity", "l_discount"], ["l_linestatus"], 5, 0.5, True)) + ", j AS (SELECT target AS y, round(1 / (1 + exp(-score)), 9) AS p FROM b5), r AS (SELECT p, sum(sum(y)) OVER (ORDER BY p DESC) AS tp, sum(sum(1 - y)) OVER (ORDER BY p DESC) AS fp, sum(y) AS a, sum(1 - y) AS b FROM j GROUP BY 1) SELECT (SELECT round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 6) FROM j) AS log_loss, (SELECT round(sum(b * (2 * tp - a)) / (2 * max(tp) * max(fp)), 6) FROM r) AS auc")
 def boost_logistic(df):
     model = trees.boost(lines(df), "y", ["l_quantity", "l_discount"], ["l_linestatus"], "logistic", rounds=5, rate=0.5, newton=True)
-    scored = lines(df).select("y", model.predict().alias("p"))
+    scored = lines(df).select("y", F.round(model.predict(), 9).alias("p"))
     return metrics.log_loss(scored, "y", "p").crossJoin(metrics.roc_auc(scored, "y", "p")).select(r6(F.col("log_loss"), "log_loss"), r6(F.col("auc"), "auc"))
 
 
@@ -417,38 +449,56 @@ def forest_oob_search(df):
 
 # mixtures
 
-_DIMS = ["x0", "x1"]
+_DIMS = [f"x{k}" for k in range(64)]
 
 
 def points(df):
-    return df.select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(2)])
+    return df.select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(_DIMS)])
+
+
+def _fixed_mixture() -> mixture.Mixture:
+    """Two components at 0.1, -0.1, 0.1, ... and the opposite, all variances 0.05."""
+    centre = np.array([0.1, -0.1] * 32)
+    return mixture.Mixture(np.array([0.4, 0.6]), np.array([centre, -centre]), np.array([0.05 * np.eye(64)] * 2), [], 0)
+
+
+def _square_sql(sign: str) -> str:
+    """The squared distance from the centre of the fixed mixture with that sign."""
+    return f"list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::double {sign} (CASE WHEN i % 2 = 1 THEN -0.1 ELSE 0.1 END)) ** 2))"
+
+
+_LOGS = f"SELECT vec_id, embedding, {_square_sql('+')} AS d0, {_square_sql('-')} AS d1, ln(0.4) - 32 * ln(2 * pi() * 0.05) - 10 * d0 AS l0, ln(0.6) - 32 * ln(2 * pi() * 0.05) - 10 * d1 AS l1 FROM embeddings"
 
 
 @query("embeddings")
 def kmeans_fit(df):
     centres, _ = mixture.k_means(points(df), _DIMS, 3)
-    return _frame(df, [(k, *map(float, c)) for k, c in enumerate(centres)], "cluster int, x0 double, x1 double")
+    return _frame(df, [(k, [float(x) for x in c]) for k, c in enumerate(centres)], "cluster int, centre array<double>")
+
+
+@query("embeddings", f"WITH l AS ({_LOGS}), e AS (SELECT CASE WHEN d0 <= d1 THEN 0 ELSE 1 END AS cluster, unnest(range(64)) AS dim, unnest(embedding)::double AS x FROM l) SELECT cluster, dim::int AS dim, round(avg(x), 6) AS centre FROM e GROUP BY 1, 2")
+def kmeans_round(df):
+    centres, _ = mixture.k_means(points(df), _DIMS, 2, rounds=1, starts=_fixed_mixture().means)
+    return _frame(df, [(k, i, float(x)) for k, c in enumerate(centres) for i, x in enumerate(c)], "cluster int, dim int, centre double").withColumn("centre", F.round("centre", 6))
 
 
 @query("embeddings")
 def gmm_fit(df):
-    m = mixture.fit_mixture(points(df), _DIMS, 3, rounds=20)
-    return _frame(df, [(k, float(m.weights[k]), *map(float, m.means[k]), m.history[-1], m.bic(), m.aic()) for k in range(3)], "component int, weight double, x0 double, x1 double, score double, bic double, aic double")
+    m = mixture.fit_mixture(points(df), _DIMS, 3, "diag", rounds=20)
+    return _frame(df, [(k, float(m.weights[k]), [float(x) for x in m.means[k]], m.history[-1], m.bic("diag"), m.aic("diag")) for k in range(3)], "component int, weight double, mean array<double>, score double, bic double, aic double")
 
 
-@query("embeddings", "SELECT vec_id, round(-ln(2 * pi()) - 0.5 * ((embedding[1]::double - 0.1) ** 2 + (embedding[2]::double + 0.1) ** 2), 5) AS l0, round(-ln(2 * pi()) - 0.5 * ((embedding[1]::double + 0.1) ** 2 + (embedding[2]::double - 0.1) ** 2), 5) AS l1 FROM embeddings")
+@query("embeddings", f"SELECT vec_id, round(l0, 5) AS l0, round(l1, 5) AS l1 FROM ({_LOGS})")
 def gmm_e_step(df):
-    x0, x1 = F.col("x0"), F.col("x1")
-    ll = lambda a, b: -F.log(2 * F.pi()) - 0.5 * ((x0 - a) * (x0 - a) + (x1 - b) * (x1 - b))
-    return points(df).select("vec_id", F.round(ll(0.1, -0.1), 5).alias("l0"), F.round(ll(-0.1, 0.1), 5).alias("l1"))
+    logs = mixture.component_logs(points(df), _DIMS, _fixed_mixture(), ["vec_id"])
+    return logs.select("vec_id", F.round(F.col("logs")[0], 5).alias("l0"), F.round(F.col("logs")[1], 5).alias("l1"))
 
 
-@query("embeddings", "WITH p AS (SELECT embedding[1]::double AS x0, embedding[2]::double AS x1, 1 / (1 + exp(-(embedding[1]::double - embedding[2]::double))) AS r FROM embeddings) SELECT round(sum(r) / count(*), 6) AS weight, round(sum(r * x0) / sum(r), 6) AS m0, round(sum(r * x1) / sum(r), 6) AS m1, round(sum(r * x0 * x1) / sum(r) - sum(r * x0) / sum(r) * sum(r * x1) / sum(r), 6) AS cov FROM p")
+@query("embeddings", f"WITH l AS ({_LOGS}), r AS (SELECT embedding, unnest([0, 1]) AS component, unnest([1 / (1 + exp(l1 - l0)), 1 / (1 + exp(l0 - l1))]) AS r FROM l), e AS (SELECT component, r, unnest(range(64)) AS dim, unnest(embedding)::double AS x FROM r) SELECT component, dim::int AS dim, round(sum(r) / (SELECT count(*) FROM embeddings), 6) AS weight, round(sum(r * x) / sum(r), 6) AS mean, round(sum(r * x * x) / sum(r) - (sum(r * x) / sum(r)) ** 2 + 1e-6, 6) AS variance FROM e GROUP BY 1, 2")
 def gmm_m_step(df):
-    p = points(df).withColumn("r", sigmoid(F.col("x0") - F.col("x1")))
-    s = lambda x: F.sum(F.col("r") * x)
-    w, m0, m1 = F.sum("r"), s(F.col("x0")), s(F.col("x1"))
-    return p.agg(r6(w / F.count("*"), "weight"), r6(m0 / w, "m0"), r6(m1 / w, "m1"), r6(s(F.col("x0") * F.col("x1")) / w - m0 / w * m1 / w, "cov"))
+    m = mixture.em_round(points(df), _DIMS, _fixed_mixture(), "diag")
+    cells = [(k, i, float(m.weights[k]), float(m.means[k][i]), float(m.covs[k][i][i])) for k in range(2) for i in range(64)]
+    return _frame(df, cells, "component int, dim int, weight double, mean double, variance double").select("component", "dim", *[r6(F.col(c), c) for c in ("weight", "mean", "variance")])
 
 
 # recommenders
@@ -467,12 +517,22 @@ def cosine_topk(df):
     return recommend.neighbours(ratings(df), 5).select("a", F.col("rank").cast("int").alias("rank"), r6(F.col("similarity"), "similarity"))
 
 
-_SCORES = f"WITH r AS ({_RATINGS}), w AS (SELECT item AS src, (item * 7) % 50 + 1 AS dst, 1 / (1.0 + item % 5) AS weight FROM (SELECT DISTINCT item FROM r)), s AS (SELECT \"user\", dst AS item, sum(rating * weight) AS score FROM r JOIN w ON r.item = w.src GROUP BY 1, 2)"
+_PAIRS = "SELECT l_suppkey AS \"user\", l_partkey AS item, avg(l_quantity) AS rating, max(l_linenumber) AS gain, " + bucket(0, "l_suppkey || ':' || l_partkey", 100) + " < 10 AS held FROM lineitem GROUP BY 1, 2"
+_SCORES = f"WITH pairs AS MATERIALIZED ({_PAIRS}), r AS (SELECT \"user\", item, rating FROM pairs WHERE NOT held), w AS (SELECT item AS src, (item * 7 + k * 131) % (SELECT max(item) FROM r) + 1 AS dst, 1 / (1.0 + (item + k) % 5) AS weight FROM (SELECT DISTINCT item FROM r), (SELECT unnest(range(5)) AS k)), s AS (SELECT \"user\", dst AS item, sum(rating * weight) AS score FROM r JOIN w ON r.item = w.src GROUP BY 1, 2)"
+
+
+def _pairs(df, held):
+    """One in ten pairs of user and item is held out; the others are the ratings."""
+    pairs = df.groupBy(F.col("l_suppkey").alias("user"), F.col("l_partkey").alias("item")).agg(F.avg("l_quantity").alias("rating"), F.max("l_linenumber").alias("gain"))
+    return pairs.where((hash_bucket(F.concat_ws(":", "user", "item"), 0, 100) < 10) == F.lit(held)).select("user", "item", "gain" if held else "rating")
 
 
 def _scores(df):
-    r = ratings(df)
-    w = r.select(F.col("item").alias("src")).distinct().select("src", (F.col("src") * 7 % 50 + 1).alias("dst"), (1 / (1.0 + F.col("src") % 5)).alias("weight"))
+    """Scores by a fixed table of five weights an item, spread over all items."""
+    r = _pairs(df, False)
+    most = r.agg(F.max("item")).head()[0] or 1
+    edges = r.select(F.col("item").alias("src")).distinct().select("src", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    w = edges.select("src", ((F.col("src") * 7 + F.col("k") * 131) % most + 1).alias("dst"), (1 / (1.0 + (F.col("src") + F.col("k")) % 5)).alias("weight"))
     return r, recommend.linear_scores(r, w)
 
 
@@ -500,7 +560,7 @@ def topk_explore_combine(df):
     return recommend.explore_and_exploit(s.withColumn("score", F.round("score", 6)), r, 5, 2).select("user", "item", "rank")
 
 
-_HELD = f"h AS (SELECT l_suppkey AS \"user\", l_partkey % 50 + 1 AS item, max(l_linenumber) AS gain FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2)"
+_HELD = "h AS (SELECT \"user\", item, gain FROM pairs WHERE held)"
 
 
 def _ranking_sql(gain: str) -> str:
@@ -508,7 +568,7 @@ def _ranking_sql(gain: str) -> str:
 
 
 def _held(df):
-    return df.where("l_orderkey % 10 = 0").groupBy(F.col("l_suppkey").alias("user"), (F.col("l_partkey") % 50 + 1).alias("item")).agg(F.max("l_linenumber").alias("gain"))
+    return _pairs(df, True)
 
 
 def _ranked(df, exponential):
@@ -565,6 +625,17 @@ def als_fit(df):
     return metrics.regression(said, "rating", "score")
 
 
+_FACTOR = lambda k: f"({bucket(0, f"item || ':{k}'", 20_001)} / 20000.0 - 0.5) * 0.2"
+
+
+@query("lineitem", f"WITH r AS ({_RATINGS}), f AS (SELECT \"user\", rating, {_FACTOR(0)} AS p, {_FACTOR(1)} AS q FROM r), m AS (SELECT \"user\", sum(p * p) + 0.05 * count(*) AS a, sum(p * q) AS b, sum(q * q) + 0.05 * count(*) AS c, sum(p * rating) AS x, sum(q * rating) AS y FROM f GROUP BY 1) SELECT \"user\", round((x * c - y * b) / (a * c - b * b), 5) AS f0, round((y * a - x * b) / (a * c - b * b), 5) AS f1 FROM m")
+def als_half_step(df):
+    r = ratings(df)
+    items = recommend.start_factors(r.select("item").distinct(), "item", 2, 0)
+    users = recommend.solved(r, "user", "item", items, 2, 0.05)
+    return users.select(F.col("id").alias("user"), *[F.round(F.col("f")[k], 5).alias(f"f{k}") for k in range(2)])
+
+
 @query("lineitem")
 def lfm_fit(df):
     r = ratings(df)
@@ -621,15 +692,23 @@ def log_loss(df):
     return metrics.log_loss(judged(df), "y", "p").select(r6(F.col("log_loss"), "log_loss"))
 
 
-@query("embeddings", "WITH p AS (SELECT label AS a, (embedding[1] > 0)::int * 2 + (embedding[2] > 0)::int AS b FROM embeddings), c AS (SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2), ra AS (SELECT a, sum(n) AS ra FROM c GROUP BY 1), cb AS (SELECT b, sum(n) AS cb FROM c GROUP BY 1), t AS (SELECT sum(n) AS t, sum(n * (n - 1) / 2) AS s FROM c), m AS (SELECT sum(n / t * ln(n * t / (ra * cb))) AS mi FROM c JOIN ra USING (a) JOIN cb USING (b), t), ha AS (SELECT sum(ra * (ra - 1) / 2) AS sa, -sum(ra / t * ln(ra / t)) AS ha FROM ra, t), hb AS (SELECT sum(cb * (cb - 1) / 2) AS sb, -sum(cb / t * ln(cb / t)) AS hb FROM cb, t) SELECT round((s - sa * sb / (t * (t - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2)), 6) AS ari, round(mi / ((ha + hb) / 2), 6) AS nmi FROM t, m, ha, hb")
+def _halves(df):
+    """A cluster by the signs of the sums of the first and the second half of a vector."""
+    total = lambda names: sum((F.col(c) for c in names), F.lit(0.0))
+    return points(df).select("label", ((total(_DIMS[:32]) > 0).cast("int") * 2 + (total(_DIMS[32:]) > 0).cast("int")).alias("c"))
+
+
+@query("embeddings", "WITH p AS (SELECT label AS a, (list_sum(embedding[1:32]::double[]) > 0)::int * 2 + (list_sum(embedding[33:64]::double[]) > 0)::int AS b FROM embeddings), c AS (SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2), ra AS (SELECT a, sum(n) AS ra FROM c GROUP BY 1), cb AS (SELECT b, sum(n) AS cb FROM c GROUP BY 1), t AS (SELECT sum(n) AS t, sum(n * (n - 1) / 2) AS s FROM c), m AS (SELECT sum(n / t * ln(n * t / (ra * cb))) AS mi FROM c JOIN ra USING (a) JOIN cb USING (b), t), ha AS (SELECT sum(ra * (ra - 1) / 2) AS sa, -sum(ra / t * ln(ra / t)) AS ha FROM ra, t), hb AS (SELECT sum(cb * (cb - 1) / 2) AS sb, -sum(cb / t * ln(cb / t)) AS hb FROM cb, t) SELECT round((s - sa * sb / (t * (t - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2)), 6) AS ari, round(mi / ((ha + hb) / 2), 6) AS nmi FROM t, m, ha, hb")
 def ari_nmi(df):
-    marked = points(df).withColumn("c", (F.col("x0") > 0).cast("int") * 2 + (F.col("x1") > 0).cast("int"))
+    marked = _halves(df)
     return metrics.clustering(marked, "label", "c").select(r6(F.col("ari"), "ari"), r6(F.col("nmi"), "nmi"))
 
 
 @query("embeddings")
 def cluster_accuracy(df):
-    marked = points(df).withColumn("c", (F.col("x0") > 0).cast("int") * 2 + (F.col("x1") > 0).cast("int"))
+    centres, _ = mixture.k_means(points(df), _DIMS, 4)
+    fitted = mixture.Mixture(np.full(4, 0.25), centres, np.array([np.eye(64)] * 4), [], 0)
+    marked = mixture.assign(points(df), _DIMS, fitted, ["label"]).withColumnRenamed("component", "c")
     return _frame(df, [(metrics.cluster_accuracy(marked, "label", "c"),)], "accuracy double")
 
 

@@ -8,7 +8,7 @@ from millrace.operators import metrics, prepare, recommend
 from millrace.sources.sinks import write_csv, write_json
 from millrace.sources.storage import shared_dir
 
-from .catalog import _JUDGED, _LABEL, _RATINGS, _TOP, _held, _HELD, _split, _top, bucket, judged, lines, query, r6, ratings
+from .catalog import _JUDGED, _LABEL, _PAIRS, _RATINGS, _TOP, _held, _HELD, _pairs, _split, _top, bucket, judged, lines, query, r6, ratings
 
 # splits and filters
 
@@ -117,6 +117,19 @@ def ndcg_binary(df):
     return metrics.ranking(_top(df)[1], held, "user", "item", "gain", 5).select(r6(F.col("ndcg"), "ndcg"))
 
 
+_COSINE = "g AS (SELECT a.item AS a, b.item AS b, sum(a.rating * b.rating) AS g FROM r a JOIN r b USING (\"user\") WHERE a.item <> b.item GROUP BY 1, 2), n AS (SELECT item, sqrt(sum(rating * rating)) AS n FROM r GROUP BY 1), c AS (SELECT a, b, round(g / (x.n * y.n), 9) AS s FROM g JOIN n x ON x.item = a JOIN n y ON y.item = b), w AS (SELECT a, b, round(s, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS place FROM c) WHERE place <= 10)"
+
+
+@query("lineitem", f"WITH pairs AS MATERIALIZED ({_PAIRS}), r AS (SELECT \"user\", item, rating FROM pairs WHERE NOT held), {_HELD}, {_COSINE}, s AS (SELECT \"user\", a AS item, round(sum(rating * weight), 6) AS score FROM r JOIN w ON r.item = w.b GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY \"user\" ORDER BY score DESC, item) AS rank FROM s ANTI JOIN r USING (\"user\", item)), f AS (SELECT \"user\", count(*) AS hits FROM t JOIN h USING (\"user\", item) WHERE rank <= 20 GROUP BY 1), each AS (SELECT \"user\", count(*) AS n FROM h GROUP BY 1) SELECT round(avg(coalesce(hits, 0) / 20), 6) AS precision, round(avg(coalesce(hits, 0) / n), 6) AS recall FROM each LEFT JOIN f USING (\"user\")")
+def rank_by_neighbours(df):
+    """A fitted model judged on pairs that it has not seen: an item's score is its ten neighbours' ratings by cosine."""
+    r = _pairs(df, False)
+    w = recommend.neighbours(r, 10).select(F.col("b").alias("src"), F.col("a").alias("dst"), F.round("similarity", 6).alias("weight"))
+    scores = recommend.unseen(recommend.linear_scores(r, w), r).withColumn("score", F.round("score", 6))
+    found = metrics.ranking(metrics.top_k(scores, "user", "item", "score", 20), _held(df), "user", "item", "gain", 20)
+    return found.select(r6(F.col("precision"), "precision"), r6(F.col("recall"), "recall"))
+
+
 @query("lineitem", f"{_TOP}, {_HELD} SELECT round(sqrt(avg((coalesce(score, 0) - coalesce(gain, 0)) ** 2)), 6) AS rmse FROM (SELECT \"user\", item, score FROM k WHERE rank <= 5) FULL JOIN h USING (\"user\", item)")
 def rmse_topk_outer(df):
     return metrics.outer_rmse(_top(df)[1], _held(df), "user", "item", "score", "gain").select(r6(F.col("rmse"), "rmse"))
