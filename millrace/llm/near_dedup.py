@@ -2,8 +2,8 @@
 
 Every tree starts with all documents in one node. A node branches by MinHash tokens: its members go to the children of
 the tokens that the node selects. Small nodes are compared exhaustively on full shingle sets, larger ones branch again,
-LEVELS times at most; what branching can't thin is compared with its center first, and only members that are not linked
-with it go on to a comparison with all, in blocks. Independent trees repeat the walk. A pair at the threshold shares a
+LEVELS times at most; what branching can't thin is compared with some pivots first, and only members that are not linked
+with the largest component of the pivots go on to a comparison with all, in blocks. Independent trees repeat the walk. A pair at the threshold shares a
 child with probability 0.75, one of two children with 0.94: so after three levels 16 trees miss it with 4e-8, and with
 2e-10 where the first nodes are small.
 """
@@ -26,7 +26,9 @@ TREES, COORDS, WIDTH, LEVELS, BRANCHES = 16, 48, 5, 3, 2
 #: A node of more members or more shingles branches.
 LEAF, LEAF_SHINGLES = 256, 500_000
 #: What one task compares with each other; larger groups are dealt to tasks of about that much.
-BLOCK, BLOCK_SHINGLES = 256, 500_000
+BLOCK, BLOCK_SHINGLES = 512, 500_000
+#: Pivots of a dealt group, about; fewer if they have more than BLOCK_SHINGLES.
+PIVOTS = 128
 #: Rows of one class from which its label is broadcast, so that no task gets all of them.
 HOT = 10_000
 
@@ -131,10 +133,9 @@ def _linked(sets: list[np.ndarray], percent: int, first: int | None = None) -> n
     return 100 * inter >= percent * (sizes[:first, None] + sizes[None, :] - inter)
 
 
-def _links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple]:
-    """Pairs that join what is linked among these sets; each set is compared with each other one, exactly."""
-    left, right = np.nonzero(np.triu(_linked(sets, percent), 1))
-    root = list(range(len(sets)))
+def _roots_of(n: int, left: np.ndarray, right: np.ndarray) -> list[int]:
+    """The first member of the component of each of n members."""
+    root = list(range(n))
 
     def top(x: int) -> int:
         while root[x] != x:
@@ -146,7 +147,7 @@ def _links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple]:
         x, y = top(x), top(y)
         if x != y:
             root[max(x, y)] = min(x, y)
-    return [(ids[top(x)], ids[x]) for x in range(len(sets)) if top(x) != x]
+    return [top(x) for x in range(n)]
 
 
 def _frame(rows: list[tuple], *names: str) -> pd.DataFrame:
@@ -159,35 +160,48 @@ def _members(pdf: pd.DataFrame) -> tuple[list[int], list[np.ndarray]]:
 
 
 def _compare(percent: int):
-    """A group's share: the whole of a small group is compared with each other, of a dealt one each member with the center.
+    """A group's share: the whole of a small group is compared with each other, of a dealt one each member with the pivots.
 
-    Links are (a, b); a member that is not linked with the center of a dealt group gives (center, null, member).
+    Links are (a, b). All that the largest component of the pivots links is one component, so its members need no more
+    comparisons; each other member of a dealt group gives (center, null, member, its shingles).
     """
 
     def compared(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names, center = ("a", "b", "other"), int(key[0])
+        names, center = ("a", "b", "other", "size"), int(key[0])
         ids, sets = _members(pdf)
         if len(ids) < 2:
             return _frame([], *names)
-        if pdf["tasks"].iloc[0] == 1:
-            return _frame([(a, b, None) for a, b in _links(ids, sets, percent)], *names)
-        at = ids.index(center)
-        ids, sets = [center, *ids[:at], *ids[at + 1 :]], [sets[at], *sets[:at], *sets[at + 1 :]]
-        linked = _linked(sets, percent, 1)[0]
-        return _frame([(center, x, None) if y else (center, None, x) for x, y in zip(ids[1:], linked[1:], strict=True)], *names)
+        at = {x: k for k, x in enumerate(ids)}
+        whole = pdf["tasks"].iloc[0] == 1
+        first = ids if whole else sorted(pdf.loc[pdf["pivot"], "rep"].unique().tolist())
+        others = sorted(set(ids) - set(first))
+        ids = [*first, *others]
+        linked = _linked([sets[at[x]] for x in ids], percent, len(first))
+        root = np.array(_roots_of(len(first), *np.nonzero(np.triu(linked[:, : len(first)], 1))))
+        joined = [(first[r], x, None, None) for r, x in zip(root.tolist(), first, strict=True) if first[r] != x]
+        if whole:
+            return _frame(joined, *names)
+        main = root == np.bincount(root).argmax()
+        rest = [(center, None, x, len(sets[at[x]])) for x, inside in zip(first, main, strict=True) if not inside]
+        rows = joined + rest if key[1] == 0 else []  # every share has all pivots
+        to_main = linked[main][:, len(first) :]
+        link = np.array(first)[main][to_main.argmax(axis=0)].tolist()
+        rows += [(p, x, None, None) if yes else (center, None, x, len(sets[at[x]])) for p, x, yes in zip(link, others, to_main.any(axis=0), strict=True)]
+        return _frame(rows, *names)
 
     return compared
 
 
 def _compare_rest(percent: int):
-    """Members that are not linked with the center (side 0) with a share of all members (side 1)."""
+    """Links that connect what is linked of members outside the pivots' component (side 0) and a share of all (side 1)."""
 
     def compared(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         (ids, sets), (others, theirs) = _members(pdf[pdf["side"] == 0]), _members(pdf[pdf["side"] == 1])
         if not ids or not others:
             return _frame([], "a", "b")
         x, y = np.nonzero(_linked(sets + theirs, percent, len(ids))[:, len(ids) :])
-        return _frame([(ids[i], others[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True) if ids[i] != others[j]], "a", "b")
+        both = ids + others
+        return _frame([(both[r], both[k]) for k, r in enumerate(_roots_of(len(both), x, y + len(ids))) if both[r] != both[k]], "a", "b")
 
     return compared
 
@@ -252,20 +266,23 @@ def _found_links(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect what is linked within the groups."""
     groups = star.groupBy("center").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
     tasks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    groups = written(groups.select("center", tasks.alias("tasks")))
-    shares = F.when(F.col("rep") == F.col("center"), F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("tasks")).cast("int")))
-    dealt = star.join(maybe_broadcast(groups), "center").select("center", "rep", "tasks", F.explode(shares).alias("share"))
+    pivots = F.least(F.lit(PIVOTS), F.floor(BLOCK_SHINGLES * F.col("n") / F.col("total")))
+    groups = written(groups.select("center", "n", tasks.alias("tasks"), pivots.alias("pivots")))
+    # pivots are chosen by hash, in every share; the center is always one
+    pivot = (F.col("rep") == F.col("center")) | (F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n")) < F.col("pivots"))
+    shares = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("tasks")).cast("int")))
+    dealt = star.join(maybe_broadcast(groups), "center").withColumn("pivot", pivot).select("center", "rep", "tasks", "pivot", F.explode(shares).alias("share"))
     dealt = maybe_broadcast(written(dealt))
-    compared = written(dealt.join(sets, "rep").groupBy("center", "share").applyInPandas(_compare(percent), "a long, b long, other long"))
+    compared = written(dealt.join(sets, "rep").groupBy("center", "share").applyInPandas(_compare(percent), "a long, b long, other long, size long"))
     links = compared.where("b is not null").select("a", "b").distinct()
-    rest = written(compared.where("other is not null").select(F.col("a").alias("center"), F.col("other").alias("rep")).distinct())
+    rest = written(compared.where("other is not null").select(F.col("a").alias("center"), F.col("other").alias("rep"), "size").distinct())
     if not rest.limit(1).count():
         return written(links)
-    counted = written(rest.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).join(groups, "center"))
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    counted = written(rest.groupBy("center").agg(parts.alias("parts")).join(maybe_broadcast(groups), "center"))
     counted = maybe_broadcast(counted)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    # at least as many parts as tasks would bound the shingles of a part too
-    part = F.pmod(F.xxhash64("rep"), F.greatest("parts", F.lit(1))).cast("int")
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     mine = rest.join(counted, "center").select("center", "rep", part.alias("i"), every(F.col("tasks")).alias("j"), F.lit(0).alias("side"))
     share = F.pmod(F.xxhash64("rep"), F.col("tasks")).cast("int")
     all_of = star.join(counted, "center").select("center", "rep", share.alias("j"), every(F.col("parts")).alias("i"), F.lit(1).alias("side"))
