@@ -99,7 +99,7 @@ def linked_components(texts):
 def test_large_nodes_branch_and_are_dealt(spark, monkeypatch, leaf, block):
     base = [f"t{i}" for i in range(60)]
     rows = [(i, " ".join(base[: 20 + i % 40] + [f"u{i}_{j}" for j in range(i % 7)])) for i in range(120)]
-    for name, value in (("LEAF", leaf), ("BLOCK", block)):
+    for name, value in (("LEAF", leaf), ("BLOCK", block), ("PIVOTS", 3)):  # few pivots, so that many members meet all others
         monkeypatch.setattr(near_dedup, name, value)
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(enumerate(linked_components(rows)))
