@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, langid, mixing, near_dedup, pii, quality, token_files, urls, warc
+from . import decontaminate, extract, langid, mixing, near_dedup, pii, quality, repair, token_files, toxicity, urls, warc, whitening
 
 END_ID = 0
 
@@ -72,5 +72,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_extract_text, op4_filter_urls, op5_find_pii, op6_mix, op7_token_files, op8_quality, op9_near_dedup, op10_warc)}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.judge(table(spark, sf_dir, "conversations"))
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_decontaminate, op3_extract_text, op4_filter_urls, op5_find_pii, op6_mix, op7_token_files, op8_quality, op9_near_dedup, op10_warc,
+        op11_repair, op12_whiten, op13_toxicity,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
