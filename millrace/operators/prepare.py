@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from millrace.functions.expressions import hash_bucket
 from millrace.functions.ranks import numbered, placed, quantiles, running_sums
+from millrace.sources.storage import written
 
 
 def missing_summary(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -166,6 +167,34 @@ def bootstrap(df: DataFrame, key: str, trees: int, seed: int = 0) -> DataFrame:
     return each.withColumn("times", times.cast("int"))
 
 
+def _drawn_place(tree: Column, draw: Column, seed: int, n: int) -> Column:
+    """0 to n - 1 by 60 bits of a hash, the same in any engine."""
+    text = F.concat_ws(":", F.lit(str(seed)), tree, draw)
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint") % n
+
+
+def drawn_with_replacement(df: DataFrame, key: str, trees: int, size: int | None = None, seed: int = 0) -> DataFrame:
+    """(tree, key, times): for each tree, exactly size draws (by default as many as rows) among all rows; only rows that are drawn.
+
+    Rows are numbered by key, in ranges; draws are counted by place before they meet the rows. Keys are unique.
+    """
+    rows = written(numbered(df.select(key), [F.col(key)], "_place"))
+    n = rows.count()
+    if not n:
+        return rows.select(F.lit(0).alias("tree"), key, F.lit(0).alias("times"))
+    each = df.sparkSession.range(trees * (size or n)).select(F.floor(F.col("id") / (size or n)).cast("int").alias("tree"), (F.col("id") % (size or n)).alias("draw"))
+    counts = each.select("tree", _drawn_place(F.col("tree"), F.col("draw"), seed, n).alias("_place")).groupBy("tree", "_place").agg(F.count("*").cast("int").alias("times"))
+    return rows.join(counts, "_place").select("tree", key, "times")
+
+
+def drawn_without_replacement(df: DataFrame, key: str, trees: int, size: int | float, seed: int = 0) -> DataFrame:
+    """(tree, key, times = 1): for each tree, exactly size rows (below 1: that share, rounded), those of the smallest hashes."""
+    each = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    hashed = hash_bucket(F.concat_ws(":", F.col("tree"), F.col(key)), seed, 1 << 31)
+    most = F.round(F.col("_size") * size) if size < 1 else F.lit(size)
+    return placed(each, "tree", hashed, key).where(F.col("_place") <= most).select("tree", key, F.lit(1).alias("times"))
+
+
 def tfidf(docs: DataFrame, doc: str, text: str, min_df: int = 1, shortest: int = 2, stop: tuple[str, ...] = ()) -> DataFrame:
     """(doc, term, weight): smooth idf, rows of unit length. Terms are runs of a-z in lower case."""
     terms = docs.select(F.col(doc).alias("doc"), F.explode(F.split(F.lower(text), "[^a-z]+")).alias("term"))

@@ -1,4 +1,4 @@
-"""Decision trees grown level by level, forests and gradient boosting on them.
+"""Decision trees grown level by level on exact splits, and forests of them.
 
 A level is one aggregation: rows are counted by node, feature and value, cumulated over the values, and the best split
 of each node comes back. Rows never leave their partitions; the tree is a small table of nodes on the driver.
@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.functions.expressions import hash_bucket, sigmoid, softmax
-from millrace.sources.storage import written
+from millrace.functions.expressions import hash_bucket
 
 from .prepare import bootstrap
 
@@ -288,108 +287,7 @@ def grow_forest(df: DataFrame, key: str, label: str, numeric: list[str], categor
     return Forest(out, classes, seed)
 
 
-@dataclass
-class Boosted:
-    start: float
-    rate: float
-    trees: list[Tree]
-    loss: str
-    history: list[float]
-
-    def score(self) -> Column:
-        return sum((self.rate * t.value() for t in self.trees), F.lit(self.start))
-
-    def predict(self) -> Column:
-        return sigmoid(self.score()) if self.loss == "logistic" else self.score()
-
-
-def boost(df: DataFrame, label: str, numeric: list[str], categorical: list[str] = (), loss: str = "squared", rounds: int = 10, rate: float = 0.1, depth: int = 2, key: str | None = None, subsample: float = 1.0, newton: bool = False, cut_every: int = 5, stop_after: int | None = None, seed: int = 0) -> Boosted:
-    """Gradient boosting: each round grows a regression tree on the residuals y - F (squared) or y - p (logistic, y 0/1).
-
-    newton divides each leaf's mean residual by its mean p * (1 - p). subsample draws rows by the hash of key.
-    stop_after ends when the training loss has not fallen for so many rounds. Scores are written every cut_every rounds.
-    """
-    mean = df.agg(F.avg(F.col(label).cast("double"))).head()[0] or 0.0
-    start = mean if loss == "squared" else math.log(max(mean, 1e-9) / max(1 - mean, 1e-9))
-    model = Boosted(start, rate, [], loss, [])
-    now = df.withColumn("_score", F.lit(start))
-    y = F.col(label).cast("double")
-    for k in range(rounds):
-        p = F.col("_score") if loss == "squared" else sigmoid(F.col("_score"))
-        rows = now.withColumns({"_r": y - p, "_h": F.lit(1.0) if loss == "squared" else p * (1 - p)})
-        if subsample < 1 and key:
-            rows = rows.where(hash_bucket(F.col(key), seed + k, 10_000) < int(10_000 * subsample))
-        tree = grow(rows, "_r", numeric, categorical, depth=depth, criterion="sse")
-        if newton and loss == "logistic":
-            curved = grow_like(tree, rows, "_h")
-            for k2, n in tree.nodes.items():
-                n.stats = [n.stats[0] / max(curved.get(k2, 1.0), 1e-9)]
-        model.trees.append(tree)
-        now = now.withColumn("_score", F.col("_score") + rate * tree.value())
-        if (k + 1) % cut_every == 0:
-            now = written(now)
-        q = F.col("_score") if loss == "squared" else sigmoid(F.col("_score"))
-        each = (y - q) * (y - q) if loss == "squared" else -(y * F.log(q + 1e-15) + (1 - y) * F.log(1 - q + 1e-15))
-        model.history.append(now.agg(F.avg(each)).head()[0] or 0.0)
-        if stop_after and len(model.history) > stop_after and min(model.history[-stop_after:]) >= min(model.history[:-stop_after]):
-            break
-    return model
-
-
-@dataclass
-class BoostedClasses:
-    classes: list
-    start: list[float]
-    rate: float
-    rounds: list[list[Tree]]
-    history: list[float]
-
-    def shares(self) -> Column:
-        """Each class's probability, in the order of classes."""
-        return softmax(F.array(*[sum((self.rate * r[k].value() for r in self.rounds), F.lit(x)) for k, x in enumerate(self.start)]))
-
-    def predict(self) -> Column:
-        s = self.shares()
-        return F.get(F.array(*map(F.lit, self.classes)), F.array_position(s, F.array_max(s)).cast("int") - 1)
-
-
-def boost_classes(df: DataFrame, label: str, numeric: list[str], categorical: list[str] = (), rounds: int = 5, rate: float = 0.3, depth: int = 2) -> BoostedClasses:
-    """Softmax boosting: each round grows one regression tree a class on its indicator less its probability.
-
-    Scores start at the logarithms of the classes' shares and are written each round. history holds the mean log-loss.
-    Rows without a label are left out; an empty table has no classes and is an error.
-    """
-    df = df.where(F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    if not counts:
-        raise ValueError("no labelled rows")
-    classes, total = sorted(counts), sum(counts.values())
-    model = BoostedClasses(classes, [math.log(counts[c] / total) for c in classes], rate, [], [])
-    now = df.withColumn("_scores", F.array(*map(F.lit, model.start)))
-    for _ in range(rounds):
-        p = softmax(F.col("_scores"))
-        rows = written(now.withColumns({f"_r{k}": (F.col(label) == c).cast("double") - p[k] for k, c in enumerate(classes)}))
-        grown = [grow(rows, f"_r{k}", numeric, categorical, depth=depth, criterion="sse") for k in range(len(classes))]
-        model.rounds.append(grown)
-        now = written(rows.withColumn("_scores", F.array(*[F.col("_scores")[k] + rate * t.value() for k, t in enumerate(grown)])).select(*df.columns, "_scores"))
-        own = F.get(softmax(F.col("_scores")), F.array_position(F.array(*map(F.lit, classes)), F.col(label)).cast("int") - 1)
-        model.history.append(now.agg(F.avg(-F.log(own + 1e-15))).head()[0])
-    return model
-
-
 def search_forest(df: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str], classes: list, grid: list[dict], seed: int = 0) -> tuple[dict, list[tuple[dict, float]]]:
     """The grid's entry (options of grow_forest) of the best out-of-bag accuracy, the first of equal ones, and all scores."""
     scores = [(options, grow_forest(df, key, label, numeric, categorical, classes, seed=seed, **options).oob(df, key, label) or 0.0) for options in grid]
     return max(scores, key=lambda s: s[1])[0], scores
-
-
-def grow_like(tree: Tree, df: DataFrame, value: str) -> dict[int, float]:
-    """Mean of value in each leaf of a tree."""
-    rows = df.withColumns({"node": F.lit(1), "w": F.lit(1.0), "c0": F.col(value)})
-    out, level = {}, [1]
-    while level:
-        for r in rows.groupBy("node").agg((F.sum("c0") / F.sum("w")).alias("m")).collect():
-            out[r["node"]] = r["m"]
-        split = [k for k in level if not tree.leaf(k)]
-        rows, level = (_expand(rows, tree, split), [c for k in split for c in (2 * k, 2 * k + 1)]) if split else (rows, [])
-    return out

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from millrace.functions.expressions import clip, hash_bucket, mapped, ratio, sigmoid
 from millrace.functions.ranks import quantiles
-from millrace.operators import metrics, mixture, prepare, recommend, trees
+from millrace.operators import ensembles, metrics, mixture, prepare, recommend, trees
 from millrace.sources.readers import load_table
 
 from . import tree_sql
@@ -421,13 +421,13 @@ _FLAGGED = f"SELECT {_LABEL} AS target, l_quantity, l_discount, l_linestatus FRO
 
 @query("lineitem", "WITH " + ", ".join(tree_sql.boosted("SELECT avg(l_extendedprice) FROM lineitem", _PRICED, ["l_quantity", "l_discount"], [], 5, 0.5, False)) + " " + " UNION ALL ".join(f"SELECT {k}::int AS round, round(avg((target - score) ** 2), 2) AS mse FROM b{k + 1}" for k in range(5)))
 def boost_squared(df):
-    model = trees.boost(lines(df), "l_extendedprice", ["l_quantity", "l_discount"], rounds=5, rate=0.5)
+    model = ensembles.boost(lines(df), "l_extendedprice", ["l_quantity", "l_discount"], rounds=5, rate=0.5)
     return _frame(df, list(enumerate(map(float, model.history))), "round int, mse double").withColumn("mse", F.round("mse", 2))
 
 
 @query("lineitem", "WITH " + ", ".join(tree_sql.boosted(f"SELECT ln(avg({_LABEL}) / (1 - avg({_LABEL}))) FROM lineitem", _FLAGGED, ["l_quantity", "l_discount"], ["l_linestatus"], 5, 0.5, True)) + ", j AS (SELECT target AS y, round(1 / (1 + exp(-score)), 9) AS p FROM b5), r AS (SELECT p, sum(sum(y)) OVER (ORDER BY p DESC) AS tp, sum(sum(1 - y)) OVER (ORDER BY p DESC) AS fp, sum(y) AS a, sum(1 - y) AS b FROM j GROUP BY 1) SELECT (SELECT round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 6) FROM j) AS log_loss, (SELECT round(sum(b * (2 * tp - a)) / (2 * max(tp) * max(fp)), 6) FROM r) AS auc")
 def boost_logistic(df):
-    model = trees.boost(lines(df), "y", ["l_quantity", "l_discount"], ["l_linestatus"], "logistic", rounds=5, rate=0.5, newton=True)
+    model = ensembles.boost(lines(df), "y", ["l_quantity", "l_discount"], ["l_linestatus"], "logistic", rounds=5, rate=0.5, newton=True)
     scored = lines(df).select("y", F.round(model.predict(), 9).alias("p"))
     return metrics.log_loss(scored, "y", "p").crossJoin(metrics.roc_auc(scored, "y", "p")).select(r6(F.col("log_loss"), "log_loss"), r6(F.col("auc"), "auc"))
 
@@ -435,7 +435,7 @@ def boost_logistic(df):
 @query("lineitem")
 def boost_softmax(df):
     rows = df.select("l_quantity", "l_discount", "l_linestatus", "l_returnflag")
-    model = trees.boost_classes(rows, "l_returnflag", ["l_quantity", "l_discount"], ["l_linestatus"], rounds=3)
+    model = ensembles.boost_classes(rows, "l_returnflag", ["l_quantity", "l_discount"], ["l_linestatus"], rounds=3)
     return _frame(df, list(enumerate(map(float, model.history))), "round int, log_loss double")
 
 

@@ -60,11 +60,11 @@ def test_cluster_accuracy_is_the_best_matching(spark):
 
 
 def test_softmax_boosting_learns_classes(spark):
-    from millrace.operators import trees
+    from millrace.operators import ensembles
 
     rows = [(float(i % 30), "xyz"[(i % 30) // 10]) for i in range(300)] + [(1.0, None)]
     df = spark.createDataFrame(rows, "v double, label string")
-    model = trees.boost_classes(df, "label", ["v"], rounds=4, rate=0.8)
+    model = ensembles.boost_classes(df, "label", ["v"], rounds=4, rate=0.8)
     assert model.classes == ["x", "y", "z"] and model.history == sorted(model.history, reverse=True)
     scored = df.where("label is not null").select("label", model.predict().alias("said"), model.shares().alias("p")).collect()
     assert all(r.label == r.said and sum(r.p) == pytest.approx(1) for r in scored)
