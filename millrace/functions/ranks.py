@@ -42,7 +42,7 @@ def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | N
         return [None] * len(shares)
     at = [s * (n - 1) for s in shares]
     ends = up.agg(*[F.min(F.when(F.col("upto") > place, F.col("v"))) for a in at for place in (int(a), min(int(a) + 1, n - 1))]).head()
-    return [ends[2 * k] * (1 - a + int(a)) + ends[2 * k + 1] * (a - int(a)) for k, a in enumerate(at)]
+    return [ends[2 * k] + (ends[2 * k + 1] - ends[2 * k]) * (a - int(a)) for k, a in enumerate(at)]
 
 
 def placed(df: DataFrame, group: str, hashed: Column, key: str, width: int = 1 << 31) -> DataFrame:

@@ -1,3 +1,3 @@
-"""The registered queries: catalog has them all, more adds to it."""
+"""The registered queries: catalog has them all, the others add to it."""
 
-from . import catalog, more  # noqa: F401
+from . import catalog, forests, more  # noqa: F401

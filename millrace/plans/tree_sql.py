@@ -37,6 +37,16 @@ def grown(p: str, source: str, numeric: list[str], categorical: list[str], depth
     return out
 
 
+def routed(q: str, p: str, source: str, numeric: list[str], categorical: list[str], depth: int) -> list[str]:
+    """Common table expressions {q}r1, ...: other rows with these features on their way through the tree {p}; the last has their node."""
+    features = [*numeric, *categorical]
+    goes = " ".join(f"WHEN {k} THEN {c} <= threshold" if c in numeric else f"WHEN {k} THEN {c} = category" for k, c in enumerate(features))
+    out = [f"{q}r1 AS (SELECT *, 1 AS node FROM ({source}))"]
+    for d in range(1, depth + 1):
+        out.append(f"{q}r{d + 1} AS (SELECT r.* EXCLUDE (node), CASE WHEN s.node IS NULL THEN r.node ELSE 2 * r.node + CASE WHEN CASE s.f {goes} END THEN 0 ELSE 1 END END AS node FROM {q}r{d} r LEFT JOIN {p}s{d} s ON r.node = s.node)")
+    return out
+
+
 def leaves(p: str, depth: int) -> str:
     """All rows with the node that they end in."""
     done = [f"SELECT * FROM {p}t{d} WHERE node NOT IN (SELECT node FROM {p}s{d})" for d in range(1, depth + 1)]
