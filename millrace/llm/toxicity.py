@@ -57,9 +57,12 @@ FEATURES = (
 INSULT, HIDDEN, YOU, SHOUT, MASKED, STRETCHED, SINGLE, KNOWN = (1 << k for k in range(8))
 
 
-def _bare(word: str) -> str:
-    """The word in lower case without what surrounds its letters and digits."""
-    return re.sub(r"^[\W_]+|[\W_]+$", "", word.lower())
+#: What surrounds words.
+EDGES = "".join(chr(k) for k in range(33, 192) if not chr(k).isalnum()) + "«»‘’“”„…–—¿¡"
+#: Characters by class below 256: 1 large letters, 2 others, 3 signs, 4 ! and ?; all above are letters.
+LARGE, SMALL, SIGN, EXCLAIM = 1, 2, 3, 4
+CLASSES = np.array([0 if not chr(k).isalpha() and (k < 33 or k > 126 or chr(k).isdigit()) else EXCLAIM if chr(k) in "!?" else LARGE if chr(k).isupper() else SMALL if chr(k).isalpha() else SIGN for k in range(256)], np.uint8)
+STRETCH, LONE = re.compile(r"([^\W\d_])\1\1"), re.compile(r"(?<!\S)(?:\w[\s.*-]{1,2}){2,}\w(?![^\s.,!?])")
 
 
 def unmasked(word: str) -> str:
@@ -83,27 +86,42 @@ def unmasked(word: str) -> str:
     return ""
 
 
-def _kind(word: str) -> tuple[int, str]:
-    """A word's flags and the insult that it is. Long words are no insults."""
-    bare = _bare(word[:4096])
-    flags, insult = 0, ""
+def insult_of(word: str) -> str:
+    """The insult that a word is or, up to 40 characters, stands for; else ''."""
+    bare = word.strip(EDGES).lower()
     if bare in INSULTS:
-        flags, insult = INSULT, bare
-    elif len(word) <= 40:
-        insult = unmasked(word)
-        flags = HIDDEN if insult else 0
-    if bare in SECOND:
-        flags |= YOU
-    if len(bare) == 1 and bare.isalpha():
-        flags |= SINGLE
-    if len(bare) > 1 and word.isupper():
-        flags |= SHOUT
-    inside = word[word.lower().find(bare[0]) :][: len(bare)] if bare else ""
-    if re.search(r"[^\W\d_][\d@$!|*][^\W\d_]", inside):
-        flags |= MASKED
-    if re.search(r"([^\W\d_])\1\1", bare):
-        flags |= STRETCHED
-    return flags, insult
+        return bare
+    if len(word) > 40 or bare.isalpha() and word[0] not in "*@$!|" and word[-1] not in "*@$" and not STRETCH.search(bare):
+        return ""
+    return unmasked(word)
+
+
+class Kinds(dict):
+    """A word's flags, and above them a bit for each fold that has learnt one of its beginnings; made as words come."""
+
+    def __init__(self, lexicon: dict[str, int]):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 17:
+            self.clear()
+        bare = word.strip(EDGES)
+        low = bare.lower()
+        insult = insult_of(word)
+        flags = (INSULT if insult == low else HIDDEN) if insult else 0
+        if low in SECOND:
+            flags |= YOU
+        if bare.isalpha():
+            flags |= SINGLE if len(bare) == 1 else SHOUT if bare.isupper() else 0
+        elif len(bare) > 1:
+            flags |= (SHOUT if word.isupper() else 0) | (MASKED if re.search(r"[^\W\d_][\d@$!|*][^\W\d_]", bare[:4096]) else 0)
+        if STRETCH.search(low):
+            flags |= STRETCHED
+        for k in LENGTHS:
+            flags |= self.lexicon.get(low[:k], 0) << 8
+        self[word] = flags
+        return flags
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -122,42 +140,30 @@ class Reader:
     """Reads texts; lexicon has the learnt word beginnings, each with a bit for every fold that may use it."""
 
     def __init__(self, lexicon: dict[str, int]):
-        self.lexicon, self.kinds = lexicon, {}
-
-    def kind(self, word: str) -> tuple[int, str, int]:
-        """A word's flags, the insult that it is, and the folds' bits of its beginnings."""
-        found = self.kinds.get(word)
-        if found is None:
-            if len(self.kinds) >= 1 << 17:
-                self.kinds.clear()
-            bare = _bare(word[:4096])
-            found = self.kinds[word] = (*_kind(word), reduce(int.__or__, (self.lexicon.get(bare[:k], 0) for k in LENGTHS), 0))
-        return found
+        self.kinds = Kinds(lexicon)
 
     def features(self, text: str, fold: int = 0) -> list[float]:
         """The dense features of a whole text, in the order of FEATURES; all zero for an empty one. fold: whose bit counts."""
-        flags, insults, learnt = [], set(), set()
-        capitals = letters = chars = marks = exclaims = longest = hidden = 0
+        flags, insults, learnt, classes, hidden, longest = [], set(), set(), np.zeros(5, np.int64), 0, 0
         for piece in _pieces(text):
             words = piece.split()
-            found = [self.kind(w) for w in words]
-            insults.update(insult for _, insult, _ in found if insult)
-            known = np.fromiter((m for _, _, m in found), np.uint8, len(found)) >> fold & 1
-            learnt.update(_bare(words[k])[:8] for k in np.flatnonzero(known))
-            flags.append(np.fromiter((f for f, _, _ in found), np.uint8, len(found)) | known * np.uint8(KNOWN))
+            kind = np.fromiter(map(self.kinds.__getitem__, words), np.int32, len(words))
+            known = (kind >> (8 + fold) & 1).astype(bool)
+            kind = (kind & 255 | known * KNOWN).astype(np.uint8)
+            insults.update(insult_of(words[k]) for k in np.flatnonzero(kind & (INSULT | HIDDEN)))
+            learnt.update(words[k].strip(EDGES).lower()[:8] for k in np.flatnonzero(known))
+            flags.append(kind)
             code = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
-            large = ((code >= 65) & (code <= 90)) | ((code >= 192) & (code <= 222) & (code != 215))
-            other = ((code >= 97) & (code <= 122)) | (code >= 223)
-            capitals, letters, chars = capitals + int(large.sum()), letters + int((large | other).sum()), chars + len(code)
-            marks += int((((code > 32) & (code < 48)) | ((code > 57) & (code < 65)) | ((code > 90) & (code < 97)) | ((code > 122) & (code < 127))).sum())
-            exclaims += int(((code == 33) | (code == 63)).sum())
-            longest = max([longest, *(len(m) for m in re.findall(r"[!?]{2,}", piece))])
-            for m in re.finditer(r"(?<!\S)(?:\w[\s.*-]{1,2}){2,}\w(?![^\s.,!?])", piece):
-                joined = re.sub(r"[\s.*-]", "", m[0]).lower()[:40]
-                hits = [x for x in INSULTS if len(x) > 3 and x in joined]
-                hidden, insults = hidden + bool(hits), insults | set(hits)
+            classes += np.bincount(CLASSES[np.minimum(code, 255)], minlength=5)
+            if "!!" in piece or "??" in piece or "!?" in piece or "?!" in piece:
+                longest = max(longest, max(len(m) for m in re.findall(r"[!?]{2,}", piece)))
+            if np.count_nonzero(kind & SINGLE) > 2:
+                for m in LONE.finditer(piece):
+                    joined = re.sub(r"[\s.*-]", "", m[0]).lower()[:40]
+                    hits = [x for x in INSULTS if len(x) > 3 and x in joined]
+                    hidden, insults = hidden + bool(hits), insults | set(hits)
         flag = np.concatenate(flags) if flags else np.zeros(0, np.uint8)
-        n = max(1, len(flag))
+        n, chars, letters = max(1, len(flag)), max(1, int(classes.sum())), max(1, int(classes[LARGE] + classes[SMALL]))
         share = lambda bit: float(np.count_nonzero(flag & bit)) / n
         bad, you = np.flatnonzero(flag & (INSULT | HIDDEN | KNOWN)), np.flatnonzero(flag & YOU)
         near = int((np.searchsorted(you, bad + NEAR, "right") > np.searchsorted(you, bad - NEAR)).sum())
@@ -165,7 +171,7 @@ class Reader:
         total = int(np.count_nonzero(flag & INSULT)) + hidden
         return [
             float(np.log1p(len(flag))), float(np.log1p(total)), total / n, float(len(insults)), float(np.log1p(hidden)), hidden / n,
-            float(np.log1p(near)), share(YOU), near / n, capitals / max(1, letters), share(SHOUT), marks / max(1, chars), exclaims / max(1, chars),
+            float(np.log1p(near)), share(YOU), near / n, float(classes[LARGE]) / letters, share(SHOUT), float(classes[SIGN] + classes[EXCLAIM]) / chars, float(classes[EXCLAIM]) / chars,
             float(np.log1p(longest)), share(MASKED), share(STRETCHED), share(SINGLE),
             float(np.log1p(np.count_nonzero(flag & KNOWN))), share(KNOWN), float(len(learnt)),
         ]
@@ -207,7 +213,7 @@ def learnt_words(rows: DataFrame) -> dict[str, int]:
     size = {(r.fold, r.label): r.n for r in rows.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
     word = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     pair = F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda w, after: F.struct(w.alias("w"), F.xxhash64(after).alias("after")))
-    each = rows.select("fold", "label", word.alias("words")).select("fold", "label", F.explode(F.array_distinct(pair)).alias("p")).distinct()
+    each = rows.select("fold", "label", word.alias("words")).select("fold", "label", F.explode(pair).alias("p")).distinct()
     parts = F.array(*(F.when(F.length("p.w") >= k, F.substring("p.w", 1, k)) for k in LENGTHS))
     each = each.select("fold", "label", "p.after", F.explode(F.array_compact(parts)).alias("part")).distinct()
     counts = each.groupBy("part").agg(*(F.count(F.when((F.col("fold") == f) & (F.col("label") == y), 1)).alias(f"n{f}{y}") for f in FOLDS for y in (0, 1)))
