@@ -33,6 +33,22 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> Da
     return up.drop("_part", *[f"_of_{out}" for out in sums])
 
 
+def running_sums_within(df: DataFrame, group: list[str], value: str, sums: list[str], following: str) -> DataFrame:
+    """df with, for each column c of sums, up_c (its sum over the group's rows up to this value) and all_c (over the group), and the next value.
+
+    Values must not tie within a group, and group columns not be null. Ranges of (group, value) are summed first, so a
+    group of any size lies in many tasks.
+    """
+    parts = written(df.repartitionByRange(*group, value).select("*", F.spark_partition_id().alias("_part")))
+    totals = parts.groupBy(*group, "_part").agg(*[F.sum(c).alias(f"_of_{c}") for c in sums], F.min(value).alias("_first"))
+    whole = Window.partitionBy(*group)  # a row a range of the group
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*group, "_part", F.lead("_first").over(whole.orderBy("_part")).alias("_next"), *[F.coalesce(F.sum(f"_of_{c}").over(before), F.lit(0)).alias(f"_from_{c}") for c in sums], *[F.sum(f"_of_{c}").over(whole).alias(f"all_{c}") for c in sums])
+    own = Window.partitionBy("_part", *group).orderBy(value)
+    up = parts.join(starts, [*group, "_part"]).withColumns({f"up_{c}": F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"_from_{c}") for c in sums} | {following: F.coalesce(F.lead(value).over(own), F.col("_next"))})
+    return up.drop("_part", "_next", *[f"_from_{c}" for c in sums])
+
+
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
     """Exact quantiles, interpolated between neighbours; nulls are left out, and without values all are null."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))

@@ -1,7 +1,8 @@
 """Decision trees grown level by level on exact splits, and forests of them.
 
-A level is one aggregation: rows are counted by node, feature and value, cumulated over the values, and the best split
-of each node comes back. Rows never leave their partitions; the tree is a small table of nodes on the driver.
+A level is one aggregation: rows are counted by node, feature and value, cumulated over ranges of the values, and the
+best split of each node comes back. Rows are written with their node for the next level; the tree is a small table of
+nodes on the driver. Trees with bounded thresholds, of which many grow in one pass, are in the histogram module.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.expressions import hash_bucket
+from millrace.functions.ranks import running_sums_within
+from millrace.sources.storage import written
 
 from .prepare import bootstrap
 
@@ -114,24 +117,24 @@ def best_splits(rows: DataFrame, numeric: list[str], categorical: list[str], n_s
             order = F.array_sort(F.array(*[F.struct(hash_bucket(F.concat_ws(":", F.col("node"), F.lit(k)), seed, 1 << 30).alias("h"), F.lit(k).alias("k")) for k in range(len(place))]))
             long = long.where(F.array_contains(F.transform(F.slice(order, 1, per_node), lambda s: s.k), F.col("f")))
         cells = long.groupBy("node", "f", "v").agg(*sums)
-        group = Window.partitionBy("node", "f")
-        totals = {f"k_{c}": F.sum(c).over(group) for c in ("w", *stats)}
+        names = ["w", *stats]
         if kind == "double":
-            up = group.orderBy("v")
-            left = {f"l_{c}": F.sum(c).over(up.rowsBetween(Window.unboundedPreceding, 0)) for c in ("w", *stats)}
-            at = {"threshold": (F.col("v") + F.lead("v").over(up)) / 2, "category": F.lit(None).cast("string")}
+            up = running_sums_within(cells, ["node", "f"], "v", names, "_following")
+            cells = up.select("node", "f", ((F.col("v") + F.col("_following")) / 2).alias("threshold"), F.lit(None).cast("string").alias("category"), *[F.col(f"up_{c}").alias(f"l_{c}") for c in names], *[F.col(f"all_{c}").alias(f"k_{c}") for c in names])
+            cells = cells.where("threshold is not null")
         else:
-            left, at = {f"l_{c}": F.col(c) for c in ("w", *stats)}, {"threshold": F.lit(None).cast("double"), "category": F.col("v")}
-        cells = cells.withColumns(totals | left | at).drop("v")
-        parts.append(cells.where("threshold is not null or category is not null"))
+            known = cells.groupBy("node", "f").agg(*[F.sum(c).alias(f"k_{c}") for c in names])
+            cells = cells.join(known, ["node", "f"]).select("node", "f", F.lit(None).cast("double").alias("threshold"), F.col("v").alias("category"), *[F.col(c).alias(f"l_{c}") for c in names], *[f"k_{c}" for c in names])
+        parts.append(cells)
     cells = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     cells = cells.join(whole, "node").where((F.col("l_w") >= least) & (F.col("k_w") - F.col("l_w") >= least))
     known, left, right = ([F.col(f"k_{c}") for c in stats], [F.col(f"l_{c}") for c in stats], [F.col(f"k_{c}") - F.col(f"l_{c}") for c in stats])
     gain = _impurity(known, F.col("k_w"), criterion) - _impurity(left, F.col("l_w"), criterion) - _impurity(right, F.col("k_w") - F.col("l_w"), criterion)
-    cells = cells.withColumn("gain", F.round(gain / F.col("all_w"), 10)).withColumn("p_left", F.col("l_w") / F.col("k_w"))
-    first = Window.partitionBy("node").orderBy(F.desc("gain"), "f", "threshold", "category")
+    # the largest gain, then the first feature, the lowest value: a minimum, so a task sends one row a node
+    first = F.min(F.struct((-F.round(gain / F.col("all_w"), 10)).alias("loss"), "f", "threshold", "category", (F.col("l_w") / F.col("k_w")).alias("p_left")))
+    best = cells.groupBy("node").agg(first.alias("b"))
     names = F.array(*[F.lit(f) for f in [*numeric, *categorical]])
-    return cells.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("node", F.get(names, F.col("f")).alias("feature"), "threshold", "category", "gain", "p_left")
+    return best.select("node", F.get(names, F.col("b.f")).alias("feature"), "b.threshold", "b.category", (-F.col("b.loss")).alias("gain"), "b.p_left")
 
 
 def _expand(rows: DataFrame, tree: Tree, level: list[int]) -> DataFrame:
@@ -156,6 +159,7 @@ def grow(df: DataFrame, label: str, numeric: list[str], categorical: list[str] =
     y = [(F.col(label) == c).cast("double") for c in classes] if classes else [F.col(label).cast("double")]
     rows = df.where(F.col(label).isNotNull()).select(*numeric, *categorical, F.lit(1).alias("node"), w.alias("w"), *[(w * v).alias(f"c{k}") for k, v in enumerate(y)]).where("w > 0")
     tree, level = Tree(), [1]
+    rows = written(rows)
     for d in range(depth + 1):
         sums = rows.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("w", *[f"c{k}" for k in range(len(y))])]).collect()
         for r in sums:
@@ -169,7 +173,7 @@ def grow(df: DataFrame, label: str, numeric: list[str], categorical: list[str] =
         level = [r["node"] for r in sums if not tree.leaf(r["node"])]
         if not level:
             break
-        rows = _expand(rows, tree, level)
+        rows = written(_expand(rows, tree, level))
     tree.nodes = tree.nodes or {1: Node([0.0] * len(y), 0.0)}
     for k in [k for k in tree.nodes if not tree.leaf(k) and (2 * k not in tree.nodes or 2 * k + 1 not in tree.nodes)]:
         tree.prune(k)
