@@ -3,8 +3,8 @@
 Of every DOM node: density = characters per tag, corrected for links. The subtree whose children's densities have the
 largest sum is the core of the content; the smallest density on the path from it to body is the threshold. Every other
 part of the page that reaches it is content too, and so is what lies between, down from their common ancestor.
-Elements that are never shown as text are cut before; those that by name, role or class are seldom main text are cut
-as long as they hold no more than half of the page's text outside links.
+Elements that are never shown as text are cut before, and so are those that by name, role or class are seldom main text,
+whatever their length; they are taken back, the largest first, only where the rest of the page has no text block to speak of.
 """
 
 from __future__ import annotations
@@ -31,33 +31,41 @@ _CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)),
 #: Never text of the page.
 _NO_TEXT = frozenset("script style noscript iframe template svg select textarea input title head object embed canvas audio video map".split())
 #: Seldom main text.
-_CUT = frozenset("nav header footer aside form button label menu dialog".split())
-#: What a nav or menu has only if it is wrapped around something else.
-_PROSE = _BLOCK - frozenset("ul ol li menu nav dl dt dd header hgroup".split())
+_CUT = frozenset("nav header footer aside form button menu dialog".split())
+#: A text block of so many characters outside links, or of half the longest one of a cut, is worth a page; shorter lines of a menu never are.
+BLOCK_CHARS, LINE_CHARS = 80, 25
+#: Blocks that are text though they are linked; a list of links has this many.
+_TEXT = frozenset("p blockquote h1 h2 h3 h4 h5 h6 figure figcaption pre address dd dt li td th caption".split())
+LIST_LINKS = 3
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CUT_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-_CUT_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side-bar|aside|widget|related|recommend\w*|share|sharing|social|comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notice|newsletter|subscribe|signup|login|popup|modal|overlay|toolbar|pagination|pager|copyright|legal|disclaimer|skip|hidden)(?:$|[\s_-]|\d)", re.I
-)
-#: A layout with or without such a part, not the part.
-_MODIFIER = re.compile(r"(?:^|[_-])(?:with|without|no|has)[_-]", re.I)
+#: A class or id that names such a part as a whole: words before, the part, words after.
+_BEFORE = "site page main global top bottom left right primary secondary post entry article blog single mobile desktop sticky fixed js c l u the".split()
+_PART = (
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promos promotion nav navbar navigation menu breadcrumb breadcrumbs "
+    "header masthead footer foot sidebar side-bar aside widget widgets related related-posts related-articles related-links recommended recommendations "
+    "share-buttons share-bar sharing social social-links social-share share comment comments commentlist comment-list respond replies disqus "
+    "cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr notice newsletter subscribe signup sign-up login popup modal overlay "
+    "toolbar pagination pager copyright skip skip-link hidden"
+).split()
+_AFTER = "list section area wrapper wrap container content box block bar inner outer row col column group thread form links menu widget holder region zone unit slot thread buttons bottom top left right".split()
+_CUT_NAME = re.compile(rf"(?:(?:{'|'.join(_BEFORE)})[_-]+)*(?:{'|'.join(sorted(_PART, key=len, reverse=True))})(?:[_-]+(?:{'|'.join(_AFTER)}|\d+))*\d*", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v   -     　\x1c-\x1f\x85]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "prose", "own", "longest", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "cut", "own", "longest", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: "Node | None", cut: bool) -> None:
         self.tag, self.parent, self.cut = tag, parent, cut
         self.children: list[Node | str] = []  # text is a str
-        self.prose = False
         self.own = self.longest = 0  # characters of its own texts, in sum and of the longest
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
 def _named(value: str) -> bool:
-    return bool(_CUT_NAME.search(value)) and any(_CUT_NAME.search(v) and not _MODIFIER.search(v) for v in value.split())
+    return any(_CUT_NAME.fullmatch(v.replace("__", "-")) for v in value.split())
 
 
 def _is_cut(tag: str, attributes: str) -> bool:
@@ -138,64 +146,59 @@ def parse(html: str) -> Node:
     return root
 
 
-def _keep_most(root: Node) -> None:
-    """Takes back cuts, the largest first, until those left hold no more than half of the page's text outside links."""
+def _take_back(root: Node) -> None:
+    """Fills own and longest, and takes back cuts, the largest first, while nothing else on the page is a text block."""
     order, stack, cuts, tie = [], [root], [], itertools.count()
     while stack:
         n = stack.pop()
         order.append(n)
         cuts.append(n.cut)
         stack += [c for c in n.children if not isinstance(c, str) and c.tag not in _NO_TEXT]
-    # cut elements that are not in an article or main, if the page shows one
-    beside, shown, stack = set(), False, [(root, False, False)]
-    while stack:
-        n, hidden, marked = stack.pop()
-        hidden, marked = hidden or n.cut, marked or n.tag in ("article", "main")
-        shown = shown or marked and not hidden
-        if n.cut and not marked:
-            beside.add(id(n))
-        stack += [(c, hidden, marked) for c in n.children if not isinstance(c, str) and c.tag not in _NO_TEXT]
-    if not shown:
-        beside.clear()
-    plain: dict[int, int] = {}
+    flow: dict[int, int] = {}  # characters outside links of a block's own lines
+    plain: dict[int, int] = {}  # and of all that is in an element
+    longest: dict[int, int] = {}  # the longest block in an element, whether cut or not
     for n in reversed(order):
         for c in n.children:
             if isinstance(c, str):
                 size = len(entities.unescape(c).strip())
                 n.own, n.longest = n.own + size, max(n.longest, size)
         inner = [c for c in n.children if not isinstance(c, str) and c.tag not in _NO_TEXT]
-        n.prose = any(c.prose or c.tag in _PROSE for c in inner)
-        # a list of names without links is no wrapper, and a line or two are none beside an article
-        listed = not n.prose and (n.tag in ("nav", "menu") or n.cut and id(n) in beside)
-        plain[id(n)] = 0 if n.tag == "a" or listed else n.own + sum(plain[id(c)] for c in inner)
+        flow[id(n)] = 0 if n.tag == "a" else n.own + sum(flow[id(c)] for c in inner if c.tag not in _BLOCK)
+        plain[id(n)] = 0 if n.tag == "a" else n.own + sum(plain[id(c)] for c in inner)
+        longest[id(n)] = max([flow[id(n)], *(longest[id(c)] for c in inner)])
     if not any(cuts):
         return
 
-    def outermost(top: Node) -> list[tuple[int, int, Node]]:
-        found, stack = [], [c for c in top.children if not isinstance(c, str)]
+    def outermost(top: Node) -> tuple[list[tuple[int, int, Node]], int]:
+        """The cuts right below what is shown of an element, and the longest block that it shows; any one in an article or main will do."""
+        found, most, stack = [], 0, [(top, False)]
         while stack:
-            n = stack.pop()
-            if n.cut and plain.get(id(n), 0):
-                found.append((-plain[id(n)], next(tie), n))
-            elif not n.cut:
-                stack += [c for c in n.children if not isinstance(c, str)]
-        return found
-
-    heap = outermost(root)
+            n, marked = stack.pop()
+            marked = marked or n.tag in ("article", "main")
+            most = max(most, BLOCK_CHARS if marked and flow.get(id(n), 0) else flow.get(id(n), 0))
+            for c in n.children:
+                if not isinstance(c, str):
+                    if not c.cut:
+                        stack.append((c, marked))
+                    elif plain.get(id(c), 0) and (c.tag not in ("nav", "menu") or longest[id(c)] >= LINE_CHARS):
+                        found.append((-plain[id(c)], next(tie), c))
+        return found, most
+
+    heap, shown = outermost(root)
     heapq.heapify(heap)
-    gone = -sum(x[0] for x in heap)
-    while 2 * gone > plain[id(root)]:
-        size, _, n = heapq.heappop(heap)
+    last = 0
+    while heap and (heap[0][0] == last or shown < min(BLOCK_CHARS, longest[id(heap[0][2])] / 2)):
+        last, _, n = heapq.heappop(heap)  # equally large ones are taken back together
         n.cut = False
-        inner = outermost(n)
-        gone += size - sum(x[0] for x in inner)
+        inner, most = outermost(n)
+        shown = max(shown, most)
         for x in inner:
             heapq.heappush(heap, x)
 
 
 def _measure(root: Node) -> tuple[Node, list[Node]]:
     """Fills counts and densities, bottom up; returns body and all nodes in page order."""
-    _keep_most(root)
+    _take_back(root)
     order, stack, body = [], [root], root
     while stack:
         n = stack.pop()
@@ -291,7 +294,7 @@ def main_text(html: str | None) -> str:
         elif x.tag == "br":
             parts.append(" ")
         else:
-            if x is not top and x.tag in _BLOCK and x.link_chars > 0.5 * x.chars and x.density < threshold:
+            if x is not top and x.tag in _BLOCK - _TEXT and x.link_tags >= LIST_LINKS and x.link_chars > 0.5 * x.chars and x.density < threshold:
                 flush()  # a list of links inside the content
                 continue
             if x.tag in _BLOCK:

@@ -57,17 +57,23 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to
 
 
 def parse_record(record: bytes) -> dict:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and payload (None for a revisit)."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and payload (None for a revisit).
+
+    A response's length and digest are those of the payload that is read; headers that say otherwise are an error. A
+    revisit has no payload, so they come from its headers.
+    """
     head, _, rest = record.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
+    said = {"payload_bytes": int(re.search(rb"Content-Length: (\d+)", http)[1]), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:")}
+    if fields["WARC-Type"] == "response" and said != {"payload_bytes": len(payload), "payload_digest": digest(payload)}:
+        raise ValueError(f"damaged payload in {fields['WARC-Record-ID']}")
     own = fields["WARC-Record-ID"].strip("<>").removeprefix("urn:uuid:")
     to = fields.get("WARC-Refers-To")
     return {
         "page_id": page_of(own) if uuid.UUID(own).int >> 64 == _RECORDS >> 64 else None,
-        "payload_bytes": int(re.search(rb"Content-Length: (\d+)", http)[1]),
-        "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
+        **said,
         "record_type": fields["WARC-Type"],
         "refers_to": page_of(to) if to else None,
         "payload": payload if fields["WARC-Type"] == "response" else None,
@@ -147,5 +153,17 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> str:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record in the archives."""
-    return read_files(spark, path).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record in the archives.
+
+    Lengths and digests are of the payloads as read, a revisit's of the response that it refers to. A damaged payload,
+    or a revisit whose response is not there or has another digest, is an error.
+    """
+    rows = written(read_files(spark, path).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"))
+    plain, again = rows.where("record_type <> 'revisit'"), rows.where("record_type = 'revisit'")
+    wanted = maybe_broadcast(written(again.select(F.col("refers_to").alias("page_id")).distinct()))
+    firsts = plain.join(wanted, "page_id", "left_semi").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).distinct()
+    # ids may repeat with other payloads, so the digest is part of the key
+    found = again.withColumnRenamed("payload_digest", "_digest").join(maybe_broadcast(written(firsts)), ["refers_to", "_digest"], "left")
+    lost = F.raise_error(F.concat(F.lit("no such response: "), F.coalesce(F.col("refers_to").cast("string"), F.lit("null"))))
+    size = F.when(F.col("_bytes") == F.col("payload_bytes"), F.col("_bytes")).otherwise(lost.cast("long"))
+    return plain.unionByName(found.select("page_id", size.alias("payload_bytes"), F.col("_digest").alias("payload_digest"), "record_type", "refers_to"))
