@@ -10,19 +10,32 @@ from millrace.llm import langid, mixing, near_dedup, queries, token_files
 from millrace.llm.common import maybe_broadcast, row_key, written
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(_row, _key): each row of docs as a struct, so that its columns clash with none of ours, and its row_key."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), row_key("doc_id", "text").alias("_key"))
+
+
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """docs whose row_key(doc_id, text) is not in keys (_key); no shuffle of texts while keys are few."""
     gone = maybe_broadcast(written(keys.select("_key").distinct()))
-    return docs.withColumn("_key", row_key("doc_id", "text")).join(gone, "_key", "left_anti").select(*docs.columns)
+    return _keyed(docs).join(gone, "_key", "left_anti").select("_row.*")
+
+
+def _once(keyed: DataFrame, again: DataFrame) -> DataFrame:
+    """Keyed rows, one of each key in again (a written table of _key)."""
+    if not again.limit(1).count():
+        return keyed
+    once = keyed.join(maybe_broadcast(again), "_key", "left_semi").dropDuplicates(["_key"])
+    return keyed.join(maybe_broadcast(again), "_key", "left_anti").select("_row", "_key").unionByName(once.select("_row", "_key"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; lang becomes what was identified."""
+    """Documents whose language is known; lang becomes what was identified. Null texts are unknown and go."""
     judged = written(langid.identify_languages(docs))
     kept = _without(docs, judged.where("not kept"))
     other = judged.where("kept and language is distinct from declared").select("_key", "language").dropDuplicates(["_key"])
-    fixed = kept.withColumn("_key", row_key("doc_id", "text")).join(maybe_broadcast(written(other)), "_key", "left")
-    return fixed.withColumn("lang", F.coalesce("language", "lang")).select(*docs.columns)
+    fixed = _keyed(kept).join(maybe_broadcast(written(other)), "_key", "left")
+    return fixed.select(F.col("_row").withField("lang", F.coalesce("language", F.col("_row.lang"))).alias("_row")).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,34 +50,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = judged.join(maybe_broadcast(firsts.select("_group", F.col("_key").alias("_first"))), "_group").where("_key <> _first")
     kept = _without(docs, gone)
     again = written(judged.where("_group is not null").join(maybe_broadcast(firsts.select("_key")), "_key", "left_semi").groupBy("_key").count().where("count > 1").select("_key"))
-    if not again.limit(1).count():
-        return kept
-    keyed = kept.withColumn("_key", row_key("doc_id", "text"))
-    once = keyed.join(maybe_broadcast(again), "_key", "left_semi").dropDuplicates(["_key"])
-    return keyed.join(maybe_broadcast(again), "_key", "left_anti").unionByName(once).select(*docs.columns)
+    return _once(_keyed(kept), again).select("_row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage like a benchmark item."""
+    """Documents without a passage like a benchmark item. Null texts have none and stay."""
     return _without(docs, leaks.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Equal rows are emitted as often as all of them together."""
-    drawn = mixing.mix(docs).groupBy("_key").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows"))
-    drawn = written(drawn.where("_copies <> 1 or _rows <> 1"))
-    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-    again = written(drawn.where("_rows > 1").select("_key"))
-    if again.limit(1).count():
-        once = keyed.join(maybe_broadcast(again), "_key", "left_semi").dropDuplicates(["_key"])
-        keyed = keyed.join(maybe_broadcast(again), "_key", "left_anti").unionByName(once)
-    counted = keyed.join(maybe_broadcast(drawn.select("_key", "_copies")), "_key", "left")
-    counted = counted.withColumn("_copies", F.coalesce("_copies", F.lit(1))).where("_copies > 0")
-    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Each document as often as the mix takes it. Equal rows are emitted as often as all of them together; null texts have size 0."""
+    drawn = mixing.mix(docs).groupBy("_key").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("n"))
+    drawn = written(drawn.where("copies <> 1 or n <> 1"))
+    keyed = _once(_keyed(docs), written(drawn.where("n > 1").select("_key")))
+    counted = keyed.join(maybe_broadcast(drawn.select("_key", "copies")), "_key", "left").select("_row", F.coalesce("copies", F.lit(1)).alias("copies"))
+    return counted.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document in the token files."""
+    """doc_id, start, n_tokens and ids_crc32 of each document in the token files. Null texts are encoded as empty ones."""
     return token_files.read_token_files(spark, token_files.write_token_files(docs, queries.tokenizer_path(), queries.END_ID))
 
 
