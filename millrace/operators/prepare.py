@@ -124,17 +124,9 @@ def folds(df: DataFrame, label: str, key: str, k: int, seed: int = 0) -> DataFra
 
 
 def split_by_time(df: DataFrame, time: str, key: str, share: float) -> DataFrame:
-    """split: train up to the share-th row by time and key. Whole seconds that lie before or after need no order.
-
-    Counts a second at a time decide which second holds the cut; rows are ordered only within it.
-    """
-    second = F.date_trunc("second", F.col(time))
-    counts = df.groupBy(second.alias("_s")).agg(F.count("*").alias("_n"))
-    total = df.count()
-    cut = F.lit(round(total * share))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-    place = F.row_number().over(Window.partitionBy("_s").orderBy(time, key)) + F.col("_before")
-    return df.withColumn("_s", second).join(before, "_s").withColumn("split", F.when(place <= cut, "train").otherwise("test")).drop("_s", "_n", "_before")
+    """split: train up to the share-th row by time and key, which must not tie. Ranges of rows are numbered, so no task orders all."""
+    cut = round(df.count() * share)
+    return numbered(df, [F.col(time), F.col(key)], "_place").withColumn("split", F.when(F.col("_place") < cut, "train").otherwise("test")).drop("_place")
 
 
 def core(df: DataFrame, user: str, item: str, least: int, passes: int = 3) -> DataFrame:

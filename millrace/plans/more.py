@@ -143,22 +143,25 @@ def popular_items(df):
     return recommend.popular(ratings(df), 20).withColumn("mean", F.round("mean", 6))
 
 
-_SPREAD = "w AS (SELECT item AS src, item % 97 + 1 AS dst, (item % 11 - 3) / 7.0 AS weight FROM (SELECT DISTINCT item FROM r))"
+_SPREAD = "w AS (SELECT item AS src, (item * 7 + k * 131) % (SELECT max(item) FROM r) + 1 AS dst, ((item + k) % 11 - 3)::double AS weight FROM (SELECT DISTINCT item FROM r), (SELECT unnest(range(5)) AS k))"
 
 
 def _spread(r):
-    return r.select(F.col("item").alias("src")).distinct().select("src", (F.col("src") % 97 + 1).alias("dst"), ((F.col("src") % 11 - 3) / 7.0).alias("weight"))
+    """Five weights an item, whole numbers, to places over all items."""
+    most = r.agg(F.max("item")).head()[0] or 1
+    edges = r.select(F.col("item").alias("src")).distinct().select("src", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    return edges.select("src", ((F.col("src") * 7 + F.col("k") * 131) % most + 1).alias("dst"), ((F.col("src") + F.col("k")) % 11 - 3).cast("double").alias("weight"))
 
 
-@query("lineitem", f"WITH r AS ({_RATINGS}), {_SPREAD} SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY weight DESC, src) AS p FROM w WHERE weight > 0) WHERE p <= 10")
+@query("lineitem", f"WITH r AS ({_RATINGS}), {_SPREAD} SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY weight DESC, src) AS p FROM w WHERE weight > 0) WHERE p <= 3")
 def largest_weights(df):
-    return recommend.keep_largest(_spread(ratings(df)), 10).select("src", "dst")
+    return recommend.keep_largest(_spread(ratings(df)), 3).select("src", "dst")
 
 
-@query("lineitem", f"WITH r AS ({_RATINGS}), {_SPREAD}, s AS (SELECT \"user\", dst AS item, sum(rating * weight) / nullif(sum(abs(weight)), 0) AS score FROM r JOIN w ON r.item = w.src GROUP BY 1, 2) SELECT \"user\", item, round(greatest(1.0, least(50.0, coalesce(score, 25.0))), 4) AS score FROM r LEFT JOIN s USING (\"user\", item)")
+@query("lineitem", f"WITH r AS ({_RATINGS}), {_SPREAD}, s AS (SELECT \"user\", dst AS item, round(sum(rating * weight), 6) / nullif(sum(abs(weight)), 0) AS score FROM r JOIN w ON r.item = w.src GROUP BY 1, 2) SELECT \"user\", item, round(greatest(1.0, least(50.0, coalesce(score, 25.0))), 6) AS score FROM r LEFT JOIN s USING (\"user\", item)")
 def predict_weighted_average(df):
     r = ratings(df)
-    return recommend.weighted_average(r.select("user", "item"), r, _spread(r), 25.0, 1.0, 50.0).withColumn("score", F.round("score", 4))
+    return recommend.weighted_average(r.select("user", "item"), r, _spread(r), 25.0, 1.0, 50.0).withColumn("score", F.round("score", 6))
 
 
 # sinks: written, read back

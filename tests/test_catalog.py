@@ -13,12 +13,12 @@ def plain(rows, columns):
 
     def cell(x):
         if isinstance(x, float):
-            return "nan" if math.isnan(x) else f"{x + 0.0:.6g}"
+            return "nan" if math.isnan(x) else f"{x + 0.0:.10g}"
         return x if x is None else str(int(x)) if isinstance(x, bool) else str(x)
 
     def number(x):
         try:
-            return f"{float(x) + 0.0:.6g}"
+            return f"{float(x) + 0.0:.10g}"
         except (TypeError, ValueError):
             return x
 
