@@ -106,12 +106,12 @@ def keep_largest(weights: DataFrame, k: int) -> DataFrame:
 def weighted_average(pairs: DataFrame, ratings: DataFrame, weights: DataFrame, default: float, low: float, high: float) -> DataFrame:
     """pairs (user, item) with score: the mean of the user's ratings by weight(src, dst = item), within low and high.
 
-    default where the user has rated nothing with a weight. Sums are rounded to six digits, so that the order in which
+    default where the user has rated nothing with a weight. Sums are rounded to nine digits, so that the order in which
     they are added up is not seen.
     """
     known = pairs.select("user", "item").distinct().join(weights.withColumnRenamed("dst", "item"), "item").join(ratings.select("user", F.col("item").alias("src"), "rating"), ["user", "src"])
     total = F.sum(F.abs("weight"))
-    means = known.groupBy("user", "item").agg((F.round(F.sum(F.col("rating") * F.col("weight")), 6) / F.when(total > 0, total)).alias("score"))
+    means = known.groupBy("user", "item").agg((F.round(F.sum(F.col("rating") * F.col("weight")), 9) / F.when(total > 0, total)).alias("score"))
     return pairs.join(means, ["user", "item"], "left").withColumn("score", F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce("score", F.lit(default)))))
 
 

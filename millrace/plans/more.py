@@ -158,7 +158,7 @@ def largest_weights(df):
     return recommend.keep_largest(_spread(ratings(df)), 3).select("src", "dst")
 
 
-@query("lineitem", f"WITH r AS ({_RATINGS}), {_SPREAD}, s AS (SELECT \"user\", dst AS item, round(sum(rating * weight), 6) / nullif(sum(abs(weight)), 0) AS score FROM r JOIN w ON r.item = w.src GROUP BY 1, 2) SELECT \"user\", item, round(greatest(1.0, least(50.0, coalesce(score, 25.0))), 6) AS score FROM r LEFT JOIN s USING (\"user\", item)")
+@query("lineitem", f"WITH r AS ({_RATINGS}), {_SPREAD}, s AS (SELECT \"user\", dst AS item, round(sum(rating * weight), 9) / nullif(sum(abs(weight)), 0) AS score FROM r JOIN w ON r.item = w.src GROUP BY 1, 2) SELECT \"user\", item, round(greatest(1.0, least(50.0, coalesce(score, 25.0))), 6) AS score FROM r LEFT JOIN s USING (\"user\", item)")
 def predict_weighted_average(df):
     r = ratings(df)
     return recommend.weighted_average(r.select("user", "item"), r, _spread(r), 25.0, 1.0, 50.0).withColumn("score", F.round("score", 6))
