@@ -3,9 +3,10 @@
 Every tree starts with all documents in one node. A node branches by MinHash tokens: its members go to the children of
 the tokens that the node selects. Small nodes are compared exhaustively on full shingle sets, larger ones branch again,
 LEVELS times at most; what branching can't thin is compared with some pivots first, and only members that are not linked
-with the largest component of the pivots go on to a comparison with all, in blocks. Independent trees repeat the walk. A pair at the threshold shares a
-child with probability 0.75, one of two children with 0.94: so after three levels 16 trees miss it with 4e-8, and with
-2e-10 where the first nodes are small.
+with the largest component of the pivots go on to a comparison with all, in blocks. Independent trees repeat the walk; what
+one of them has put in a group is not compared again for another. A pair at the threshold shares a child with probability
+0.75, one of two children with 0.94: so after three levels 16 trees miss it with 4e-8, and with 2e-10 where the first nodes
+are small.
 """
 
 from __future__ import annotations
@@ -18,15 +19,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import give_back, maybe_broadcast, row_key, written
 
 #: Trees; the tokens of a signature (the first TREES of them for the roots); levels of branching; children below the first level.
 TREES, COORDS, WIDTH, LEVELS, BRANCHES = 16, 48, 5, 3, 2
 #: A node of more members or more shingles branches.
-LEAF, LEAF_SHINGLES = 256, 500_000
+LEAF, LEAF_SHINGLES = 2048, 1_000_000
 #: What one task compares with each other; larger groups are dealt to tasks of about that much.
-BLOCK, BLOCK_SHINGLES = 512, 500_000
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
 #: Pivots of a dealt group, about; fewer if they have more than BLOCK_SHINGLES.
 PIVOTS = 128
 #: Rows of one class from which its label is broadcast, so that no task gets all of them.
@@ -262,20 +264,40 @@ def _groups(reps: DataFrame) -> DataFrame:
     return written(star.groupBy("center", "rep").agg(F.max("size").alias("size")))
 
 
+def _homes(star: DataFrame) -> DataFrame:
+    """star with home: the largest group of each class, of equal ones the smallest center; without groups that are redundant.
+
+    Two classes of one home are compared there, so no other group that both are in has to compare them again: trees
+    find the same groups over and over. A group all of whose members have one home elsewhere goes.
+    """
+    sizes = maybe_broadcast(written(star.groupBy("center").agg(F.count("*").alias("n"))))
+    own = F.max(F.struct("n", (-F.col("center")).alias("c"))).over(Window.partitionBy("rep"))  # a class is in a few groups a tree
+    star = written(star.join(sizes, "center").select("center", "rep", "size", (-own["c"]).alias("home")))
+    kept = star.groupBy("center").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low <> high or low = center").select("center")
+    return star.join(maybe_broadcast(written(kept)), "center", "left_semi")
+
+
 def _found_links(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect what is linked within the groups."""
-    groups = star.groupBy("center").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    star = written(_homes(star))
+    classes = star.groupBy("center", "home").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    groups = classes.groupBy("center").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max(F.struct("n", "home")).alias("most"))
     tasks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     pivots = F.least(F.lit(PIVOTS), F.floor(BLOCK_SHINGLES * F.col("n") / F.col("total")))
-    groups = written(groups.select("center", "n", tasks.alias("tasks"), pivots.alias("pivots")))
+    # of a dealt group, what has been compared elsewhere: half of it or more that has one home there
+    done = F.when((tasks > 1) & (F.col("most.home") != F.col("center")) & (2 * F.col("most.n") >= F.col("n")), F.col("most.home"))
+    groups = written(groups.select("center", "n", tasks.alias("tasks"), pivots.alias("pivots"), done.alias("done")))
+    known = groups.where("done is not null")
+    fresh = star.join(maybe_broadcast(groups.where("done is null").select("center", "n", "tasks", "pivots")), "center")
     # pivots are chosen by hash, in every share; the center is always one
     pivot = (F.col("rep") == F.col("center")) | (F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n")) < F.col("pivots"))
     shares = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("tasks")).cast("int")))
-    dealt = star.join(maybe_broadcast(groups), "center").withColumn("pivot", pivot).select("center", "rep", "tasks", "pivot", F.explode(shares).alias("share"))
+    dealt = fresh.withColumn("pivot", pivot).select("center", "rep", "tasks", "pivot", F.explode(shares).alias("share"))
     dealt = maybe_broadcast(written(dealt))
     compared = written(dealt.join(sets, "rep").groupBy("center", "share").applyInPandas(_compare(percent), "a long, b long, other long, size long"))
     links = compared.where("b is not null").select("a", "b").distinct()
-    rest = written(compared.where("other is not null").select(F.col("a").alias("center"), F.col("other").alias("rep"), "size").distinct())
+    rest = compared.where("other is not null").select(F.col("a").alias("center"), F.col("other").alias("rep"), "size").distinct()
+    rest = written(rest.unionByName(star.join(maybe_broadcast(known.select("center", "done")), "center").where("home <> done").select("center", "rep", "size")))
     if not rest.limit(1).count():
         return written(links)
     parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
