@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.ranks import running_sums
+from millrace.sources.storage import written
 
 
 def confusion(df: DataFrame, y: str, yhat: str) -> DataFrame:
@@ -113,27 +116,117 @@ def clustering(df: DataFrame, label: str, cluster: str) -> DataFrame:
     return one.select(F.when(top == 0, 1.0).otherwise((F.col("s") - expected) / top).alias("ari"), F.when(mean == 0, 1.0).otherwise(F.col("mi") / mean).alias("nmi"))
 
 
+def assignment(value: np.ndarray) -> list[int]:
+    """For each row of a matrix, no wider than high, a column of its own with the largest sum; -1 for rows left over.
+
+    Shortest augmenting paths, a column at a time: the cube of the size, vectorised over one side.
+    """
+    value = np.asarray(value, float)
+    cost = (value.max(initial=0.0) - value).T  # columns are placed one by one
+    n, m = cost.shape
+    u, v, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
+    for i in range(n):
+        least, came, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        at, here, shift = i, -1, 0.0
+        while True:
+            reach = shift + cost[at] - u[at] - v
+            better = ~done & (reach < least)
+            least[better], came[better] = reach[better], here
+            here = int(np.where(done, np.inf, least).argmin())
+            shift, done[here] = least[here], True
+            if owner[here] < 0:
+                break
+            at = owner[here]
+        seen = done.copy()
+        seen[here] = False
+        u[owner[seen]] += shift - least[seen]
+        u[i] += shift
+        v[seen] -= shift - least[seen]
+        while here >= 0:
+            before = came[here]
+            owner[here] = owner[before] if before >= 0 else i
+            here = before
+    return owner.tolist()
+
+
 def cluster_accuracy(df: DataFrame, label: str, cluster: str) -> float:
-    """Share of rows in agreement under the best one-to-one matching; the fewer of labels and clusters are 16 at most.
+    """Share of rows in agreement under the best one-to-one matching of labels and clusters; rows with a null don't count.
 
-    Spark counts the cells. They are matched one value of the larger side after the other, with the best sum kept
-    for each set of values used on the smaller side.
+    Spark counts the cells; the driver holds labels times clusters numbers. A table without rows is an error.
+    """
+    cells = df.where(F.col(label).isNotNull() & F.col(cluster).isNotNull()).groupBy(F.col(label).alias("a"), F.col(cluster).alias("b")).agg(F.count("*").alias("n")).collect()
+    if not cells:
+        raise ValueError("no rows")
+    a, b = ({x: k for k, x in enumerate(sorted({r[c] for r in cells}))} for c in ("a", "b"))
+    counts = np.zeros((len(a), len(b)))
+    for r in cells:
+        counts[a[r.a], b[r.b]] = r.n
+    counts = counts if len(a) >= len(b) else counts.T
+    return float(sum(counts[k, c] for k, c in enumerate(assignment(counts)) if c >= 0) / sum(r.n for r in cells))
+
+
+def silhouette(points: DataFrame, vector: str, cluster: str) -> DataFrame:
+    """points with a, b and silhouette, by squared distances: means over a cluster follow from its count, sum and square sum.
+
+    A point alone in its cluster has 0; with one cluster all are null. A row a cluster comes to each task. Vectors have
+    no nulls, and rows without a cluster are left out.
+    """
+    x = F.transform(F.col(vector), lambda e: e.cast("double"))
+    rows = points.where(F.col(cluster).isNotNull()).withColumn("_x", x)
+    square = F.aggregate(F.transform("_x", lambda e: e * e), F.lit(0.0), lambda s, e: s + e)
+    rows = rows.withColumn("_q", square)
+    cells = rows.select(F.col(cluster).alias("_c"), F.posexplode("_x").alias("_k", "_e")).groupBy("_c", "_k").agg(F.sum("_e").alias("_s"))
+    sums = cells.groupBy("_c").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_s"))), lambda s: s["_s"]).alias("_sum"))
+    stats = rows.groupBy(F.col(cluster).alias("_c")).agg(F.count("*").alias("_n"), F.sum("_q").alias("_qs")).join(sums, "_c")
+    table = stats.agg(F.collect_list(F.struct("_c", "_n", "_qs", "_sum")).alias("_all"))  # a row a cluster
+    both = rows.crossJoin(F.broadcast(table))
+    cross = lambda t: F.aggregate(F.zip_with("_x", t["_sum"], lambda p, s: p * s), F.lit(0.0), lambda s, e: s + e)
+    total = lambda t: t["_n"] * F.col("_q") + t["_qs"] - 2 * cross(t)  # noqa: E731  of squared distances to a cluster's points
+    own = F.get(F.transform(F.filter("_all", lambda t: t["_c"] == F.col(cluster)), lambda t: F.when(t["_n"] > 1, total(t) / (t["_n"] - 1))), F.lit(0))
+    other = F.array_min(F.transform(F.filter("_all", lambda t: t["_c"] != F.col(cluster)), lambda t: total(t) / t["_n"]))
+    out = both.withColumns({"a": own, "b": other}).drop("_x", "_q", "_all")
+    score = F.when(F.col("b").isNull(), None).when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)))
+    return out.withColumn("silhouette", F.when(F.col("b").isNotNull(), F.coalesce(score, F.lit(0.0))))
+
+
+#: Points of a block whose plain distances one task computes.
+BLOCK = 2048
+
+
+def _distances(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sums of distances of the points of side 0 to those of side 1, by cluster."""
+    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    if left.empty or right.empty:
+        return pd.DataFrame({"key": [], "to": [], "total": []})
+    x, y = np.array(left["x"].tolist(), float), np.array(right["x"].tolist(), float)
+    codes, names = pd.factorize(right["c"], sort=True)
+    out = np.zeros((len(x), len(names)))
+    for low in range(0, len(x), 256):
+        d = np.sqrt(((x[low : low + 256, None, :] - y[None, :, :]) ** 2).sum(axis=2)) if x.shape[1] <= 8 else np.sqrt(np.maximum((x[low : low + 256] ** 2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x[low : low + 256] @ y.T, 0))
+        for c in range(len(names)):
+            out[low : low + 256, c] = d[:, codes == c].sum(axis=1)
+    return pd.DataFrame({"key": np.repeat(left["key"].to_numpy(), len(names)), "to": np.tile(np.asarray(names), len(x)), "total": out.ravel()})
+
+
+def plain_silhouette(points: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
+    """(key, silhouette) by plain distances, of every pair of points in blocks: the cost is the square of their number.
+
+    As silhouette() else; keys are unique longs, clusters longs.
     """
-    cells = {(r.a, r.b): r.n for r in df.where(F.col(label).isNotNull() & F.col(cluster).isNotNull()).groupBy(F.col(label).alias("a"), F.col(cluster).alias("b")).agg(F.count("*").alias("n")).collect()}
-    a, b = sorted({k[0] for k in cells}), sorted({k[1] for k in cells})
-    if not cells or min(len(a), len(b)) > 16:
-        raise ValueError("one to 16 labels or clusters")
-    if len(a) > len(b):
-        a, b, cells = b, a, {(y, x): n for (x, y), n in cells.items()}
-    best = {0: 0}
-    for y in b:
-        after = dict(best)
-        for used, total in best.items():
-            for k, x in enumerate(a):
-                if not used >> k & 1:
-                    after[used | 1 << k] = max(after.get(used | 1 << k, 0), total + cells.get((x, y), 0))
-        best = after
-    return max(best.values()) / sum(cells.values())
+    rows = points.where(F.col(cluster).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("x"), F.col(cluster).cast("long").alias("c"))
+    rows = written(rows)
+    blocks = max(1, -(-rows.count() // BLOCK))
+    own = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.select("*", own.alias("i"), every.alias("j"), F.lit(0).alias("side"))
+    right = rows.select("*", own.alias("j"), every.alias("i"), F.lit(1).alias("side"))
+    sums = left.unionByName(right).groupBy("i", "j").applyInPandas(_distances, "key long, to long, total double").groupBy("key", "to").agg(F.sum("total").alias("total"))
+    sizes = rows.groupBy(F.col("c").alias("to")).agg(F.count("*").alias("n"))
+    means = sums.join(F.broadcast(sizes), "to").join(rows.select("key", "c"), "key")  # a row a cluster
+    mine = F.col("to") == F.col("c")
+    each = means.groupBy("key").agg(F.max(F.when(mine & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~mine, F.col("total") / F.col("n"))).alias("b"))
+    score = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
+    return each.select("key", F.when(F.col("b").isNotNull(), score).alias("silhouette"))
 
 
 def top_k(scores: DataFrame, user: str, item: str, score: str, k: int) -> DataFrame:

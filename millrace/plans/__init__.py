@@ -1,3 +1,3 @@
 """The registered queries: catalog has them all, the others add to it."""
 
-from . import catalog, forests, more, searches, wide_trees  # noqa: F401
+from . import catalog, forests, latent, more, searches, wide_trees  # noqa: F401
