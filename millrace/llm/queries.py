@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, langid, mixing, near_dedup, pii, quality, repair, token_files, toxicity, urls, warc, whitening
+from . import decontaminate, extract, langid, mixing, near_dedup, oracles, pii, quality, repair, token_files, toxicity, urls, warc, whitening
 
 END_ID = 0
 
@@ -91,4 +91,5 @@ QUERIES = {
         op11_repair, op12_whiten, op13_toxicity,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The others rest on fitted models, hashes of Spark or binary formats; tests compare them with brute force.
+ORACLE_SQL: dict[str, str] = {"op8_quality": oracles.QUALITY, "op9_near_dedup": oracles.NEAR_DUPLICATES}
