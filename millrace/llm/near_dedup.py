@@ -26,7 +26,7 @@ from .common import give_back, maybe_broadcast, row_key, written
 #: Trees; the tokens of a signature (the first TREES of them for the roots); levels of branching; children below the first level.
 TREES, COORDS, WIDTH, LEVELS, BRANCHES = 16, 48, 5, 3, 2
 #: A node of more members or more shingles branches.
-LEAF, LEAF_SHINGLES = 2048, 1_000_000
+LEAF, LEAF_SHINGLES = 512, 500_000
 #: What one task compares with each other; larger groups are dealt to tasks of about that much.
 BLOCK, BLOCK_SHINGLES = 1024, 500_000
 #: Pivots of a dealt group, about; fewer if they have more than BLOCK_SHINGLES.
