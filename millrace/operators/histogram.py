@@ -131,7 +131,10 @@ class Grower:
     """One tree that grows: its options, its nodes so far, and the histograms of nodes whose children are to come.
 
     weight: the place of its weight in the rows' array w, None for 1. allowed: its features, None for all. sums: of weight,
-    stats and extra columns by node.
+    stats and extra columns by node. missing: what becomes of rows whose value a split lacks:
+    shares - they go to both children in the shares of the known weight, and the gain counts for the known share only;
+    observed - likewise, but the gain is that of the known rows alone;
+    drop - they end at the node; larger - they follow the heavier child; both - they count fully in either child.
     """
 
     classes: int
@@ -143,6 +146,7 @@ class Grower:
     seed: int = 0
     weight: int | None = None
     allowed: tuple[int, ...] | None = None
+    missing: str = "shares"
     tree: Tree = field(default_factory=Tree)
     cells: dict[int, np.ndarray] = field(default_factory=dict)
     sums: dict[int, np.ndarray] = field(default_factory=dict)
@@ -150,16 +154,20 @@ class Grower:
 
 @dataclass(frozen=True)
 class Route:
-    """A tree as arrays by node: feature (-1 at leaves), the last bin that goes left or the one that does, and p_left."""
+    """A tree as arrays by node: feature (-1 at leaves), the last bin that goes left or the one that does, and p_left.
+
+    missing: shares (both children, by p_left), both (each in full) or drop (neither: a row that lacks a value is lost).
+    """
 
     feature: np.ndarray
     cut: np.ndarray
     one: np.ndarray
     p_left: np.ndarray
+    missing: str = "shares"
 
-    def ends(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """row, node and share of where the rows end; rows with a missing value end in several nodes."""
-        row, node, share = np.arange(len(x)), np.ones(len(x), np.int64), np.ones(len(x))
+    def ends(self, x: np.ndarray, start: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """row, node and share of where the rows end that begin at a node; with a missing value they end in several."""
+        row, node, share = np.arange(len(x)), np.full(len(x), start, np.int64), np.ones(len(x))
         while True:
             f = self.feature[node]
             go = np.flatnonzero(f >= 0)
@@ -172,14 +180,15 @@ class Route:
             if gone.any():
                 both = go[gone]
                 p = self.p_left[k[gone]]
-                extra = (row[both], 2 * k[gone] + 1, share[both] * (1 - p))
-                share[both] *= p
+                to_left, to_right = {"shares": (p, 1 - p), "both": (1.0, 1.0), "drop": (0.0, 0.0)}[self.missing]
+                extra = (row[both], 2 * k[gone] + 1, share[both] * to_right)
+                share[both] *= to_left
                 row, node, share = (np.concatenate([a, b]) for a, b in zip((row, node, share), extra, strict=True))
                 real = share > 0
                 row, node, share = row[real], node[real], share[real]
 
 
-def route(tree: Tree, bins: Bins) -> Route:
+def route(tree: Tree, bins: Bins, missing: str = "shares") -> Route:
     most = max(tree.nodes, default=1) + 1
     feature, cut, one, p = np.full(most, -1), np.zeros(most, np.int64), np.zeros(most, bool), np.ones(most)
     for k, n in tree.nodes.items():
@@ -191,7 +200,7 @@ def route(tree: Tree, bins: Bins) -> Route:
             else:
                 at = bins.points[f]
                 cut[k] = np.searchsorted(at, n.threshold, "right") if at is not None else np.searchsorted(bins.edges[f], n.threshold) + 1
-    return Route(feature, cut, one, p)
+    return Route(feature, cut, one, p, missing)
 
 
 def _impurity(stats: np.ndarray, weight: np.ndarray, criterion: str) -> np.ndarray:
@@ -235,7 +244,7 @@ def _split(g: Grower, node: int, bins: Bins) -> None:
             continue
         use = slice(1, 1 + g.classes)
         gain = _impurity(whole[None, use], whole[None, 0], g.criterion) - _impurity(left[:, use], left[:, 0], g.criterion) - _impurity(right[:, use], right[:, 0], g.criterion)
-        gain = np.where(good, np.round(gain / n.weight, 10), -np.inf)
+        gain = np.where(good, np.round(gain / (whole[0] if g.missing == "observed" else n.weight), 10), -np.inf)
         k = int(gain.argmax())
         if best is None or gain[k] > best[0]:
             following = here[k + 1] if f < len(bins.numeric) else None
@@ -249,8 +258,13 @@ def _split(g: Grower, node: int, bins: Bins) -> None:
         n.threshold = float((points[at] + points[following]) / 2 if points is not None else bins.edges[f][at])
     else:
         n.category = bins.values[f - len(bins.numeric)][at]
-    lost = cells[starts[f]]
-    for child, part, share in ((2 * node, left, n.p_left), (2 * node + 1, whole - left, 1 - n.p_left)):
+    lost, shares = cells[starts[f]], (n.p_left, 1 - n.p_left)
+    if g.missing == "larger":
+        n.p_left = 1.0 if n.p_left >= 0.5 else 0.0
+        shares = (n.p_left, 1 - n.p_left)
+    elif g.missing in ("drop", "both"):
+        shares = (0.0, 0.0) if g.missing == "drop" else (1.0, 1.0)
+    for child, part, share in ((2 * node, left, shares[0]), (2 * node + 1, whole - left, shares[1])):
         g.sums[child] = total = part + share * lost
         g.tree.nodes[child] = Node([float(s) for s in total[1 : 1 + g.classes]], float(total[0]))
 
@@ -266,7 +280,7 @@ def _counts(rows: DataFrame, bins: Bins, growers: list[Grower], wanted: list[lis
     stats(batch, x) gives a matrix of the stats for each grower (or one for all), before they are weighted.
     """
     total, starts = sum(bins.sizes), np.concatenate([[0], np.cumsum(bins.sizes)])
-    routes = [route(g.tree, bins) for g in growers]
+    routes = [route(g.tree, bins, g.missing if g.missing in ("drop", "both") else "shares") for g in growers]
     slots = [{node: s for s, node in enumerate(w)} for w in wanted]
     width = 1 + max(g.classes for g in growers) + extra
     plan = [(r, np.array(sorted(s), np.int64), np.array([s[k] for k in sorted(s)], np.int64), g.weight, [f for f in range(len(bins.features)) if g.allowed is None or f in g.allowed or f == 0]) for r, s, g in zip(routes, slots, growers, strict=True)]
@@ -337,8 +351,8 @@ def grow_all(rows: DataFrame, bins: Bins, growers: list[Grower], stats, extra: i
             wanted: list[list[int]] = [[] for _ in growers]
             for pair in pairs[low : low + lot]:
                 for k, node in pair:
-                    # of two siblings the lighter one is counted where the parent's histogram is at hand
-                    if node == 1 or node // 2 not in growers[k].cells or (node % 2 == 0) == _lighter(growers[k], node & ~1):
+                    # of two siblings the lighter one is counted where the parent's histogram is at hand and the sum of both
+                    if node == 1 or node // 2 not in growers[k].cells or growers[k].missing in ("drop", "both") or (node % 2 == 0) == _lighter(growers[k], node & ~1):
                         wanted[k].append(node)
             counted = _counts(rows, bins, growers, wanted, stats, extra)
             for k, node in (x for pair in pairs[low : low + lot] for x in pair):

@@ -36,6 +36,10 @@ class Node:
     def values(self) -> list[float]:
         return [s / self.weight if self.weight else 0.0 for s in self.stats]
 
+    def label(self) -> int:
+        """The place of the heaviest class, the first of equal ones."""
+        return max(range(len(self.stats)), key=self.stats.__getitem__)
+
 
 @dataclass
 class Tree:
@@ -46,14 +50,32 @@ class Tree:
     def leaf(self, k: int) -> bool:
         return self.nodes[k].feature is None
 
-    def value(self, which: int = 0, k: int = 1) -> Column:
-        """Expected stats share as one expression; where the feature is missing, both children's mix."""
+    def value(self, which: int = 0, k: int = 1, missing: str = "mix") -> Column:
+        """Expected stats share as one expression. Where the feature is missing: mix both children's (mix), follow the
+        heavier child (larger), the left one (left), take the node's own (node), or mix the children's labels (vote).
+        """
         n = self.nodes[k]
         if self.leaf(k):
             return F.lit(float(n.values()[which]))
-        left, right = self.value(which, 2 * k), self.value(which, 2 * k + 1)
-        share = F.when(F.col(n.feature).isNull(), n.p_left).when(goes_left(n), 1.0).otherwise(0.0)
-        return share * left + (1 - share) * right  # each child once, so a tree's expression grows with its nodes
+        left, right = self.value(which, 2 * k, missing), self.value(which, 2 * k + 1, missing)
+        known = F.when(goes_left(n), 1.0).otherwise(0.0)
+        lost = {"larger": 1.0 if n.p_left >= 0.5 else 0.0, "left": 1.0}.get(missing, n.p_left)
+        share = F.when(F.col(n.feature).isNull(), lost).otherwise(known)
+        mixed = share * left + (1 - share) * right  # each child once, so a tree's expression grows with its nodes
+        if missing in ("node", "vote"):
+            p = self.nodes[2 * k].label() == which, self.nodes[2 * k + 1].label() == which
+            instead = float(n.values()[which]) if missing == "node" else n.p_left * p[0] + (1 - n.p_left) * p[1]
+            return F.when(F.col(n.feature).isNull(), instead).otherwise(mixed)
+        return mixed
+
+    def shape(self) -> dict[str, int]:
+        """nodes, leaves and depth (0 for a lone root) of what can be reached."""
+        level, depth, nodes, leaves = [1], 0, 0, 0
+        while level:
+            nodes, leaves = nodes + len(level), leaves + sum(map(self.leaf, level))
+            level = [c for k in level if not self.leaf(k) for c in (2 * k, 2 * k + 1)]
+            depth += bool(level)
+        return {"nodes": nodes, "leaves": leaves, "depth": depth}
 
     def prune(self, k: int) -> None:
         """Node k becomes a leaf."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import hash_bucket
-from millrace.operators import ensembles, histogram, prepare
+from millrace.operators import ensembles, histogram, prepare, pruning, trees
 
 from . import tree_sql
 from .catalog import _LABEL, _frame, bucket, lines, query, r6
@@ -167,3 +167,102 @@ def boost_step_grid(df):
 @query("lineitem", _steps_sql(True))
 def boost_step_exact(df):
     return _stepped(df, "exact")
+
+
+# pruning and missing values
+
+
+_PNUM, _PCAT = ["l_quantity", "l_discount"], ["l_linestatus"]
+
+
+def _prune_sql() -> str:
+    """Reduced-error pruning of a tree of two levels: hits of validation rows as leaves, against the best below."""
+    own = f"SELECT l_quantity, l_discount, l_linestatus, {_LABEL} AS y, 1 AS w FROM lineitem WHERE l_orderkey % 3 {{}}"
+    parts = tree_sql.grown("", own.format("> 0"), _PNUM, _PCAT, 2, tree_sql.gini) + tree_sql.routed("q", "", own.format("= 0"), _PNUM, _PCAT, 2)
+    parts.append("said AS (SELECT node, (sum(y) > sum(w - y))::int AS y FROM (SELECT node, y, w FROM t1 UNION ALL SELECT node, y, w FROM t2 UNION ALL SELECT node, y, w FROM t3) GROUP BY 1)")
+    rows = " UNION ALL ".join(f"SELECT node, y FROM qr{d} WHERE node >= {1 << d - 1}" for d in (1, 2, 3))
+    parts.append(f"h AS MATERIALIZED (SELECT node, count(*) FILTER (r.y = said.y) AS own FROM ({rows}) r JOIN said USING (node) GROUP BY 1)")
+    parts.append("b2 AS (SELECT node, coalesce(own, 0) AS own, coalesce((SELECT sum(own) FROM h c WHERE c.node // 2 = s2.node), 0) AS below FROM s2 LEFT JOIN h USING (node))")
+    parts.append("k2 AS MATERIALIZED (SELECT node FROM b2 WHERE own < below)")
+    parts.append("b1 AS (SELECT (SELECT own FROM h WHERE node = 1) AS own, (SELECT sum(greatest(h.own, coalesce(below, 0))) FROM h LEFT JOIN b2 USING (node) WHERE node IN (2, 3)) AS below)")
+    name = f"['{"', '".join(_PNUM + _PCAT)}'][f + 1]"
+    return f"""WITH {', '.join(parts)}, cut AS (SELECT own >= below AS cut FROM b1 WHERE EXISTS (SELECT 1 FROM s1))
+    SELECT 1::int AS node, CASE WHEN cut THEN NULL ELSE (SELECT {name} FROM s1) END AS feature FROM cut
+    UNION ALL SELECT n.node::int, CASE WHEN n.node IN (SELECT node FROM k2) THEN {name} END FROM (SELECT unnest([2, 3]) AS node) n LEFT JOIN s2 ON s2.node = n.node WHERE NOT (SELECT cut FROM cut)
+    UNION ALL SELECT (2 * node + c)::int, NULL FROM k2, (SELECT unnest([0, 1]) AS c) WHERE NOT (SELECT cut FROM cut)"""
+
+
+def _reachable(tree):
+    out, stack = [], [1]
+    while stack:
+        k = stack.pop()
+        out.append((k, tree.nodes[k].feature))
+        stack += [] if tree.leaf(k) else [2 * k, 2 * k + 1]
+    return sorted(out)
+
+
+def _fitted(df, depth=2):
+    return trees.grow(lines(df).where("l_orderkey % 3 > 0"), "y", _PNUM, _PCAT, [0, 1], depth=depth)
+
+
+@query("lineitem", _prune_sql())
+def prune_error(df):
+    tree = pruning.pruned(_fitted(df), lines(df).where("l_orderkey % 3 = 0"), "y", _PNUM, _PCAT, [0, 1])
+    return _frame(df, _reachable(tree), "node int, feature string")
+
+
+@query("lineitem")
+def prune_rules(df):
+    """What each rule leaves of a tree of four levels, by the same validation rows."""
+    tree, rows = _fitted(df, 4), lines(df).where("l_orderkey % 3 = 0")
+    found = []
+    for rule in ("error", "alpha", "twig", "both", "four"):
+        for leaf in ("train", "validation", "larger"):
+            shape = pruning.pruned(tree, rows, "y", _PNUM, _PCAT, [0, 1], rule, 2.0 if rule == "alpha" else 0.0, leaf).shape()
+            found.append((rule, leaf, shape["nodes"], shape["leaves"], shape["depth"]))
+    return _frame(df, found, "rule string, leaf string, nodes int, leaves int, depth int")
+
+
+@query("lineitem")
+def prune_alpha(df):
+    """The cost-complexity path with the validation accuracy of each of its trees."""
+    _, path = pruning.best_alpha(_fitted(df, 4), lines(df).where("l_orderkey % 3 = 0"), "y", _PNUM, _PCAT, [0, 1])
+    return _frame(df, path, "alpha double, leaves int, accuracy double")
+
+
+_LACKING = f"SELECT CASE WHEN {bucket(0, 'l_orderkey', 100)} >= 20 THEN l_quantity END AS v, {_LABEL} AS y FROM lineitem"
+_FAMILIES = ("shares", "observed", "drop", "larger", "both")
+
+
+def _families_sql() -> str:
+    """The first split by each rule for missing values: threshold, gain and the children's weights."""
+    base = f"""WITH h AS ({_LACKING}), a AS (SELECT count(*) AS n, count(*) FILTER (v IS NULL) AS m FROM h), c AS (SELECT v, count(*) AS w, sum(y) AS s FROM h WHERE v IS NOT NULL GROUP BY 1),
+    u AS (SELECT (v + lead(v) OVER (ORDER BY v)) / 2 AS threshold, sum(w) OVER o AS lw, sum(s) OVER o AS ls, sum(w) OVER () AS aw, sum(s) OVER () AS s1 FROM c WINDOW o AS (ORDER BY v)),
+    g AS (SELECT *, {tree_sql.gini('s1', 'aw')} - {tree_sql.gini('ls', 'lw')} - {tree_sql.gini('s1 - ls', 'aw - lw')} AS x FROM u WHERE threshold IS NOT NULL),
+    b AS (SELECT * FROM g, a ORDER BY round(x / n, 10) DESC, threshold LIMIT 1)"""
+    extra = {"shares": ("m * lw / aw", "m * (aw - lw) / aw"), "drop": ("0", "0"), "larger": ("CASE WHEN 2 * lw >= aw THEN m ELSE 0 END", "CASE WHEN 2 * lw >= aw THEN 0 ELSE m END"), "both": ("m", "m")}
+    extra["observed"] = extra["shares"]
+    rows = [f"SELECT '{f}' AS missing, threshold, round(x / {'aw' if f == 'observed' else 'n'}, 8) AS gain, round(lw + {extra[f][0]}, 4)::double AS left_weight, round(aw - lw + {extra[f][1]}, 4)::double AS right_weight FROM b" for f in _FAMILIES]
+    return f"{base} {' UNION ALL '.join(rows)}"
+
+
+@query("lineitem", _families_sql())
+def missing_families(df):
+    holes = prepare.inject_missing(lines(df).select("l_orderkey", "l_quantity", "y"), "l_orderkey", ["l_quantity"], 20)
+    found = []
+    for f in _FAMILIES:
+        t = histogram.grow_binned(holes, "y", ["l_quantity"], [], [0, 1], depth=1, missing=f).nodes
+        found.append((f, t[1].threshold, t[1].gain / t[1].weight, t[2].weight, t[3].weight))
+    frame = _frame(df, found, "missing string, threshold double, gain double, left_weight double, right_weight double")
+    return frame.select("missing", "threshold", F.round("gain", 8).alias("gain"), F.round("left_weight", 4).alias("left_weight"), F.round("right_weight", 4).alias("right_weight"))
+
+
+_RULES = {"mix": "0.6 * 0.45 + 0.4 * 0.75", "larger": "0.45", "left": "0.45", "node": "0.5", "vote": "0.4"}
+
+
+@query("orders", f"WITH h AS (SELECT o_orderkey, CASE WHEN {bucket(0, 'o_orderkey', 100)} >= 10 THEN o_totalprice END AS p FROM orders) SELECT o_orderkey, " + ", ".join(f"round(CASE WHEN p IS NULL THEN {v} WHEN p <= 200000 THEN 0.45 ELSE 0.75 END, 6)::double AS by_{k}" for k, v in _RULES.items()) + " FROM h")
+def missing_predictions(df):
+    """A fixed split at 200,000 and what each rule says of rows without a price."""
+    tree = trees.Tree({1: trees.Node([50, 50], 100, "o_totalprice", 200_000.0, None, 0.1, 0.6), 2: trees.Node([33, 27], 60), 3: trees.Node([10, 30], 40)})
+    holes = prepare.inject_missing(df.select("o_orderkey", "o_totalprice"), "o_orderkey", ["o_totalprice"], 10)
+    return holes.select("o_orderkey", *[r6(tree.value(1, missing=k), f"by_{k}") for k in _RULES])
