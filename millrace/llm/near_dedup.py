@@ -5,7 +5,7 @@ the tokens that the node selects. Small nodes are compared exhaustively on full
 LEVELS times at most; what branching can't thin is compared with some pivots first, and only members that are not linked
 with the largest component of the pivots go on to a comparison with all, in blocks. Independent trees repeat the walk; what
 one of them has put in a group is not compared again for another. A pair at the threshold shares a child with probability
-0.75, one of two children with 0.94: so after three levels 16 trees miss it with 4e-8, and with 2e-10 where the first nodes
+0.75, one of two children with 0.94: so after two levels 16 trees miss it with 4e-9, and with 2e-10 where the first nodes
 are small.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from .common import give_back, maybe_broadcast, row_key, written
 
 #: Trees; the tokens of a signature (the first TREES of them for the roots); levels of branching; children below the first level.
-TREES, COORDS, WIDTH, LEVELS, BRANCHES = 16, 48, 5, 3, 2
+TREES, COORDS, WIDTH, LEVELS, BRANCHES = 16, 48, 5, 2, 2
 #: A node of more members or more shingles branches.
 LEAF, LEAF_SHINGLES = 512, 500_000
 #: What one task compares with each other; larger groups are dealt to tasks of about that much.
