@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,14 +31,35 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that are written within each settled() that is under way.
+_made: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: it cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    if _made:
+        _made[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of build(), written; tables that were written on the way are deleted, as nothing reads them again."""
+    made: list[str] = []
+    _made.append(made)
+    try:
+        rows = build()
+    finally:
+        _made.pop()
+    out = written(rows)
+    for path in made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return out
+
+
 def give_back() -> None:
     """Returns a Python worker's free memory to the machine; workers live on from stage to stage."""
     pa.default_memory_pool().release_unused()
