@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate as leaks
 from millrace.llm import langid, mixing, near_dedup, queries, token_files
-from millrace.llm.common import maybe_broadcast, row_key, written
+from millrace.llm.common import maybe_broadcast, row_key, settled, written
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def _once(keyed: DataFrame, again: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; lang becomes what was identified. Null texts are unknown and go."""
-    judged = written(langid.identify_languages(docs))
+    judged = settled(spark, lambda: langid.identify_languages(docs))
     kept = _without(docs, judged.where("not kept"))
     other = judged.where("kept and language is distinct from declared").select("_key", "language").dropDuplicates(["_key"])
     fixed = _keyed(kept).join(maybe_broadcast(written(other)), "_key", "left")
@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows of one doc_id with different texts are different documents. Null ids and texts without words are in no group
     and stay.
     """
-    judged = written(near_dedup.near_duplicates(docs).select("doc_id", "_key", "_group"))
+    judged = settled(spark, lambda: near_dedup.near_duplicates(docs).select("doc_id", "_key", "_group"))
     firsts = judged.where("_group is not null").groupBy("_group").agg(F.min(F.struct("doc_id", "_key")).alias("first"), F.count("*").alias("n"))
     firsts = written(firsts.where("n > 1").select("_group", "first._key"))
     gone = judged.join(maybe_broadcast(firsts.select("_group", F.col("_key").alias("_first"))), "_group").where("_key <> _first")
@@ -55,13 +55,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage like a benchmark item. Null texts have none and stay."""
-    return _without(docs, leaks.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return _without(docs, settled(spark, lambda: leaks.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("_key").distinct()))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Equal rows are emitted as often as all of them together; null texts have size 0."""
-    drawn = mixing.mix(docs).groupBy("_key").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("n"))
-    drawn = written(drawn.where("copies <> 1 or n <> 1"))
+    counts = [F.sum("copies").cast("int").alias("copies"), F.count("*").alias("n")]
+    drawn = settled(spark, lambda: mixing.mix(docs).groupBy("_key").agg(*counts).where("copies <> 1 or n <> 1"))
     keyed = _once(_keyed(docs), written(drawn.where("n > 1").select("_key")))
     counted = keyed.join(maybe_broadcast(drawn.select("_key", "copies")), "_key", "left").select("_row", F.coalesce("copies", F.lit(1)).alias("copies"))
     return counted.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
