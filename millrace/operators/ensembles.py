@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions.expressions import hash_bucket, sigmoid, softmax
 from millrace.sources.storage import written
 
-from .histogram import BINS, Bins, Grower, _matrix, binned, finished, fit_bins, grow_all, indicators, label_codes, predictions
+from .histogram import BINS, Bins, Grower, _matrix, binned, finished, fit_bins, grow_all, indicators, label_codes, predictions, target
 from .prepare import bootstrap, drawn_with_replacement, drawn_without_replacement
 from .trees import Tree
 
@@ -213,7 +213,10 @@ def boost_classes(df: DataFrame, label: str, numeric: list[str], categorical: li
 
 @dataclass
 class BinnedForest:
-    """rows: the binned table with key, y (the class's place) and w (how often each tree drew the row)."""
+    """rows: the binned table with key, y (the class's place, or the number) and w (how often each tree drew the row).
+
+    classes is empty for a regression, whose prediction is value().
+    """
 
     trees: list[Tree]
     classes: list
@@ -228,6 +231,9 @@ class BinnedForest:
         s = self.shares()
         return F.get(F.array(*map(F.lit, self.classes)), F.array_position(s, F.array_max(s)).cast("int") - 1)
 
+    def value(self) -> Column:
+        return sum((t.value() for t in self.trees), F.lit(0.0)) / len(self.trees)
+
     def _votes(self):
         said = predictions(self.trees, self.bins, len(self.classes))
 
@@ -254,6 +260,21 @@ class BinnedForest:
         found = _added(self.rows, 2 * len(upto), numbers)
         return [float(found[2 * k] / found[2 * k + 1]) if found[2 * k + 1] else 0.0 for k in range(len(upto))]
 
+    def oob_r2(self) -> float:
+        """Of a regression forest: 1 less the squared error by that of the mean, over rows that any tree left out; 0 if they don't vary."""
+        said = predictions(self.trees, self.bins, 1)
+
+        def numbers(batch: pa.RecordBatch) -> np.ndarray:
+            x, left = _matrix(batch.column("x"), batch.num_rows, np.int16), (_matrix(batch.column("w"), batch.num_rows, np.float64) == 0).T
+            y, n = batch.column("y").to_numpy(zero_copy_only=False), left.sum(axis=0)
+            p = (np.stack(said(x))[:, :, 0] * left).sum(axis=0)[n > 0] / n[n > 0]
+            y = y[n > 0]
+            return np.array([len(y), ((y - p) ** 2).sum(), y.sum(), (y * y).sum()], float)
+
+        n, error, total, squares = _added(self.rows, 4, numbers)
+        spread = squares - total * total / n if n else 0.0
+        return float(1 - error / spread) if spread > 0 else 0.0
+
     def tree_oob(self) -> list[float]:
         """Each tree's own accuracy over the rows that it left out; 0 where it left out none."""
         votes = self._votes()
@@ -342,15 +363,15 @@ def _within(*columns: str):
 
 
 def grow_binned_forest(
-    df: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str], classes: list, trees: int = 10, depth: int = 4,
+    df: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str], classes: list | None, trees: int = 10, depth: int = 4,
     per_node: int | None = None, per_tree: int | None = None, seed: int = 0, bag: str = "exact", size: int | float | None = None, bins: int = BINS,
 ) -> BinnedForest:
     """A forest whose trees grow together, a pass a level.
 
     bag: "exact" draws as many rows as there are, or size of them, with replacement; "share" draws size (a number, or a
     share below 1; 0.632 by default) without; "poisson" draws each row Poisson(1) times. Features are drawn for each node
-    (per_node; the root of their number by default) and, as random subspaces, for each tree (per_tree). Keys are unique;
-    rows without a label are left out.
+    (per_node; the root of their number by default) and, as random subspaces, for each tree (per_tree). Without classes
+    it is a forest of regressions. Keys are unique; rows without a label are left out.
     """
     df = df.where(F.col(label).isNotNull())
     if bag == "poisson":
@@ -362,13 +383,14 @@ def grow_binned_forest(
     drawn = drawn.where("times > 0").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("tree", "times"))).alias("_times"))  # trees of a row
     times = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.try_element_at("_times", t), F.lit(0)).cast("double"))
     cut = fit_bins(df, list(numeric), list(categorical), bins)
-    rows = binned(df.join(drawn, key, "left"), cut, key=F.col(key), y=label_codes(label, classes), w=times)
-    n = len(cut.features)
+    y = label_codes(label, classes) if classes else F.col(label).cast("double")
+    rows = binned(df.join(drawn, key, "left"), cut, key=F.col(key), y=y, w=times)
+    n, size = len(cut.features), len(classes or [0])
     per_node = per_node or max(1, round(math.sqrt(per_tree or n)))
     own = [tuple(sorted(sorted(range(n), key=lambda k, t=t: _draw(f"{seed}:{t}:{k}"))[:per_tree])) if per_tree else None for t in range(trees)]
-    growers = [Grower(len(classes), depth, per_node=per_node, seed=seed + t, weight=t, allowed=own[t]) for t in range(trees)]
-    grow_all(rows, cut, growers, indicators(len(classes)))
-    return BinnedForest([finished(g.tree, len(classes)) for g in growers], classes, cut, rows, seed)
+    growers = [Grower(size, depth, "gini" if classes else "sse", per_node=per_node, seed=seed + t, weight=t, allowed=own[t]) for t in range(trees)]
+    grow_all(rows, cut, growers, indicators(size) if classes else target)
+    return BinnedForest([finished(g.tree, size) for g in growers], classes or [], cut, rows, seed)
 
 
 def _draw(text: str) -> int:

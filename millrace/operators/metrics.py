@@ -244,3 +244,32 @@ def ranking(ranked: DataFrame, held: DataFrame, user: str, item: str, gain: str,
     found = ranked.where(F.col("rank") <= k).join(held, [user, item]).groupBy(user).agg(F.count("*").alias("_hits"), F.sum(F.col("_g") / F.log2(F.col("rank") + 1)).alias("_dcg"))
     each = ideal.join(found, user, "left").na.fill(0, ["_hits", "_dcg"])
     return each.agg(F.avg(F.col("_hits") / k).alias("precision"), F.avg(F.col("_hits") / F.col("_n")).alias("recall"), F.avg(F.when(F.col("_ideal") > 0, F.col("_dcg") / F.col("_ideal")).otherwise(0.0)).alias("ndcg"))
+
+
+def retrieved_ndcg(ranked: DataFrame, held: DataFrame, user: str, item: str, gain: str, k: int, exponential: bool = False, only_hits: bool = False) -> DataFrame:
+    """(ndcg): as ranking(), but the ideal order is that of what was found, so it judges the order alone.
+
+    Users without a hit count 0, or with only_hits not at all.
+    """
+    g: Column = F.pow(F.lit(2.0), F.col(gain)) - 1 if exponential else F.col(gain).cast("double")
+    hits = ranked.where(F.col("rank") <= k).join(held.select(user, item, g.alias("_g")), [user, item])
+    order = F.row_number().over(Window.partitionBy(user).orderBy(F.desc("_g"), item))
+    each = hits.withColumn("_p", order).groupBy(user).agg(F.sum(F.col("_g") / F.log2(F.col("rank") + 1)).alias("_dcg"), F.sum(F.col("_g") / F.log2(F.col("_p") + 1)).alias("_ideal"))
+    each = held.select(user).distinct().join(each, user, "inner" if only_hits else "left")
+    return each.agg(F.avg(F.when(F.col("_ideal") > 0, F.col("_dcg") / F.col("_ideal")).otherwise(0.0)).alias("ndcg"))
+
+
+def centred_ndcg(ranked: DataFrame, held: DataFrame, user: str, item: str, rating: str, k: int) -> DataFrame:
+    """(ndcg) with exponential gains of ratings in [0, 1] by the least and largest, less the user's mean, plus one; an ideal of 0 counts as 1.
+
+    The ideal has a user's held-out items by gain, k of them at most.
+    """
+    low, high = held.agg(F.min(rating), F.max(rating)).head()
+    wide = (high - low) or 1.0 if low is not None else 1.0
+    scaled = held.select(user, item, ((F.col(rating) - F.lit(low)) / F.lit(wide)).alias("_r"))
+    gains = scaled.withColumn("_g", F.pow(F.lit(2.0), F.col("_r") - F.avg("_r").over(Window.partitionBy(user)) + 1) - 1)
+    both = gains.join(ranked.where(F.col("rank") <= k).select(user, item, "rank"), [user, item], "left")
+    place = F.row_number().over(Window.partitionBy(user).orderBy(F.desc("_g"), item))
+    part = lambda p: F.sum(F.when(p <= k, F.col("_g") / F.log2(p + 1)).otherwise(0.0))
+    each = both.withColumn("_p", place).groupBy(user).agg(F.coalesce(part(F.col("rank")), F.lit(0.0)).alias("_dcg"), part(F.col("_p")).alias("_ideal"))
+    return each.agg(F.avg(F.when(F.col("_ideal") > 0, F.col("_dcg") / F.col("_ideal")).otherwise(1.0)).alias("ndcg"))

@@ -235,6 +235,81 @@ def als(ratings: DataFrame, rank: int = 8, rounds: int = 8, ridge: float = 0.05,
     return users, items
 
 
+def refreshed_biases(ratings: DataFrame, mean: float, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(users, items), each (id, bias), from ratings (user, item, rating, s) and the items' last biases (id, bias).
+
+    A user's is the mean of what mean, the item's bias and s leave of their ratings, then an item's that of what the
+    users' new ones leave.
+    """
+    left = F.col("rating") - mean - F.col("s")
+    last = items.select(F.col("id").alias("item"), F.col("bias").alias("_i"))
+    users = written(ratings.join(last, "item", "left").groupBy(F.col("user").alias("id")).agg(F.avg(left - F.coalesce("_i", F.lit(0.0))).alias("bias")))
+    own = users.select(F.col("id").alias("user"), F.col("bias").alias("_u"))
+    return users, written(ratings.join(own, "user").groupBy(F.col("item").alias("id")).agg(F.avg(left - F.col("_u")).alias("bias")))
+
+
+def als_with_biases(ratings: DataFrame, rank: int = 8, rounds: int = 5, ridge: float = 0.05, seed: int = 0) -> tuple[float, DataFrame, DataFrame]:
+    """(mean, users, items), each (id, f, bias): least squares of what the biases leave, and biases of what the factors leave.
+
+    Each round solves the users, the items and then refreshes the biases by means; ridge is scaled by an id's ratings.
+    """
+    ratings = written(ratings.select("user", "item", F.col("rating").cast("double").alias("rating")))
+    mean = ratings.agg(F.avg("rating")).head()[0] or 0.0
+    items = written(start_factors(ratings.select("item").distinct(), "item", rank, seed))
+    bu, bi = refreshed_biases(ratings.withColumn("s", F.lit(0.0)), mean, items.select("id", F.lit(0.0).alias("bias")))
+    users = items
+    for _ in range(rounds):
+        known = ratings.join(bu.select(F.col("id").alias("user"), F.col("bias").alias("_u")), "user").join(bi.select(F.col("id").alias("item"), F.col("bias").alias("_i")), "item")
+        rest = written(known.select("user", "item", (F.col("rating") - mean - F.col("_u") - F.col("_i")).alias("rating")))
+        users = written(solved(rest, "user", "item", items, rank, ridge))
+        items = written(solved(rest, "item", "user", users, rank, ridge))
+        said = factor_scores(ratings, users, items).withColumnRenamed("score", "s")
+        bu, bi = refreshed_biases(written(said), mean, bi)
+    return float(mean), users.join(bu, "id"), items.join(bi, "id")
+
+
+def _best_products(k: int):
+    """The k best items of an item block for each user of a user block, by the product of factors, without what is seen."""
+
+    def found(pdf: pd.DataFrame) -> pd.DataFrame:
+        users, items = pdf[pdf["side"] == 0].sort_values("id"), pdf[pdf["side"] == 1].sort_values("id")
+        if users.empty or items.empty:
+            return pd.DataFrame({"user": [], "item": [], "score": []})
+        names = items["id"].to_numpy()
+        score = np.round(np.array(users["f"].tolist(), float) @ np.array(items["f"].tolist(), float).T, 12)
+        for j, seen in enumerate(users["seen"]):
+            if seen is not None and len(seen):
+                at = np.searchsorted(names, np.asarray(seen, np.int64)).clip(max=len(names) - 1)
+                score[j, at[names[at] == np.asarray(seen, np.int64)]] = -np.inf
+        order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(users)), order.shape[1])
+        out = pd.DataFrame({"user": users["id"].to_numpy()[row], "item": names[order.ravel()], "score": score[row, order.ravel()]})
+        return out[np.isfinite(out["score"])]
+
+    return found
+
+
+def top_products(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | None = None, block: int = ITEM_BLOCK) -> DataFrame:
+    """(user, item, score, rank): the k items of the largest product of factors for each user, without pairs of seen.
+
+    users and items are (id, f) with long ids. Blocks of users meet blocks of items, each in one task that keeps k items a
+    user, so that no table of all pairs is made; equal products (to twelve digits) go by item. A user's seen items are one row.
+    """
+    users, items = (written(t.select(F.col("id").cast("long").alias("id"), "f")) for t in (users, items))
+    parts = [max(1, -(-t.count() // block)) for t in (users, items)]
+    own = [F.pmod(F.xxhash64("id"), F.lit(n)).cast("int") for n in parts]
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in parts]
+    if seen is not None:
+        users = users.join(seen.groupBy(F.col("user").cast("long").alias("id")).agg(F.collect_set(F.col("item").cast("long")).alias("seen")), "id", "left")
+    else:
+        users = users.withColumn("seen", F.lit(None).cast("array<bigint>"))
+    left = users.select("id", "f", "seen", own[0].alias("i"), every[1].alias("j"), F.lit(0).alias("side"))
+    right = items.select("id", "f", F.lit(None).cast("array<bigint>").alias("seen"), every[0].alias("i"), own[1].alias("j"), F.lit(1).alias("side"))
+    best = left.unionByName(right).groupBy("i", "j").applyInPandas(_best_products(k), "user long, item long, score double")
+    place = F.row_number().over(Window.partitionBy("user").orderBy(F.desc("score"), "item"))
+    return best.withColumn("rank", place).where(F.col("rank") <= k)
+
+
 def latent_factors(ratings: DataFrame, rank: int = 8, rounds: int = 15, rate: float = 0.5, ridge: float = 0.02, seed: int = 0) -> tuple[float, DataFrame, DataFrame]:
     """(mean, users, items), each (id, bias, f): full-batch gradient steps, averaged over a row's ratings.
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import hash_bucket
-from millrace.operators import factor_blocks, metrics, oversample, projections
+from millrace.operators import ensembles, factor_blocks, metrics, oversample, projections, recommend
 from millrace.operators.recommend import start_factors
 
 
@@ -143,3 +143,37 @@ def test_matching_is_the_best_of_all(spark):
     assert sorted(metrics.assignment(large)) == list(range(200)) and time.time() - began < 5
     many = spark.createDataFrame([(k % 40, (k + k // 400) % 40) for k in range(2000)], "a int, b int")
     assert 0.2 <= metrics.cluster_accuracy(many, "a", "b") <= 1
+
+
+def test_products_in_blocks_are_those_of_all_pairs(spark):
+    draw = np.random.default_rng(8)
+    p, q = draw.normal(size=(23, 3)).round(2), draw.normal(size=(31, 3)).round(2)
+    users = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(p)], "id long, f array<double>")
+    items = spark.createDataFrame([(100 + i, v.tolist()) for i, v in enumerate(q)], "id long, f array<double>")
+    seen = [(u, 100 + i) for u in range(23) for i in range(31) if (u * i) % 4 == 1] + [(5, 100 + i) for i in range(29)]
+    got = {(r.user, r["rank"]): r.item for r in recommend.top_products(users, items, 4, spark.createDataFrame(seen, "user long, item long"), block=7).collect()}
+    want = {}
+    for u in range(23):
+        fresh = sorted((-round(float(p[u] @ q[i]), 12), 100 + i) for i in range(31) if (u, 100 + i) not in set(seen))
+        want |= {(u, k + 1): i for k, (_, i) in enumerate(fresh[:4])}
+    assert got == want
+    assert recommend.top_products(users.limit(0), items, 4).collect() == []
+
+
+def test_factors_with_biases_fit_what_has_both(spark):
+    draw = np.random.default_rng(3)
+    a, b, bu, bi = draw.normal(size=(20, 2)), draw.normal(size=(15, 2)), draw.normal(size=20), draw.normal(size=15)
+    rows = [(u, i, float(3 + bu[u] + bi[i] + a[u] @ b[i])) for u in range(20) for i in range(15) if (u + 2 * i) % 5]
+    df = spark.createDataFrame(rows, "user long, item long, rating double")
+    mean, users, items = recommend.als_with_biases(df, 2, 6, ridge=0.001)
+    scored = factor_blocks.factor_predictions(df, mean, users, items).collect()
+    assert np.mean([(r.rating - r.score) ** 2 for r in scored]) < 0.02 * np.var([r[2] for r in rows])
+
+
+def test_regression_forest_by_hand(spark):
+    df = spark.createDataFrame([(k, float(k % 12), float((k % 12) ** 2)) for k in range(240)], "k long, v double, y double")
+    forest = ensembles.grow_binned_forest(df, "k", "y", ["v"], [], None, trees=4, depth=3, seed=2)
+    rows = df.join(forest.rows.select(F.col("key").alias("k"), "w"), "k").select("y", "w", *[t.value().alias(f"t{j}") for j, t in enumerate(forest.trees)]).collect()
+    pairs = [(r.y, np.mean([r[f"t{j}"] for j in range(4) if r.w[j] == 0])) for r in rows if 0 in r.w]
+    y, p = np.array(pairs).T
+    assert forest.oob_r2() == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum()) and forest.oob_r2() > 0.9
