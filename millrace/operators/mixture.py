@@ -8,9 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.storage import written
+
 
 @dataclass
 class Mixture:
@@ -45,18 +48,23 @@ def log_densities(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covs: n
     return out
 
 
-def _moments(columns: list[str], weigh, squares: str) -> object:
+def packed(points: DataFrame, columns: list[str]) -> DataFrame:
+    """points as a written table of one array x, so that rounds read numbers and nothing else; a packed table stays."""
+    return points if points.columns == ["x"] else written(points.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x")))
+
+
+def _moments(d: int, weigh, squares: str) -> object:
     """A partition's sums for each component: of weight, weight * x, and the log-likelihood (k = -1).
 
     squares adds those of weight * x * x' (full) or of its diagonal (diag).
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d, total, ll = len(columns), None, 0.0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, ll = None, 0.0
         for b in batches:
-            x = b[columns].to_numpy(float)
-            if not len(x):
+            if not b.num_rows:
                 continue
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             r, likelihood = weigh(x)
             ll += likelihood
             parts = [r.sum(axis=0)[:, None], r.T @ x]
@@ -68,7 +76,7 @@ def _moments(columns: list[str], weigh, squares: str) -> object:
             total = part if total is None else total + part
         if total is not None:
             k, i = np.indices(total.shape)
-            yield pd.DataFrame({"k": np.append(k.ravel(), -1), "i": np.append(i.ravel(), 0), "s": np.append(total.ravel(), ll)})
+            yield pa.RecordBatch.from_pydict({"k": pa.array(np.append(k.ravel(), -1), pa.int32()), "i": pa.array(np.append(i.ravel(), 0), pa.int32()), "s": np.append(total.ravel(), ll)})
 
     return run
 
@@ -76,7 +84,7 @@ def _moments(columns: list[str], weigh, squares: str) -> object:
 def _summed(points: DataFrame, columns: list[str], k: int, weigh, squares: str = "none") -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Sums over all points of weight, weight * x, weight * x * x' as matrices, and the log-likelihood."""
     d = len(columns)
-    sums = points.select(*columns).mapInPandas(_moments(columns, weigh, squares), "k int, i int, s double").groupBy("k", "i").agg(F.sum("s").alias("s"))
+    sums = packed(points, columns).mapInArrow(_moments(d, weigh, squares), "k int, i int, s double").groupBy("k", "i").agg(F.sum("s").alias("s"))
     table, ll = np.zeros((k, 1 + d + {"none": 0, "diag": d, "full": d * d}[squares])), 0.0
     for r in sums.collect():  # a row a cell of the table, and one more
         if r.k < 0:
@@ -89,19 +97,25 @@ def _summed(points: DataFrame, columns: list[str], k: int, weigh, squares: str =
 
 def _starts(points: DataFrame, columns: list[str], k: int) -> np.ndarray:
     """k points far from each other: each is the farthest from those before; the first is nearest the mean."""
-    x = [F.col(c).cast("double") for c in columns]
-    chosen = [np.array(points.agg(*[F.avg(c) for c in x]).head(), float)]
+    n, s, _, _ = _summed(points, columns, 1, lambda x: (np.ones((len(x), 1)), 0.0))
+    chosen = [s[0] / max(n[0], 1)]
     for j in range(k):
-        near = F.least(*[sum(((c - float(v)) ** 2 for c, v in zip(x, p, strict=True)), F.lit(0.0)) for p in chosen], F.lit(1e300))
-        row = points.select(*x, near.alias("_d")).orderBy(F.col("_d").asc() if j == 0 else F.col("_d").desc(), *columns).head()
+        near = F.least(*[dot_apart(F.col("x"), p) for p in chosen], F.lit(1e300))
+        row = points.select("x", near.alias("_d")).orderBy(F.col("_d").asc() if j == 0 else F.col("_d").desc(), "x").head()
         if j == 0:
             chosen = []
-        chosen.append(np.array(row[:-1], float))
+        chosen.append(np.array(row.x, float))
     return np.array(chosen)
 
 
+def dot_apart(x: Column, p: np.ndarray) -> Column:
+    """The squared distance of an array column from a point."""
+    return F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in p]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e)
+
+
 def k_means(points: DataFrame, columns: list[str], k: int, rounds: int = 20, tolerance: float = 1e-9, starts: np.ndarray | None = None) -> tuple[np.ndarray, list[float]]:
     """Centres and the history of the sum of squared distances. Points have no nulls. starts: k centres to begin with."""
+    points = packed(points, columns)
     centres, history = _starts(points, columns, k) if starts is None else starts, []
     for _ in range(rounds):
         now = centres
@@ -138,6 +152,7 @@ def em_round(points: DataFrame, columns: list[str], model: Mixture, kind: str =
 
 def fit_mixture(points: DataFrame, columns: list[str], k: int, kind: str = "full", rounds: int = 50, tolerance: float = 1e-5, ridge: float = 1e-6) -> Mixture:
     """EM from k-means centres. history: mean log-likelihood of each round. Components are ordered by their means."""
+    points = packed(points, columns)
     means, _ = k_means(points, columns, k)
     d = len(columns)
     n, s, ss, _ = _summed(points, columns, 1, lambda x: (np.ones((len(x), 1)), 0.0), "diag")
@@ -154,6 +169,7 @@ def fit_mixture(points: DataFrame, columns: list[str], k: int, kind: str = "full
 
 def select_mixture(points: DataFrame, columns: list[str], ks: list[int], kind: str = "full") -> Mixture:
     """The mixture with the smallest BIC."""
+    points = packed(points, columns)
     return min((fit_mixture(points, columns, k, kind) for k in ks), key=lambda m: m.bic(kind))
 
 
