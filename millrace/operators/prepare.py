@@ -104,17 +104,22 @@ def split_by_hash(df: DataFrame, key: str, percent: int, seed: int = 0) -> DataF
 def split_within(df: DataFrame, by: list[str], key: str, share: float, seed: int = 0, rounds: str = "floor", keep: int = 0, few_groups: bool = False) -> DataFrame:
     """split within each group: test for the first share of rows in hash order; at least keep rows stay in train.
 
-    A group of one column's value is numbered in hash ranges if few_groups says that there are few, large ones.
+    rounds: floor; some (floor, but one at least); near (rounded half to even, one at least). A group of one column's
+    value is numbered in hash ranges if few_groups says that there are few, large ones.
     """
+
+    def wanted(n: Column) -> Column:
+        if rounds == "floor":
+            return F.floor(n * share)
+        return F.greatest(F.lit(1), F.floor(n * share) if rounds == "some" else F.bround(n * share, 0).cast("long"))
+
     if few_groups:
         n, place = F.col("_size"), F.col("_place")
         df = placed(df, by[0], hash_bucket(F.col(key), seed, 1 << 31), key)
-        held = F.floor(n * share) if rounds == "floor" else F.greatest(F.lit(1), F.floor(n * share))
-        return df.withColumn("split", F.when(place <= F.least(held, n - keep), "test").otherwise("train")).drop("_size", "_place")
+        return df.withColumn("split", F.when(place <= F.least(wanted(n), n - keep), "test").otherwise("train")).drop("_size", "_place")
     n = F.count("*").over(Window.partitionBy(*by))
     place = F.row_number().over(Window.partitionBy(*by).orderBy(hash_bucket(F.col(key), seed, 1 << 31), key))
-    held = F.floor(n * share) if rounds == "floor" else F.greatest(F.lit(1), F.floor(n * share))
-    return df.withColumn("split", F.when(place <= F.least(held, n - keep), "test").otherwise("train"))
+    return df.withColumn("split", F.when(place <= F.least(wanted(n), n - keep), "test").otherwise("train"))
 
 
 def folds(df: DataFrame, label: str, key: str, k: int, seed: int = 0) -> DataFrame:
@@ -187,14 +192,46 @@ def drawn_without_replacement(df: DataFrame, key: str, trees: int, size: int | f
     return placed(each, "tree", hashed, key).where(F.col("_place") <= most).select("tree", key, F.lit(1).alias("times"))
 
 
-def tfidf(docs: DataFrame, doc: str, text: str, min_df: int = 1, shortest: int = 2, stop: tuple[str, ...] = ()) -> DataFrame:
-    """(doc, term, weight): smooth idf, rows of unit length. Terms are runs of a-z in lower case."""
+def inject_missing_share(df: DataFrame, key: str, columns: list[str], share: float, seed: int = 0) -> DataFrame:
+    """df with exactly the share (rounded down) of each column's known cells nulled, those of the smallest hashes. Keys are unique."""
+    for k, c in enumerate(columns):
+        known = df.where(F.col(c).isNotNull()).select(key)
+        most = int(known.count() * share)
+        first = numbered(known, [hash_bucket(F.col(key), seed + k, 1 << 31), F.col(key)], "_place").where(F.col("_place") < most)
+        df = df.join(first.select(key, F.lit(True).alias("_gone")), key, "left").withColumn(c, F.when(F.col("_gone").isNull(), F.col(c))).drop("_gone")
+    return df
+
+
+def inject_missing_cells(df: DataFrame, key: str, columns: list[str], share: float, seed: int = 0) -> DataFrame:
+    """df with the cells nulled that share * rows * columns draws hit; draws may hit a cell again, so fewer may go. Keys are unique."""
+    rows = written(numbered(df.select(key), [F.col(key)], "_place"))
+    n = rows.count()
+    draws = df.sparkSession.range(int(n * len(columns) * share)).select(_drawn_place(F.lit(0), F.col("id"), seed, max(n, 1) * len(columns)).alias("_cell")).distinct()
+    hits = draws.groupBy(F.floor(F.col("_cell") / len(columns)).alias("_place")).agg(F.collect_set((F.col("_cell") % len(columns)).cast("int")).alias("_hit"))
+    marked = df.join(rows.join(hits, "_place").select(key, "_hit"), key, "left")
+    return marked.withColumns({c: F.when(~F.coalesce(F.array_contains("_hit", k), F.lit(False)), F.col(c)) for k, c in enumerate(columns)}).drop("_hit")
+
+
+#: Terms whose weights are broadcast at most; a row has a term and a number.
+BROADCAST_TERMS = 1_000_000
+
+
+def tfidf(docs: DataFrame, doc: str, text: str, min_df: int = 1, shortest: int = 2, stop: tuple[str, ...] = (), max_df: float = 1.0, most_terms: int | None = None) -> DataFrame:
+    """(doc, term, weight): smooth idf, rows of unit length. Terms are runs of a-z in lower case.
+
+    Terms in fewer than min_df documents, or in more than the share max_df of them, are left out; of the others the
+    most_terms most frequent ones count, equally frequent ones by name.
+    """
     terms = docs.select(F.col(doc).alias("doc"), F.explode(F.split(F.lower(text), "[^a-z]+")).alias("term"))
     terms = terms.where((F.length("term") >= shortest) & ~F.col("term").isin(*stop)) if stop else terms.where(F.length("term") >= shortest)
     tf = terms.groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     n = docs.select(F.countDistinct(doc)).head()[0]
-    raw = tf.join(df, "term").select("doc", "term", (F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("x"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    if most_terms is not None:
+        df = df.orderBy(F.desc("all"), "term").limit(most_terms)
+    idf = written(df.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")))
+    idf = F.broadcast(idf) if idf.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else idf
+    raw = tf.join(idf, "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("x"))
     return raw.select("doc", "term", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc")))).alias("weight"))
 
 

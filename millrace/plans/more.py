@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import metrics, prepare, recommend
-from millrace.sources.sinks import write_csv, write_json
+from millrace.operators import comparators, metrics, prepare, recommend
+from millrace.sources.sinks import write_csv, write_json, write_markdown
 from millrace.sources.storage import shared_dir
 
 from .catalog import _JUDGED, _LABEL, _PAIRS, _RATINGS, _TOP, _held, _HELD, _pairs, _split, _top, bucket, judged, lines, query, r6, ratings
@@ -61,6 +61,35 @@ def checked_labels(df):
     return prepare.checked_labels(df, "o_orderstatus", ["F", "O", "P"]).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
+_USER_ROWS = f"SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY {bucket(0, 'event_id', 1 << 31)}, event_id) AS p, count(*) OVER (PARTITION BY user_id) AS n FROM events"
+
+
+@query("events", f"SELECT event_id, CASE WHEN p <= least(greatest(1, round_even(n * 0.25, 0)), n - 1) THEN 'test' ELSE 'train' END AS split FROM ({_USER_ROWS})")
+def split_per_user_rounded(df):
+    return prepare.split_within(df, ["user_id"], "event_id", 0.25, rounds="near", keep=1).select("event_id", "split")
+
+
+@query("events", f"SELECT event_id, CASE WHEN p <= least(greatest(1, round_even(n * 0.25, 0)), n - 8) THEN 'test' ELSE 'train' END AS split FROM ({_USER_ROWS})")
+def split_keeping_rows(df):
+    """As much as leaves eight rows of each user in train."""
+    return prepare.split_within(df, ["user_id"], "event_id", 0.25, rounds="near", keep=8).select("event_id", "split")
+
+
+@query("orders", "SELECT o_orderkey, " + ", ".join(f"CASE WHEN row_number() OVER (ORDER BY {bucket(k, 'o_orderkey', 1 << 31)}, o_orderkey) > (SELECT floor(count(*) * 0.1) FROM orders) THEN {c} END AS {c}" for k, c in enumerate(("o_totalprice", "o_orderpriority"))) + " FROM orders")
+def inject_missing_share(df):
+    return prepare.inject_missing_share(df.select("o_orderkey", "o_totalprice", "o_orderpriority"), "o_orderkey", ["o_totalprice", "o_orderpriority"], 0.1)
+
+
+@query("orders", "WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders), d AS (SELECT DISTINCT ('0x' || substr(md5('0:0:' || i), 1, 15))::bigint % (2 * (SELECT count(*) FROM orders)) AS c FROM (SELECT unnest(range((SELECT floor(count(*) * 2 * 0.1)::bigint FROM orders))) AS i)) SELECT o_orderkey, CASE WHEN 2 * p NOT IN (SELECT c FROM d) THEN o_totalprice END AS o_totalprice, CASE WHEN 2 * p + 1 NOT IN (SELECT c FROM d) THEN o_orderpriority END AS o_orderpriority FROM r")
+def inject_missing_cells(df):
+    return prepare.inject_missing_cells(df.select("o_orderkey", "o_totalprice", "o_orderpriority"), "o_orderkey", ["o_totalprice", "o_orderpriority"], 0.1)
+
+
+@query("documents", "WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents), f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE length(term) >= 2 AND term NOT IN ('the', 'der', 'la') GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1 HAVING count(*) BETWEEN 5 AND 0.4 * (SELECT count(*) FROM documents) ORDER BY sum(tf) DESC, term LIMIT 300), x AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS x FROM f JOIN d USING (term)) SELECT doc_id AS doc, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM x")
+def tfidf_most_frequent(df):
+    return prepare.tfidf(df, "doc_id", "text", 5, stop=("the", "der", "la"), max_df=0.4, most_terms=300).withColumn("weight", F.round("weight", 6))
+
+
 # splits of trees
 
 
@@ -188,3 +217,27 @@ def sink_csv(df):
 @query("orders", _SUMMARY)
 def sink_json(df):
     return _stored(_summary(df), write_json, lambda reader, path: reader.json(path))
+
+
+@query("orders", "SELECT '| priority | n |' AS value UNION ALL SELECT '|-|-|' UNION ALL SELECT '| ' || o_orderpriority || ' | ' || count(*) || ' |' FROM orders GROUP BY o_orderpriority")
+def sink_markdown(df):
+    counts = df.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"))
+    path = shared_dir(df.sparkSession)
+    write_markdown(counts, path, ["priority"])
+    return df.sparkSession.read.text(path)
+
+
+# beside pyspark.ml
+
+
+@query("lineitem")
+def compare_classifiers(df):
+    rows = df.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("key"), "l_orderkey", "l_quantity", "l_discount", "l_extendedprice", (F.col("l_returnflag") == "R").cast("int").alias("y")).dropDuplicates(["key"])
+    found = comparators.compare_classifiers(rows.where("l_orderkey % 4 > 0"), rows.where("l_orderkey % 4 = 0"), "key", "y", ["l_quantity", "l_discount", "l_extendedprice"], depth=3, trees_=5, rounds=3)
+    return found.select("model", "library", "accuracy")
+
+
+@query("lineitem")
+def compare_factors(df):
+    held = df.groupBy(F.col("l_suppkey").alias("user"), F.col("l_partkey").alias("item")).agg(F.avg("l_quantity").alias("rating")).join(_held(df).select("user", "item"), ["user", "item"])
+    return comparators.compare_factors(_pairs(df, False), held, 4, 3).select("library", "rmse")
