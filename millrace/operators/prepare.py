@@ -43,7 +43,10 @@ def impute(df: DataFrame, columns: list[str], how: str, fitted_on: DataFrame | N
 
 
 def impute_by_draw(df: DataFrame, column: str, key: str, seed: int = 0) -> DataFrame:
-    """Nulls by a draw from the column's own distribution: the value whose cumulated share holds the key's hash."""
+    """Nulls by a draw from the column's own distribution: the value whose cumulated share holds the key's hash.
+
+    A million draws are told apart: in a column of more distinct values the rarest may never be drawn.
+    """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
     up = running_sums(counts, [F.col("_v")], {"_high": "_n"})
     total = up.agg(F.max("_high")).head()[0] or 0
