@@ -19,6 +19,8 @@ from .trees import _impurity
 #: Rows of a node table that are broadcast at most; a row has a few numbers and a category.
 BROADCAST_ROWS = 1_000_000
 ROOT = 1
+#: Hits in shares.
+_HITS = "decimal(38,18)"
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -95,19 +97,22 @@ class NaryTree:
         """Leaves instead of subtrees, bottom up, wherever that does not cost hits on df; a missing value counts in shares."""
         way = self._walk(df.where(F.col(label).isNotNull()), key, every=True).join(df.select(key, F.col(label).alias("_y")), key)
         seen = F.array_position(F.array(*map(F.lit, self.classes)), F.col("_y")).cast("int")
-        counts = way.groupBy("node").agg(*[F.sum(F.when(seen == k + 1, F.col("share")).otherwise(0.0)).alias(f"h{k}") for k in range(len(self.classes))])
+        share = F.col("share").cast("decimal(20,18)")  # sums of these are exact, so that equal numbers of hits stay equal in any order
+        counts = way.groupBy("node").agg(*[F.sum(F.when(seen == k + 1, share)).cast(_HITS).alias(f"h{k}") for k in range(len(self.classes))])
         said = F.array_position("stats", F.array_max("stats")).cast("int") - 1
-        own = self.nodes.join(counts, "node", "left").select("node", "depth", F.col("feature").isNotNull().alias("split"), F.coalesce(F.get(F.array(*[F.col(f"h{k}") for k in range(len(self.classes))]), said), F.lit(0.0)).alias("own"))
+        own = self.nodes.join(counts, "node", "left").select("node", "depth", F.col("feature").isNotNull().alias("split"), F.coalesce(F.get(F.array(*[F.col(f"h{k}") for k in range(len(self.classes))]), said), F.lit(0).cast(_HITS)).alias("own"))
         own, edges = written(own), self.children.select(F.col("node").alias("parent"), F.col("child").alias("node"))
         best, cut = None, None
         for d in range(self.depth, -1, -1):
             here = own.where(F.col("depth") == d)
             if best is not None:
-                below = best.join(edges, "node").groupBy(F.col("parent").alias("node")).agg(F.sum("right").alias("below"))
+                below = best.join(edges, "node").groupBy(F.col("parent").alias("node")).agg(F.sum("right").cast(_HITS).alias("below"))
                 here = here.join(below, "node", "left")
             else:
-                here = here.withColumn("below", F.lit(None).cast("double"))
-            stop = F.col("split") & (F.round("own", 9) >= F.round(F.coalesce("below", F.lit(0.0)), 9))
+                here = here.withColumn("below", F.lit(None).cast(_HITS))
+            # the shares of a row add up to 1 but for their last digits
+            more = F.coalesce("below", F.lit(0).cast(_HITS)) - F.col("own")
+            stop = F.col("split") & (more.cast("double") <= F.greatest(F.lit(5e-10), F.col("own").cast("double") * 1e-14))
             here = written(here.select("node", stop.alias("stop"), F.when(F.col("split") & ~stop, F.col("below")).otherwise(F.col("own")).alias("right")))
             gone = here.where("stop").select("node")
             cut = gone if cut is None else cut.unionByName(gone)
