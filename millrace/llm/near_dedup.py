@@ -29,6 +29,8 @@ TREES, COORDS, WIDTH, LEVELS, BRANCHES = 16, 48, 5, 2, 2
 LEAF, LEAF_SHINGLES = 512, 500_000
 #: What one task compares with each other; larger groups are dealt to tasks of about that much.
 BLOCK, BLOCK_SHINGLES = 1024, 500_000
+#: Nodes that branch of which each task gets the numbers at a time; there is one for every 512 rows of classes and trees at most, or 500,000 shingles.
+LARGE_NODES = 1_000_000
 #: Pivots of a dealt group, about; fewer if they have more than BLOCK_SHINGLES.
 PIVOTS = 128
 #: Rows of one class from which its label is broadcast, so that no task gets all of them.
@@ -85,29 +87,46 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, COORDS)
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each class (rep, size, sig) its child of every tree's root."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        node = _mixed(_signatures(batch.column(2))[:, :TREES] + np.arange(TREES, dtype=np.uint64))
-        of = pa.array(np.repeat(np.arange(batch.num_rows), TREES))
-        yield pa.RecordBatch.from_arrays([pa.array(node.reshape(-1).view(np.int64)), batch.column(0).take(of), batch.column(1).take(of)], names=["node", "rep", "size"])
+def _chosen(sig: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The BRANCHES children of each (signature, node), by tokens that the node selects; one after the other."""
+    keys = []
+    for b in range(BRANCHES):
+        chosen = _mixed(node + np.uint64(b + 1))
+        token = sig[np.arange(len(node)), (chosen % np.uint64(COORDS)).astype(np.int64)]
+        keys.append(_mixed(chosen * np.uint64(0x9E3779B97F4A7C15) + token))
+    return np.concatenate(keys)
 
 
-def _branched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Children of (node, rep, size, sig): by tokens that the node selects."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        node, sig, keys = batch.column(0).to_numpy().view(np.uint64), _signatures(batch.column(3)), []
-        for b in range(BRANCHES):
-            chosen = _mixed(node + np.uint64(b + 1))
-            token = sig[np.arange(len(node)), (chosen % np.uint64(COORDS)).astype(np.int64)]
-            keys.append(_mixed(chosen * np.uint64(0x9E3779B97F4A7C15) + token))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(keys).view(np.int64)), *[pa.concat_arrays([c] * BRANCHES) for c in batch.columns[1:3]]], names=["node", "rep", "size"]
-        )
+def _nodes(larges: list):
+    """Of each class (rep, size, sig) its nodes below those that are in larges, a sorted array a level.
+
+    Without larges these are its children of every tree's root. A class's nodes follow from its signature alone, so
+    that no row of a class and a node is joined with the class.
+    """
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = _signatures(batch.column(2))
+            node = _mixed(sig[:, :TREES] + np.arange(TREES, dtype=np.uint64)).reshape(-1)
+            of = np.repeat(np.arange(batch.num_rows), TREES)
+            for large in larges:
+                at = np.searchsorted(large.value, node).clip(max=len(large.value) - 1)
+                inside = np.flatnonzero(large.value[at] == node)
+                node, of = _chosen(sig[of[inside]], node[inside]), np.tile(of[inside], BRANCHES)
+            rows = pa.array(of)
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["node", "rep", "size"])
+
+    return placed
+
+
+def _broadcast_nodes(large: DataFrame) -> list:
+    """Shared sorted arrays of the nodes, of LARGE_NODES at most each; a large node has more than LEAF rows or LEAF_SHINGLES."""
+    spark, parts = large.sparkSession, max(1, -(-large.count() // LARGE_NODES))
+    own = F.pmod(F.xxhash64("node"), F.lit(parts))
+    columns = (large.where(own == k).toArrow().column("node").to_numpy() for k in range(parts))
+    return [spark.sparkContext.broadcast(np.sort(np.ascontiguousarray(c).view(np.uint64))) for c in columns if len(c)]
 
 
 def _common(sets: list[np.ndarray], first: int | None = None) -> np.ndarray:
@@ -243,7 +262,8 @@ def _groups(reps: DataFrame) -> DataFrame:
 
     reps has rep (a class), size (its shingles) and sig.
     """
-    stars, members = [], written(reps.select("rep", "size", "sig").mapInArrow(_roots, "node long, rep long, size long"))
+    of_reps, ways = reps.select("rep", "size", "sig"), [[]]
+    stars, members = [], written(of_reps.mapInArrow(_nodes([]), "node long, rep long, size long"))
     for level in range(1, LEVELS + 1):
         nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("rep").alias("center"), F.max("rep").alias("last"))
         nodes = written(nodes.where("n > 1"))
@@ -256,8 +276,12 @@ def _groups(reps: DataFrame) -> DataFrame:
         large = larger.where(~small).select("node")
         if level == LEVELS or not large.limit(1).count():
             break
-        inner = members.join(maybe_broadcast(large), "node").join(reps.select("rep", "sig"), "rep").select("node", "rep", "size", "sig")
-        members = written(inner.mapInArrow(_branched, "node long, rep long, size long"))
+        ways = [[*way, part] for part in _broadcast_nodes(large) for way in ways]
+        below = [of_reps.mapInArrow(_nodes(way), "node long, rep long, size long") for way in ways]
+        members = below[0]
+        for more in below[1:]:
+            members = members.unionByName(more)
+        members = written(members)
     star = stars[0]
     for more in stars[1:]:
         star = star.unionByName(more)
