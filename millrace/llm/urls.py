@@ -9,8 +9,8 @@ from .common import lower_ascii, maybe_broadcast, row_key, written
 
 #: (verdict, host, path): the rules of the contract.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Characters of context at most; labelled URLs of each class to fit and to calibrate on, about, at most.
-ORDER, TRAIN_PER_CLASS = 4, 20_000
+#: Characters of context at most.
+ORDER = 4
 _START = "\x02" * ORDER
 
 
@@ -92,8 +92,7 @@ def _scores(urls: DataFrame, keep: list[str], model: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row of pages (page_id, url; others are ignored).
 
-    URLs that rules decide fit the two models (a hash-drawn share, TRAIN_PER_CLASS of either class at most) and, with
-    one in five kept apart, calibrate the threshold: the point between the class means, by their deviations. The rest is
+    All URLs that rules decide fit the two models or, one in five that are kept apart, calibrate the threshold: the point between the class means, by their deviations. The rest is
     allowed if its score reaches the threshold; everything is allowed if one class is missing. Null and empty urls
     have empty host and path and are scored by their end alone. Repeated rows give repeated rows.
     """
@@ -107,12 +106,10 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     open_rows = rows.where(F.col("rule").isNull())
     if not counts.get("allow") or not counts.get("block"):
         return decided.unionByName(open_rows.select("page_id", "host", "path", "rule", F.lit("allow").alias("verdict"), F.lit(None).cast("double").alias("score")))
-    draw = F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_003)) / 1_000_003
-    limit = F.when(F.col("verdict") == "allow", TRAIN_PER_CLASS / counts["allow"]).otherwise(TRAIN_PER_CLASS / counts["block"])
-    drawn = ruled.where(draw < limit).select("page_id", "url", (F.col("verdict") == "allow").alias("accepted"), (F.pmod(F.xxhash64("url", F.lit(5)), F.lit(5)) == 0).alias("_apart"))
-    drawn = written(drawn)
-    model = _models(drawn.where("not _apart"))
-    seen = _scores(drawn.where("_apart"), ["page_id", "url", "accepted"], model)
+    labelled = ruled.select("page_id", "url", (F.col("verdict") == "allow").alias("accepted"), (F.pmod(F.xxhash64("url", F.lit(5)), F.lit(5)) == 0).alias("_apart"))
+    labelled = written(labelled)
+    model = _models(labelled.where("not _apart"))
+    seen = _scores(labelled.where("_apart"), ["page_id", "url", "accepted"], model)
     stats = {r["accepted"]: r for r in seen.groupBy("accepted").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("dev")).collect()}
     if True in stats and False in stats:
         a, b = stats[True], stats[False]
