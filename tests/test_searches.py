@@ -209,3 +209,21 @@ def test_wide_trees_stop_at_unseen_values(spark):
     bad = spark.createDataFrame([(k, "abc"[k % 3], 0.0, 0) for k in range(9)], "k long, c string, v double, y int")
     assert tree.pruned(bad, "k", "y").shape().head().nodes == 1 and tree.pruned(df, "k", "y").shape().head().nodes == 4
     assert nary.grow_nary(df.where("y = 0"), "y", ["v"], ["c"], [0, 1]).shape().head().nodes == 1
+
+
+def test_slim_search_makes_candidates_once_and_no_row_a_score(spark, ratings, monkeypatch):
+    """Candidates are computed once, and scores of held-out ratings are summed where the models are made; pieces by user give the same."""
+    rows, df = ratings
+    runs = spark.sparkContext.accumulator(0)
+
+    def pairs(batches):
+        runs.add(1)
+        yield from batches
+
+    near = near_all(spark, range(12)).coalesce(1).mapInPandas(pairs, "item long, other long")
+    grid = [(0.5, 1.0), (5.0, 20.0)]
+    whole = {r.config: r.rmse for r in slim.search_slim(df, near, grid, 3, 1.0, 5.0)[0].collect()}
+    assert runs.value == 1
+    monkeypatch.setattr(slim, "PIECE", 5)
+    cut = {r.config: r.rmse for r in slim.search_slim(df, near_all(spark, range(12)), grid, 3, 1.0, 5.0)[0].collect()}
+    assert cut == pytest.approx(whole)
