@@ -7,7 +7,10 @@ nodes on the driver. Trees with bounded thresholds, of which many grow in one pa
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
+import operator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +21,7 @@ from millrace.functions.expressions import hash_bucket
 from millrace.functions.ranks import running_sums_within
 from millrace.sources.storage import written
 
-from .prepare import bootstrap
+from .prepare import poisson_times
 
 
 @dataclass
@@ -117,12 +120,12 @@ def _impurity(stats: list[Column], weight: Column, criterion: str) -> Column:
     return -sum((s * s for s in stats), F.lit(0.0)) / weight
 
 
-def best_splits(rows: DataFrame, numeric: list[str], categorical: list[str], n_stats: int, criterion: str = "gini", least: float = 1.0, per_node: int | None = None, seed: int = 0) -> DataFrame:
+def best_splits(rows: DataFrame, numeric: list[str], categorical: list[str], n_stats: int, criterion: str = "gini", least: float = 1.0, per_node: int | None = None, seed: int = 0, drawn: list[list[int]] | None = None) -> DataFrame:
     """node, feature, threshold or category, gain, stats and weights of the best split of each node.
 
     rows: node, w, c0 to c{n_stats-1} (stats times w) and the features. The gain counts the share of rows whose value
     is known. Thresholds are midpoints of neighbouring values; equal gains: first feature by place, then lowest value.
-    per_node draws that many features for each node by hash.
+    per_node draws that many features for each node by hash; drawn names the nodes that may take each feature instead.
     """
     stats = [f"c{k}" for k in range(n_stats)]
     sums = [F.sum(c).alias(c) for c in ("w", *stats)]
@@ -138,6 +141,8 @@ def best_splits(rows: DataFrame, numeric: list[str], categorical: list[str], n_s
             # a node's features by hash order; chosen before counting, so that only they are shuffled
             order = F.array_sort(F.array(*[F.struct(hash_bucket(F.concat_ws(":", F.col("node"), F.lit(k)), seed, 1 << 30).alias("h"), F.lit(k).alias("k")) for k in range(len(place))]))
             long = long.where(F.array_contains(F.transform(F.slice(order, 1, per_node), lambda s: s.k), F.col("f")))
+        if drawn is not None:
+            long = long.where(functools.reduce(operator.or_, ((F.col("f") == k) & F.col("node").isin(nodes) for k, nodes in enumerate(drawn))))
         cells = long.groupBy("node", "f", "v").agg(*sums)
         names = ["w", *stats]
         if kind == "double":
@@ -275,17 +280,19 @@ class Forest:
         s = self.shares()
         return F.get(F.array(*map(F.lit, self.classes)), F.array_position(s, F.array_max(s)).cast("int") - 1)
 
+    def oob_hit(self, key: str, label: str) -> Column:
+        """1.0 where the trees that did not draw the row judge it right, 0.0 where wrong, null where each drew it."""
+        drew = [F.coalesce(F.col(key).isNotNull() & (poisson_times(F.lit(t), F.col(key), self.seed) > 0), F.lit(False)) for t in range(len(self.trees))]
+        votes = [sum((F.when(d, 0.0).otherwise(tree.value(k)) for d, tree in zip(drew, self.trees, strict=True)), F.lit(0.0)) for k in range(len(self.classes))]
+        s = F.array(*votes)
+        said = F.get(F.array(*map(F.lit, self.classes)), F.array_position(s, F.array_max(s)).cast("int") - 1)
+        return F.when(~functools.reduce(operator.and_, drew), (said == F.col(label)).cast("double"))
+
     def oob(self, df: DataFrame, key: str, label: str, shuffled: str | None = None) -> float:
         """Accuracy where each row is judged by the trees that did not draw it. shuffled: a feature dealt anew first."""
         if shuffled:
             df = permuted(df, key, shuffled, self.seed)
-        trees = len(self.trees)
-        drawn = bootstrap(df, key, trees, self.seed).where("times > 0").groupBy(key).agg(F.collect_set("tree").alias("_in"))
-        votes = [sum((F.when(F.array_contains("_in", t), 0.0).otherwise(tree.value(k)) for t, tree in enumerate(self.trees)), F.lit(0.0)) for k in range(len(self.classes))]
-        joined = df.join(drawn, key, "left").withColumn("_in", F.coalesce("_in", F.array().cast("array<int>"))).where(F.size("_in") < trees)
-        s = F.array(*votes)
-        said = F.get(F.array(*map(F.lit, self.classes)), F.array_position(s, F.array_max(s)).cast("int") - 1)
-        return joined.agg(F.avg((said == F.col(label)).cast("double"))).head()[0]
+        return df.agg(F.avg(self.oob_hit(key, label))).head()[0]
 
     def oob_importance(self, df: DataFrame, key: str, label: str, features: list[str]) -> dict[str, float]:
         """Loss of out-of-bag accuracy when a feature is dealt anew."""
@@ -302,18 +309,75 @@ def permuted(df: DataFrame, key: str, column: str, seed: int) -> DataFrame:
     return a.join(b, ["_b", "_p"]).withColumn(column, F.col("_v")).drop("_b", "_p", "_v")
 
 
+def _grow_bags(df: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str], classes: list, bags: list[tuple[int, int]], depth: int, seed: int) -> list[Tree]:
+    """The tree of each (bag, features a node): all grow together, a pass a level.
+
+    The trees are subtrees of one: tree t begins at node R + t, so that nodes keep their numbering by halves.
+    """
+    first, features = 1 << (len(bags) - 1).bit_length(), [*numeric, *categorical]
+    w = F.col("_times").cast("double")
+    times = [F.struct(F.lit(first + j).alias("node"), F.col(f"_times{t}").alias("_times")) for j, (t, _) in enumerate(bags)]
+    rows = df.where(F.col(label).isNotNull() & F.col(key).isNotNull()).withColumns({f"_times{t}": poisson_times(F.lit(t), F.col(key), seed) for t in {t for t, _ in bags}})
+    rows = rows.select(*features, F.col(label).alias("_y"), F.explode(F.array(*times)).alias("_bag")).where("_bag._times > 0").select(*features, "_y", "_bag.*")
+    rows = written(rows.select(*features, "node", w.alias("w"), *[(w * (F.col("_y") == c).cast("double")).alias(f"c{k}") for k, c in enumerate(classes)]))
+    whole = Tree()
+    for d in range(depth + 1):
+        sums = rows.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("w", *[f"c{k}" for k in range(len(classes))])]).collect()
+        for r in sums:
+            whole.nodes[r["node"]] = Node([r[f"c{k}"] for k in range(len(classes))], r["w"])
+        if not sums or d == depth:
+            break
+        drawn: list[list[int]] = [[] for _ in features]
+        for r in sums:
+            j, k = (r["node"] >> d) - first, (r["node"] & ((1 << d) - 1)) + (1 << d)
+            t, per_node = bags[j]
+            order = sorted(range(len(features)), key=lambda f, t=t, k=k: (int(hashlib.md5(f"{seed + t}:{k}:{f}".encode()).hexdigest()[:8], 16) % (1 << 30), f))
+            for f in order[:per_node]:
+                drawn[f].append(r["node"])
+        for r in best_splits(rows, list(numeric), list(categorical), len(classes), drawn=drawn).collect():
+            if r["gain"] > 1e-9:
+                n = whole.nodes[r["node"]]
+                n.feature, n.threshold, n.category, n.gain, n.p_left = r["feature"], r["threshold"], r["category"], r["gain"] * n.weight, r["p_left"]
+        level = [r["node"] for r in sums if not whole.leaf(r["node"])]
+        if not level:
+            break
+        rows = written(_expand(rows, whole, level))
+    out = []
+    for j in range(len(bags)):
+        root, tree = first + j, Tree()
+        for d in range(depth + 1):
+            tree.nodes |= {k + (1 << d): whole.nodes[(root << d) + k] for k in range(1 << d) if (root << d) + k in whole.nodes}
+        tree.nodes = tree.nodes or {1: Node([0.0] * len(classes), 0.0)}
+        for k in [k for k in tree.nodes if not tree.leaf(k) and (2 * k not in tree.nodes or 2 * k + 1 not in tree.nodes)]:
+            if k in tree.nodes:
+                tree.prune(k)
+        out.append(tree)
+    return out
+
+
+def _cut(tree: Tree, depth: int) -> Tree:
+    """The tree's first levels."""
+    last = 1 << depth
+    return Tree({k: n if k < last else Node(n.stats, n.weight) for k, n in tree.nodes.items() if k < 2 * last})
+
+
 def grow_forest(df: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str], classes: list, trees: int = 10, depth: int = 4, per_node: int | None = None, seed: int = 0) -> Forest:
-    """Trees on Poisson bootstraps of the rows, drawn by hash, with features drawn for each node."""
+    """Trees on Poisson bootstraps of the rows, drawn by hash, with features drawn for each node. Keys are unique; rows without one are in no bag."""
     per_node = per_node or max(1, round(math.sqrt(len(numeric) + len(categorical))))
-    bags = bootstrap(df, key, trees, seed)
-    out = []
-    for t in range(trees):
-        bag = bags.where(F.col("tree") == t).select(key, "times")
-        out.append(grow(df.join(bag, key), label, numeric, categorical, classes, depth, weight="times", per_node=per_node, seed=seed + t))
-    return Forest(out, classes, seed)
+    return Forest(_grow_bags(df, key, label, numeric, categorical, classes, [(t, per_node) for t in range(trees)], depth, seed), classes, seed)
 
 
 def search_forest(df: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str], classes: list, grid: list[dict], seed: int = 0) -> tuple[dict, list[tuple[dict, float]]]:
-    """The grid's entry (options of grow_forest) of the best out-of-bag accuracy, the first of equal ones, and all scores."""
-    scores = [(options, grow_forest(df, key, label, numeric, categorical, classes, seed=seed, **options).oob(df, key, label) or 0.0) for options in grid]
+    """The grid's entry (trees, depth, per_node of grow_forest) of the best out-of-bag accuracy, the first of equal ones, and all scores.
+
+    Entries of one per_node share their trees: fewer trees are the first of them, a smaller depth their first levels. The
+    trees of the whole grid grow in the same passes and are judged in one.
+    """
+    usual = max(1, round(math.sqrt(len(numeric) + len(categorical))))
+    full = [{"trees": 10, "depth": 4} | o | {"per_node": o.get("per_node") or usual} for o in grid]
+    bags = sorted({(t, o["per_node"]) for o in full for t in range(o["trees"])})
+    grown = dict(zip(bags, _grow_bags(df, key, label, numeric, categorical, classes, bags, max(o["depth"] for o in full), seed), strict=True))
+    forests = [Forest([_cut(grown[t, o["per_node"]], o["depth"]) for t in range(o["trees"])], classes, seed) for o in full]
+    found = df.agg(*[F.avg(f.oob_hit(key, label)) for f in forests]).head()
+    scores = [(options, s or 0.0) for options, s in zip(grid, found, strict=True)]
     return max(scores, key=lambda s: s[1])[0], scores

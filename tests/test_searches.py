@@ -227,3 +227,18 @@ def test_slim_search_makes_candidates_once_and_no_row_a_score(spark, ratings, mo
     monkeypatch.setattr(slim, "PIECE", 5)
     cut = {r.config: r.rmse for r in slim.search_slim(df, near_all(spark, range(12)), grid, 3, 1.0, 5.0)[0].collect()}
     assert cut == pytest.approx(whole)
+
+
+def test_forest_search_grows_its_trees_together(spark):
+    """The grid's scores are those of single forests, but a search takes no more jobs than one forest of its largest depth and a pass."""
+    df = spark.createDataFrame([(i, float(i * 7 % 50), float(i * 11 % 13) if i % 9 else None, "abc"[i % 3], int(i * 7 % 50 in (3, 4, 20, 21) or i % 3 == 1 and i % 2)) for i in range(300)] + [(None, 1.0, 2.0, "a", 1)], "k long, v double, u double, c string, y int")
+    grid = [{"trees": n, "depth": d, "per_node": p} for n in (2, 3) for d in (1, 3) for p in (1, 2)]
+    jobs = lambda group: len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("search", "search")
+    best, scores = trees.search_forest(df, "k", "y", ["v", "u"], ["c"], [0, 1], grid)
+    spark.sparkContext.setJobGroup("one", "one")
+    each = [trees.grow_forest(df, "k", "y", ["v", "u"], ["c"], [0, 1], **grid[-1]).oob(df, "k", "y")]
+    spark.sparkContext.setJobGroup("rest", "rest")
+    each = [trees.grow_forest(df, "k", "y", ["v", "u"], ["c"], [0, 1], **o).oob(df, "k", "y") for o in grid[:-1]] + each
+    assert [s for _, s in scores] == each and best == grid[each.index(max(each))]
+    assert jobs("search") <= jobs("one") + 2
