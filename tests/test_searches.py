@@ -242,3 +242,18 @@ def test_forest_search_grows_its_trees_together(spark):
     each = [trees.grow_forest(df, "k", "y", ["v", "u"], ["c"], [0, 1], **o).oob(df, "k", "y") for o in grid[:-1]] + each
     assert [s for _, s in scores] == each and best == grid[each.index(max(each))]
     assert jobs("search") <= jobs("one") + 2
+
+
+def test_core_counts_the_rows_once_a_pass(spark):
+    """What is left is that of plain passes, and the plan of the rest reads the table once, however many passes there are."""
+    draw = random.Random(8)
+    rows = [(draw.choice([None, *range(12)]), draw.choice([None, *range(15)]), k) for k in range(120)]
+    df = spark.createDataFrame(rows, "u int, i int, k int")
+    left = rows
+    for _ in range(3):
+        for c in (0, 1):
+            n = Counter(r[c] for r in left)
+            left = [r for r in left if r[c] is not None and n[r[c]] >= 6]
+    found = prepare.core(df, "u", "i", 6)
+    assert sorted(r.k for r in found.collect()) == sorted(r[2] for r in left) and 0 < len(left) < 120
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 2
