@@ -177,3 +177,20 @@ def test_regression_forest_by_hand(spark):
     pairs = [(r.y, np.mean([r[f"t{j}"] for j in range(4) if r.w[j] == 0])) for r in rows if 0 in r.w]
     y, p = np.array(pairs).T
     assert forest.oob_r2() == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum()) and forest.oob_r2() > 0.9
+
+
+def test_sums_of_ratings_that_stay_in_place(spark, monkeypatch):
+    """Sums over parts that split users and items are those over all ratings; ids without factors, ratings or partners take no part."""
+    from millrace.operators import meetings
+
+    monkeypatch.setattr(meetings, "PART", 7)
+    monkeypatch.setattr(meetings, "ROW", 3)
+    rows = [(u, i, float((u * 5 + i * 3) % 7)) for u in range(6) for i in range(10) if (u * i + u) % 3 != 1]
+    df = spark.createDataFrame([*rows, (0, 99, None), (None, 1, 2.0)], "user long, item long, rating double")
+    q = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "id long, v array<double>")
+    p = spark.createDataFrame([(u, [float(u + 1)]) for u in range(1, 6)], "id long, v array<double>")
+    met = meetings.Meetings(df)
+    got = met.sums("user", q, p, lambda b, r, a: np.stack([b[:, 0] * r, a[:, 0] * b[:, 1]], axis=1), 2).collect()
+    want = {u: (len(x), sum(i * r for i, r in x), (u + 1.0) * len(x)) for u in range(1, 6) for x in [[(i, r) for v, i, r in rows if v == u and i < 9]]}
+    assert len(got) == len(want) and all((r.n, r.s0, r.s1) == pytest.approx(want[r.id]) for r in got)
+    assert sorted(r.item for r in met.ids("item").collect()) == sorted({i for _, i, _ in rows})
