@@ -32,3 +32,32 @@ def test_gram_of_blocks(spark, monkeypatch, kind):
     monkeypatch.setattr(recommend, "GRAM_RATINGS", 1000)
     whole = recommend.gram(df)
     assert "hashpartitioning(a" not in plan_of(whole) and {(r.a, r.b): r.g for r in whole.collect()} == pytest.approx(want)
+
+
+def test_scores_go_to_their_user_once(spark, monkeypatch):
+    monkeypatch.setattr(recommend, "SCORED", 40)
+    draw = np.random.default_rng(5)
+    cells = {(u, i): float(draw.integers(1, 6)) for u in range(30) for i in range(15) if draw.random() < 0.4}
+    weights = [(i, (i * 7 + k * 3) % 18, 1.0 / (k + 1)) for i in range(14) for k in range(3)]
+    want = defaultdict(float)
+    for (u, i), x in cells.items():
+        for src, dst, w in weights:
+            if src == i:
+                want[u, dst] += x * w
+    r = spark.createDataFrame([(u, i, x) for (u, i), x in cells.items()], "user long, item long, rating double").repartition(3)
+    w = spark.createDataFrame(weights, "src long, dst long, weight double")
+    scores = recommend.marked_scores(r, w, r)
+    rows = scores.collect()
+    assert {(x.user, x.item): x.score for x in rows} == pytest.approx(want) and all(x.marked == ((x.user, x.item) in cells) for x in rows)
+    assert {(x.user, x.item): x.score for x in recommend.linear_scores(r, w).collect()} == pytest.approx(want)
+    marked = scores.withColumn("score", F.round("score", 6))
+    best = recommend.explore_and_exploit(marked, None, 5, 2)
+    same = recommend.explore_and_exploit(marked.drop("marked"), r, 5, 2)
+    plan = plan_of(best)
+    assert "hashpartitioning(user" in plan and not any("item" in line for line in plan.splitlines() if "hashpartitioning(user" in line)
+    got = sorted((x.user, x.rank, x.item) for x in best.collect())
+    assert got == sorted((x.user, x.rank, x.item) for x in same.collect())
+    for u in range(30):
+        order = sorted((-round(s, 6), i) for (v, i), s in want.items() if v == u)
+        kept = sorted({*order[:3], *[x for x in order if (u, x[1]) not in cells][:2]})
+        assert [i for v, _, i in got if v == u] == [i for _, i in kept]
