@@ -189,38 +189,46 @@ def silhouette(points: DataFrame, vector: str, cluster: str) -> DataFrame:
     return out.withColumn("silhouette", F.when(F.col("b").isNotNull(), F.coalesce(score, F.lit(0.0))))
 
 
-#: Points of a block whose plain distances one task computes.
-BLOCK = 2048
+#: Points of a block whose plain distances one task computes, and of a block of a small table.
+BLOCK, SMALL_BLOCK = 16_384, 2048
 
 
-def _distances(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sums of distances of the points of side 0 to those of side 1, by cluster."""
-    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+def _distances(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sums of distances, by cluster, of the points of either block to those of the other one, or within the block."""
+    left, right = (pdf[pdf["block"] == b] for b in key)
+    out = [pd.DataFrame({"key": np.array([], np.int64), "to": np.array([], np.int64), "total": np.array([], np.float64)})]
     if left.empty or right.empty:
-        return pd.DataFrame({"key": [], "to": [], "total": []})
+        return out[0]
     x, y = np.array(left["x"].tolist(), float), np.array(right["x"].tolist(), float)
-    codes, names = pd.factorize(right["c"], sort=True)
-    out = np.zeros((len(x), len(names)))
+    square = (y**2).sum(1)[None]
+    ones = [pd.get_dummies(side["c"], dtype=float) for side in (left, right)]
+    there, back = np.zeros((len(x), ones[1].shape[1])), np.zeros((len(y), ones[0].shape[1]))
     for low in range(0, len(x), 256):
-        d = np.sqrt(((x[low : low + 256, None, :] - y[None, :, :]) ** 2).sum(axis=2)) if x.shape[1] <= 8 else np.sqrt(np.maximum((x[low : low + 256] ** 2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x[low : low + 256] @ y.T, 0))
-        for c in range(len(names)):
-            out[low : low + 256, c] = d[:, codes == c].sum(axis=1)
-    return pd.DataFrame({"key": np.repeat(left["key"].to_numpy(), len(names)), "to": np.tile(np.asarray(names), len(x)), "total": out.ravel()})
+        some = x[low : low + 256]
+        d = np.sqrt(((some[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)) if x.shape[1] <= 8 else np.sqrt(np.maximum((some**2).sum(1)[:, None] + square - 2 * some @ y.T, 0))
+        there[low : low + 256] = d @ ones[1].to_numpy()
+        if key[0] != key[1]:
+            back += d.T @ ones[0].to_numpy()[low : low + 256]
+    for side, to, total in ((left, ones[1].columns, there), (right, ones[0].columns, back))[: 1 if key[0] == key[1] else 2]:
+        out.append(pd.DataFrame({"key": np.repeat(side["key"].to_numpy(), len(to)), "to": np.tile(to.to_numpy(), len(side)), "total": total.ravel()}))
+    return pd.concat(out)
 
 
 def plain_silhouette(points: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
-    """(key, silhouette) by plain distances, of every pair of points in blocks: the cost is the square of their number.
+    """(key, silhouette) by plain distances, of every pair of points: the time is the square of their number.
+
+    Each pair of blocks of points meets once, in one task, so points are shuffled once for each of few large blocks.
 
     As silhouette() else; keys are unique longs, clusters longs.
     """
     rows = points.where(F.col(cluster).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("x"), F.col(cluster).cast("long").alias("c"))
     rows = written(rows)
-    blocks = max(1, -(-rows.count() // BLOCK))
+    n = rows.count()
+    blocks = max(1, -(-n // BLOCK), min(8, -(-n // SMALL_BLOCK)))
     own = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("*", own.alias("i"), every.alias("j"), F.lit(0).alias("side"))
-    right = rows.select("*", own.alias("j"), every.alias("i"), F.lit(1).alias("side"))
-    sums = left.unionByName(right).groupBy("i", "j").applyInPandas(_distances, "key long, to long, total double").groupBy("key", "to").agg(F.sum("total").alias("total"))
+    dealt = rows.withColumn("block", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = dealt.select(F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "key", "x", "c")
+    sums = pairs.groupBy("i", "j").applyInPandas(_distances, "key long, to long, total double").groupBy("key", "to").agg(F.sum("total").alias("total"))
     sizes = rows.groupBy(F.col("c").alias("to")).agg(F.count("*").alias("n"))
     means = sums.join(F.broadcast(sizes), "to").join(rows.select("key", "c"), "key")  # a row a cluster
     mine = F.col("to") == F.col("c")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import recommend
+from millrace.operators import metrics, recommend
 
 
 def plan_of(df) -> str:
@@ -61,3 +61,16 @@ def test_scores_go_to_their_user_once(spark, monkeypatch):
         order = sorted((-round(s, 6), i) for (v, i), s in want.items() if v == u)
         kept = sorted({*order[:3], *[x for x in order if (u, x[1]) not in cells][:2]})
         assert [i for v, _, i in got if v == u] == [i for _, i in kept]
+
+
+def test_pairs_of_points_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "SMALL_BLOCK", 20)
+    draw = np.random.default_rng(8)
+    x, c = draw.normal(size=(90, 9)), draw.integers(0, 3, 90)
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, c, strict=True))], "k long, x array<double>, c int")
+    got = {r.key: r.silhouette for r in metrics.plain_silhouette(df, "k", "x", "c").collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for i in range(90):
+        means = [d[i][(c == k) & (np.arange(90) != i)].mean() for k in range(3)]
+        a, b = means[c[i]], min(m for k, m in enumerate(means) if k != c[i])
+        assert got[i] == pytest.approx((b - a) / max(a, b))
