@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import metrics, recommend
+from millrace.operators import metrics, prepare, recommend
 
 
 def plan_of(df) -> str:
@@ -74,3 +74,27 @@ def test_pairs_of_points_meet_once(spark, monkeypatch):
         means = [d[i][(c == k) & (np.arange(90) != i)].mean() for k in range(3)]
         a, b = means[c[i]], min(m for k, m in enumerate(means) if k != c[i])
         assert got[i] == pytest.approx((b - a) / max(a, b))
+
+
+def test_terms_are_weighed_where_their_text_is(spark, monkeypatch):
+    monkeypatch.setattr(prepare, "DOC_BYTES", 200)
+    texts = {d: " ".join("abcdefgh"[(d * k) % 8] * 2 for k in range(d % 5 + 1)) for d in range(40)}
+    rows = [(d, t) for d, t in texts.items()] + [(3, "zz aa"), (41, None), (42, "")]  # a document of two rows
+    df = spark.createDataFrame(rows, "d long, t string").repartition(3)
+    out = prepare.tfidf(df, "d", "t", 2)
+    plan = plan_of(out)
+    assert plan.count("hashpartitioning(doc") == 1
+    counts = defaultdict(lambda: defaultdict(int))
+    for d, t in rows:
+        for term in (t or "").split():
+            counts[d][term] += 1
+    have = defaultdict(int)
+    for c in counts.values():
+        for term in c:
+            have[term] += 1
+    got = {(r.doc, r.term): r.weight for r in out.collect()}
+    want = {}
+    for d, c in counts.items():
+        x = {term: k * (np.log((1 + 42) / (1 + have[term])) + 1) for term, k in c.items() if have[term] >= 2}
+        want |= {(d, term): v / np.sqrt(sum(y * y for y in x.values())) for term, v in x.items()}
+    assert got == pytest.approx(want)
