@@ -98,3 +98,17 @@ def test_terms_are_weighed_where_their_text_is(spark, monkeypatch):
         x = {term: k * (np.log((1 + 42) / (1 + have[term])) + 1) for term, k in c.items() if have[term] >= 2}
         want |= {(d, term): v / np.sqrt(sum(y * y for y in x.values())) for term, v in x.items()}
     assert got == pytest.approx(want)
+
+
+def test_biased_factors_do_not_join_ratings(spark, monkeypatch):
+    def joined(*_):
+        raise AssertionError("ratings are joined with factors")
+
+    for name in ("factor_scores", "solved", "refreshed_biases"):
+        monkeypatch.setattr(recommend, name, joined)
+    cells = [(u, i, float((u * i) % 5)) for u in range(6) for i in range(5) if (u + i) % 3]
+    mean, users, items = recommend.als_with_biases(spark.createDataFrame(cells, "user long, item long, rating double"), 2, 0)
+    assert mean == pytest.approx(np.mean([x for _, _, x in cells]))
+    bu = {u: np.mean([x - mean for v, _, x in cells if v == u]) for u in range(6)}
+    assert {r.id: r.bias for r in users.collect()} == pytest.approx(bu)
+    assert {r.id: r.bias for r in items.collect()} == pytest.approx({i: np.mean([x - mean - bu[u] for u, j, x in cells if j == i]) for i in range(5)})
