@@ -194,3 +194,23 @@ def test_sums_of_ratings_that_stay_in_place(spark, monkeypatch):
     want = {u: (len(x), sum(i * r for i, r in x), (u + 1.0) * len(x)) for u in range(1, 6) for x in [[(i, r) for v, i, r in rows if v == u and i < 9]]}
     assert len(got) == len(want) and all((r.n, r.s0, r.s1) == pytest.approx(want[r.id]) for r in got)
     assert sorted(r.item for r in met.ids("item").collect()) == sorted({i for _, i, _ in rows})
+
+
+def test_neighbours_of_wanted_rows_are_those_of_all(spark):
+    """Far from zero, too, where x² + y² - 2xy keeps no digit of a distance."""
+    draw = np.random.default_rng(9)
+    x = draw.integers(0, 2000, (700, 2))
+    df = spark.createDataFrame([(i, float(a + 10**9), float(b)) for i, (a, b) in enumerate(x.tolist())], "k long, x double, y double")
+    every = oversample.class_neighbours(df, "k", ["x", "y"], [], 3, stretch=128).collect()
+    some = oversample.class_neighbours(df, "k", ["x", "y"], [], 3, stretch=128, wanted=F.col("k") % 50 == 7).collect()
+    assert len(some) == 14 * 3 and sorted(some) == sorted(r for r in every if r.key % 50 == 7)
+    few = oversample.class_neighbours(df.where("k < 100"), "k", ["x", "y"], [], 3).collect()
+    d = ((x[:100, None] - x[None, :100]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, 10**9)
+    assert {(r.key, r["rank"]): r.other for r in few} == {(i, j + 1): int(o) for i, row in enumerate(np.argsort(d, axis=1, kind="stable")[:, :3]) for j, o in enumerate(row)}
+
+
+def test_nothing_is_sought_for_a_class_that_lacks_nothing(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i), "u", "ab"[i % 2]) for i in range(20)], "k long, x double, c string, y string")
+    monkeypatch.setattr(oversample, "numbered", None)
+    assert oversample.smote(df, "k", "y", "a", ["x"], ["c"]).collect() == []
