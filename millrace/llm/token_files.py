@@ -32,8 +32,10 @@ FILE_DOCS = 20_000
 FILE_CHARS = 100_000_000
 #: Documents from which the dictionary is trained, of at most so many characters each, and its size in bytes.
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4000, 65536
-#: Pieces that an encoder keeps.
-_CACHE_PIECES = 60_000
+#: Pieces that an encoder keeps twice at most: those it met since it last dropped some, and those before. About 200 bytes each.
+_CACHE_PIECES = 300_000
+#: Pieces that are encoded in one call.
+_CALL_PIECES = 1_000
 #: Text that is cut into pieces at a time.
 RUN_BYTES = 1_000_000
 #: An entry of the index; known is 0 for a null doc_id.
@@ -51,8 +53,8 @@ _encoders: dict[str, "Encoder"] = {}
 class Encoder:
     """Texts to ids, little-endian unsigned 32-bit.
 
-    With byte-level BPE a text is cut into pieces; a new piece is encoded once, many in one call, and kept. Texts with
-    a special token, and all texts of other tokenizers, are encoded whole.
+    With byte-level BPE a text is cut into pieces; a new piece is encoded once, many in one call, and kept, from file to
+    file, too. Texts with a special token, and all texts of other tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,6 +63,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         split, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
         bytewise = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space
@@ -84,8 +87,8 @@ class Encoder:
     def _run_joined(self, pieces: list[str], between: str) -> list[bytes]:
         """Pieces joined to one text and encoded in one call: lines of it, or words that each begin with their own space."""
         out = []
-        for i in range(0, len(pieces), 10_000):
-            some = pieces[i : i + 10_000]
+        for i in range(0, len(pieces), _CALL_PIECES):
+            some = pieces[i : i + _CALL_PIECES]
             ids = np.array(self.tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, "<u4")
             if between:
                 ends = np.append(np.flatnonzero(ids == self.line_feed[0]), len(ids))
@@ -103,23 +106,25 @@ class Encoder:
         if not self.cuts or len(self.line_feed) != 1:
             return self._run(texts)
         pieces = [[t] if any(x in t for x in self.special) else _PIECE.findall(t) for t in texts]
-        known = self.kept
+        if len(self.kept) > _CACHE_PIECES:  # what was not met since the last time goes
+            self.before, self.kept = self.kept, {}
+        known, before = self.kept, self.before
         words, lines, others = [], [], []
         for p in set(itertools.chain.from_iterable(pieces)).difference(known):
-            if p[0] == " " and p[1:].isalpha():
+            if p in before:
+                known[p] = before[p]
+            elif p[0] == " " and p[1:].isalpha():
                 words.append(p)
             elif "\n" in p or p[-1].isspace() or p[:2].isspace() or (p[0] != " " and p[0].isspace()) or any(x in p for x in self.special):
                 others.append(p)
             else:
                 lines.append(p)
-        fresh = dict(zip(words, self._run_joined(words, ""), strict=True)) | dict(zip(lines, self._run_joined(lines, "\n"), strict=True)) | dict(zip(others, self._run(others), strict=True))
-        known.update(fresh)
+        for some, ids in ((words, self._run_joined(words, "")), (lines, self._run_joined(lines, "\n")), (others, self._run(others))):
+            known.update(zip(some, ids, strict=True))
         out = [b"".join(map(known.__getitem__, parts)) for parts in pieces]
         for p in others:
             if len(p) > 40:
                 del known[p]
-        if len(known) > _CACHE_PIECES:  # the older ones go
-            self.kept = fresh
         return out
 
 
@@ -157,7 +162,6 @@ def _filed(path: str, end_id: int, dictionary: bytes):
         if entries:
             index = hashlib.sha256(dictionary).digest() + np.array(entries, _ENTRY).tobytes() + struct.pack("<Q", at)
             yield pa.RecordBatch.from_arrays([pa.array([skippable(INDEX, index)], pa.binary())], names=["frame"])
-        encoder.kept.clear()
         give_back()
 
     return run

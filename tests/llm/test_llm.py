@@ -280,6 +280,22 @@ def test_token_pieces(monkeypatch):
     assert not spaced.cuts and spaced.encode(["Some text"]) == [b"".join(i.to_bytes(4, "little") for i in spaced.tokenizer.encode("Some text", add_special_tokens=False).ids)]
 
 
+def test_pieces_are_kept_from_file_to_file(monkeypatch):
+    import pyarrow as pa
+
+    own = token_files.Encoder.of(queries.tokenizer_path())
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["zyxwv words of a file", "and zyxwv others"])], ["doc_id", "text"])
+    first = list(token_files._filed(queries.tokenizer_path(), 0, b"")(iter([batch])))
+    asked, run = [], own._run_joined
+    monkeypatch.setattr(own, "_run_joined", lambda pieces, between: asked.extend(pieces) or run(pieces, between))
+    assert list(token_files._filed(queries.tokenizer_path(), 0, b"")(iter([batch]))) == first and asked == []
+    # pieces that are met outlive those that are not
+    monkeypatch.setattr(token_files, "_CACHE_PIECES", 0)
+    own.encode(["and zyxwv others"])
+    own.encode(["and zyxwv others"])
+    assert asked == [] and " words" not in own.kept and " zyxwv" in own.kept
+
+
 def test_warc(spark, sf):
     rows = [tuple(r) for r in duckdb.sql(f"select page_id, url, html from '{sf}/pages.parquet'").fetchall()]
     rows += [(900, None, None), (901, "http://a/\r\nX: y", ""), (902, "u", "same"), (903, "u", "same"), (890, "v", "same"), (None, "w", "same"), (904, "é", "ünï 😀 " * 40_000)]
