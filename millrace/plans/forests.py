@@ -215,11 +215,9 @@ def prune_error(df):
 def prune_rules(df):
     """What each rule leaves of a tree of four levels, by the same validation rows."""
     tree, rows = _fitted(df, 4), lines(df).where("l_orderkey % 3 = 0")
-    found = []
-    for rule in ("error", "alpha", "twig", "both", "four"):
-        for leaf in ("train", "validation", "larger"):
-            shape = pruning.pruned(tree, rows, "y", _PNUM, _PCAT, [0, 1], rule, 2.0 if rule == "alpha" else 0.0, leaf).shape()
-            found.append((rule, leaf, shape["nodes"], shape["leaves"], shape["depth"]))
+    ways = [(rule, 2.0 if rule == "alpha" else 0.0, leaf) for rule in ("error", "alpha", "twig", "both", "four") for leaf in ("train", "validation", "larger")]
+    shapes = [t.shape() for t in pruning.pruned_ways(tree, rows, "y", _PNUM, _PCAT, [0, 1], ways)]
+    found = [(rule, leaf, shape["nodes"], shape["leaves"], shape["depth"]) for (rule, _, leaf), shape in zip(ways, shapes, strict=True)]
     return _frame(df, found, "rule string, leaf string, nodes int, leaves int, depth int")
 
 

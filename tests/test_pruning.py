@@ -134,3 +134,14 @@ def test_rows_with_missing_values_go_where_the_rule_says(data, missing):
         for _, y, s in reach(tree, rows, k, {"larger": "shares"}.get(missing, missing)):
             want[y] += s
         assert np.allclose(n.stats, want) and n.weight == pytest.approx(want.sum())
+
+
+def test_all_ways_read_the_rows_once(data, monkeypatch):
+    _, held, fit, out = data
+    tree = trees.grow(fit, "y", ["v", "u"], ["c"], CLASSES, depth=3)
+    asked, binned = [], pruning.binned
+    monkeypatch.setattr(pruning, "binned", lambda *a, **k: asked.append(1) or binned(*a, **k))
+    ways = [("error", 0.0, "train"), ("both", 0.0, "validation"), ("twig", 0.0, "larger"), ("four", 0.0, "train"), ("alpha", 3.0, "train")]
+    got = pruning.pruned_ways(tree, out, "y", ["v", "u"], ["c"], CLASSES, ways)
+    assert [shape(t) for t in got] == [shape(plain(tree, held, *way, "shares")) for way in ways] and asked == [1]
+    assert [shape(t) for t in pruning.pruned_ways(tree, out.limit(0), "y", ["v", "u"], ["c"], CLASSES, ways)] == [shape(plain(tree, [], *way, "shares")) for way in ways]
