@@ -214,3 +214,27 @@ def test_nothing_is_sought_for_a_class_that_lacks_nothing(spark, monkeypatch):
     df = spark.createDataFrame([(i, float(i), "u", "ab"[i % 2]) for i in range(20)], "k long, x double, c string, y string")
     monkeypatch.setattr(oversample, "numbered", None)
     assert oversample.smote(df, "k", "y", "a", ["x"], ["c"]).collect() == []
+
+
+@pytest.mark.parametrize("most", [1, 40, 10_000])
+def test_visits_of_a_step_give_the_numbers_of_single_visits(most):
+    import pyarrow as pa
+
+    draw = np.random.default_rng(11)
+    ids = draw.integers(0, 30, (400, 2))
+    ids[:60, 0] = 7  # one user in a row
+    p, q, bu, bi = draw.normal(size=(30, 2)), draw.normal(size=(30, 2)), np.zeros(30), np.zeros(30)
+    rating = draw.normal(size=400)
+    rows = [{"kind": k, "id": i, "other": None, "rating": None, "f": f[i].tolist(), "bias": 0.0} for k, f in enumerate((p, q)) for i in range(30)]
+    rows += [{"kind": 2, "id": u, "other": i, "rating": r, "f": None, "bias": None} for (u, i), r in zip(ids.tolist(), rating.tolist(), strict=True)]
+    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("other", pa.int64()), ("rating", pa.float64()), ("f", pa.list_(pa.float64())), ("bias", pa.float64())])
+    batches = pa.Table.from_pylist(rows, schema).to_batches(max_chunksize=37)
+    got = pa.Table.from_batches(list(factor_blocks._visited(2, 0.5, 0.1, 0.02, True, most)(iter(batches)))).to_pylist()
+    for (u, i), r in zip(ids.tolist(), rating, strict=True):
+        e = r - 0.5 - bu[u] - bi[i] - p[u] @ q[i]
+        bu[u], bi[i] = bu[u] + 0.1 * (e - 0.02 * bu[u]), bi[i] + 0.1 * (e - 0.02 * bi[i])
+        p[u], q[i] = p[u] + 0.1 * (e * q[i] - 0.02 * p[u]), q[i] + 0.1 * (e * p[u] - 0.02 * q[i])
+    for row in got:
+        f, b = ((p, bu), (q, bi))[row["kind"]]
+        assert np.allclose(row["f"], f[row["id"]]) and row["bias"] == pytest.approx(b[row["id"]])
+    assert len(got) == 60
