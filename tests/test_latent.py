@@ -238,3 +238,29 @@ def test_visits_of_a_step_give_the_numbers_of_single_visits(most):
         f, b = ((p, bu), (q, bi))[row["kind"]]
         assert np.allclose(row["f"], f[row["id"]]) and row["bias"] == pytest.approx(b[row["id"]])
     assert len(got) == 60
+
+
+def test_sums_take_few_ratings_and_no_object_a_vector(spark, monkeypatch):
+    """A task holds the terms of STEP ratings and its vectors as one array, so that its memory follows from the part's size."""
+    from millrace.operators import meetings
+
+    monkeypatch.setattr(meetings, "STEP", 4)
+    df = spark.createDataFrame([(u, i, float(u + i)) for u in range(6) for i in range(5)], "user long, item long, rating double")
+    q = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "id long, v array<double>")
+
+    def terms(q, r, p):
+        assert len(r) <= 4 and q.dtype == float
+        return np.stack([q[:, 0] * r, q[:, 1]], axis=1)
+
+    got = {r.id: (r.n, r.s0, r.s1) for r in meetings.Meetings(df).sums("user", q, None, terms, 2).collect()}
+    assert got == {u: (5, float(sum(i * (u + i) for i in range(5))), 5.0) for u in range(6)}
+
+
+def test_blocks_of_least_squares_grow_with_the_ratings(spark, monkeypatch):
+    from millrace.operators import comparators
+
+    blocks, real = [], comparators.ALS
+    monkeypatch.setattr(comparators, "ALS_RATINGS", 9)
+    monkeypatch.setattr(comparators, "ALS", lambda **o: blocks.append((o["numUserBlocks"], o["numItemBlocks"])) or real(**o))
+    df = spark.createDataFrame([(u, i, float((u * i) % 5 + 1)) for u in range(10) for i in range(10)], "user long, item long, rating double")
+    assert comparators.compare_factors(df, df, 2, 1).count() == 2 and blocks == [(12, 12)]
