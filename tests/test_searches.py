@@ -257,3 +257,56 @@ def test_core_counts_the_rows_once_a_pass(spark):
     found = prepare.core(df, "u", "i", 6)
     assert sorted(r.k for r in found.collect()) == sorted(r[2] for r in left) and 0 < len(left) < 120
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 2
+
+
+@pytest.mark.parametrize("piece", [5, 100_000])
+def test_slim_in_rounds_of_items_and_users(spark, ratings, monkeypatch, piece):
+    """Rounds give the models, errors and rankings of one, and send no more than SENT or all ratings at a time."""
+    rows, df = ratings
+    monkeypatch.setattr(slim, "PIECE", piece)
+    near, grid = near_all(spark, range(12)).where("(other - item + 12) % 12 < 4"), [(0.5, 1.0), (5.0, 20.0)]
+    held = spark.createDataFrame([(u, i, 1 + (u + i) % 3) for u in range(30) for i in range(12) if (u, i) not in {r[:2] for r in rows}], "user long, item long, gain int")
+    key = lambda found: {tuple(r)[:-1]: pytest.approx(r.weight, abs=1e-7) for r in found.collect()}
+
+    def results():
+        scores, best = slim.search_slim(df, near, grid, 3, 1.0, 5.0)
+        ranked = slim.search_slim_ranking(df, held, near, [0.5, 5.0], [1.0], 4)[0]
+        return key(slim.slim_near(slim.with_folds(df, 3), near, grid, 3)), {r.config: pytest.approx(r.rmse) for r in scores.collect()}, key(best), {r.config: pytest.approx(r.ndcg) for r in ranked.collect()}
+
+    whole, sent, sets = results(), [], slim._sets
+    monkeypatch.setattr(slim, "SENT", 1)
+    monkeypatch.setattr(slim, "RANKED", 400)
+
+    def counted(*args):
+        out = sets(*args)
+        sent.append([each.selectExpr("sum(aggregate(sets, 0, (s, x) -> s + size(x.users))) AS n").head().n or 0 for each in out[0]])
+        return out
+
+    monkeypatch.setattr(slim, "_sets", counted)
+    assert results() == whole
+    assert all(len(each) == 4 and sum(each) == 4 * len(rows) and max(each) < 3 * len(rows) for each in sent)
+
+
+def test_a_search_keeps_no_model_of_a_fold(spark, ratings):
+    _, df = ratings
+    models = slim._fitted(slim.with_folds(df, 3), near_all(spark, range(12)), [(0.5, 1.0)], 3, 200, 1e-9, 1.0, 5.0, every=False)
+    assert models.where("fold >= 0 AND size(src) > 0").count() == 0 and models.where("fold < 0").count() > 0
+    assert models.where("fold >= 0").select("fold").distinct().count() == 3
+
+
+def test_best_unseen_in_rounds_of_users(spark, ratings, monkeypatch):
+    from millrace.operators import recommend
+
+    rows, df = ratings
+    weights = spark.createDataFrame([(a, b, ((a * 5 + b) % 7) / 10) for a in range(12) for b in range(14) if a != b], "src long, dst long, weight double")
+    w, seen, want = np.zeros((12, 14)), {r[:2] for r in rows}, set()
+    for r in weights.collect():
+        w[r.src, r.dst] = r.weight
+    x = np.zeros((30, 12))
+    for u, i, r in rows:
+        x[u, i] = r
+    for u in {r[0] for r in rows}:
+        want |= {(u, i, n + 1) for n, (_, i) in enumerate(sorted((-round(float(x[u] @ w[:, i]), 6), i) for i in range(14) if (u, i) not in seen)[:3])}
+    for most in (200_000_000, 300):
+        monkeypatch.setattr(recommend, "ROUND_PRODUCTS", most)
+        assert {(r.user, r.item, r["rank"]) for r in recommend.best_unseen(df, weights, 3, 6).collect()} == want
