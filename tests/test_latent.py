@@ -264,3 +264,40 @@ def test_blocks_of_least_squares_grow_with_the_ratings(spark, monkeypatch):
     monkeypatch.setattr(comparators, "ALS", lambda **o: blocks.append((o["numUserBlocks"], o["numItemBlocks"])) or real(**o))
     df = spark.createDataFrame([(u, i, float((u * i) % 5 + 1)) for u in range(10) for i in range(10)], "user long, item long, rating double")
     assert comparators.compare_factors(df, df, 2, 1).count() == 2 and blocks == [(12, 12)]
+
+
+def test_ratings_come_to_their_block_in_long_rows(spark, monkeypatch):
+    """A block's task sorts rows of many ratings, which other tasks have put in order, equal hashes by id."""
+    monkeypatch.setattr(factor_blocks, "hash_bucket", lambda key, seed, n: F.pmod(key.cast("long"), F.lit(n)) if n < 5 else F.crc32(key.cast("binary")) % 50)
+    monkeypatch.setattr(factor_blocks, "SORTED", 20)
+    monkeypatch.setattr(factor_blocks, "ROW", 8)
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(u, i, float((u * i) % 5)) for u in range(30) for i in range(20) if (u + i) % 3], "user long, item long, rating double")
+    want = [sorted((tuple(r.f), r.bias, r.id) for r in side.collect()) for side in factor_blocks.descended_factors(df, 2, 1, blocks=2)[1:]]
+
+    unrolled = factor_blocks._unrolled
+
+    def rows(batches):
+        for batch in batches:
+            seen.add(sum(k == 2 for k in batch.column("kind").to_pylist()))
+            yield from unrolled(iter([batch]))
+
+    monkeypatch.setattr(factor_blocks, "_unrolled", rows)
+    got = [sorted((tuple(r.f), r.bias, r.id) for r in side.collect()) for side in factor_blocks.descended_factors(df, 2, 1, blocks=2)[1:]]
+    assert got == want and 0 < seen.value < 400 / 2
+
+
+def test_steps_share_nothing_and_keep_the_order():
+    draw = np.random.default_rng(2)
+    for n, m in ((1, 1), (3, 50), (400, 400)):
+        u, i = draw.integers(0, n, 3000), draw.integers(0, m, 3000)
+        steps = factor_blocks._steps(u, i)
+        assert sorted(np.concatenate(steps).tolist()) == list(range(3000))
+        at = np.empty(3000, int)
+        for k, step in enumerate(steps):
+            at[step] = k
+            assert len(set(u[step])) == len(set(i[step])) == len(step)
+        for side in (u, i):
+            for x in set(side.tolist()):
+                assert (np.diff(at[side == x]) > 0).all()
+    assert len(factor_blocks._steps(draw.integers(0, 400, 3000), draw.integers(0, 400, 3000))) < 120
